@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import bpe, embedding_dedup, packing, simhash
+from lumenlog.llm import ann, bpe, embedding_dedup, packing, simhash, toxicity
 from lumenlog.llm.common import read_table
 
 
@@ -23,6 +23,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.with_toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(read_table(spark, sf_dir, "documents"))
     return coded.select(
@@ -33,11 +38,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
+    "op10_ann": op10_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {
