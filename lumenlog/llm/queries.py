@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import ann, bpe, embedding_dedup, packing, simhash, toxicity
+from lumenlog.llm import ann, bpe, embedding_dedup, hmm, packing, simhash, toxicity
 from lumenlog.llm.common import read_table
 
 
@@ -38,6 +38,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings")
     return ann.nearest(rows, rows.where(F.col("vec_id") % 100 == 0))
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
+    "op9_hmm": op9_hmm,
     "op10_ann": op10_ann,
 }
 
