@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import ann, bpe, embedding_dedup, hmm, packing, simhash, toxicity
+from lumenlog.llm import ann, bpe, embedding_dedup, hmm, packing, secrets, simhash, toxicity
 from lumenlog.llm.common import read_table
 
 
@@ -19,6 +19,10 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
