@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import ann, bpe, embedding_dedup, hmm, packing, secrets, simhash, toxicity
+from lumenlog.llm import ann, bpe, embedding_dedup, hmm, licenses, packing, secrets, simhash, toxicity
 from lumenlog.llm.common import read_table
 
 
@@ -19,6 +19,11 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"].cast("string"), s["end"].cast("string")))
+    return licenses.scan(read_table(spark, sf_dir, "documents")).withColumn("spans", F.array_join(spans, ","))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
 
@@ -54,6 +59,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_licenses": op4_licenses,
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
