@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm import ann, bpe, embedding_dedup, hmm, licenses, packing, secrets, simhash, toxicity
+from lumenlog.llm import ann, bpe, embedding_dedup, hmm, langid, licenses, packing, secrets, simhash, toxicity
 from lumenlog.llm.common import read_table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and raw pages, by one text model; a row has either a doc_id or a page_id."""
+    docs, pages = (read_table(spark, sf_dir, t) for t in ("documents", "pages"))
+    model = langid.train(docs)
+    new = ["language", "posterior", "text_language", "accepted"]
+    of_docs = langid.identify_documents(docs, model).select("doc_id", *new)
+    of_pages = langid.identify_pages(pages, model).select("page_id", *new)
+    return of_docs.unionByName(of_pages, allowMissingColumns=True)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -57,6 +67,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_licenses": op4_licenses,
