@@ -167,7 +167,9 @@ class Tokenizer:
 
     def pre_split(self, text: str) -> list[str]:
         """Normalized words. Sigma is lowered by itself, as the rule for a final sigma looks at neighbours."""
-        return self.split.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return self.split.findall(text.lower())
 
     def encode(self, text: str) -> list[int]:
         words = self.words

@@ -2,67 +2,101 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.bpe import read_spec
-from lumenlog.llm.common import text_bytes
+from lumenlog.llm import bpe
 
 WINDOW = 2048
 END_ID = 1
-CACHED_CHUNKS = 300_000
+#: Runs that a generation of the cache holds.
+CACHED = 350_000
 ID_BYTES = 4
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class ChunkIds:
-    """Ids of texts by the tokenizers library, which sees each run between ASCII white space once while it is cached.
+class RunIds:
+    """Ids of texts by the tokenizers library, which is asked once for each run between ASCII white space it forgets not.
 
     Neither the normalizer, the pre-tokenizer nor a special token of the file reaches over white space, so a text's
-    ids are those of its runs in order. Ids are kept as little-endian 32-bit bytes.
+    ids are those of its runs in order. New runs are asked for together, in one text with a special token between
+    them. Known runs are kept in two generations, as little-endian 32-bit bytes: a full young one becomes the old one.
     """
 
-    def __init__(self, spec: str, limit: int = CACHED_CHUNKS) -> None:
+    def __init__(self, spec: str, limit: int = CACHED) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(spec)
         self.model.no_truncation()
         self.model.no_padding()
+        special = [t for t in json.loads(spec)["added_tokens"] if not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
+        self.mark, self.mark_id = (special[-1]["content"].encode(), special[-1]["id"]) if special else (b"", -1)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.limit = limit
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        young, need = self.young, set().union(*split)
-        missing = need.difference(young)
-        for c in self.old.keys() & missing:
-            young[c] = self.old[c]
-        missing = list(missing.difference(self.old))
-        for lo in range(0, len(missing), 4096):
-            part = missing[lo : lo + 4096]
-            found = self.model.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            young.update(zip(part, [np.array(e.ids, "<u4").tobytes() for e in found], strict=True))
-        out = [b"".join([young[c] for c in s]) for s in split]
-        if len(young) > self.limit:
-            self.old, self.young = young, {}
+    def ask(self, runs: list[bytes]) -> list[bytes]:
+        found = self.model.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def ask_together(self, runs: list[bytes]) -> list[bytes]:
+        ids = np.frombuffer(self.ask([self.mark.join(runs)])[0], "<u4")
+        ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+        raw, begin, out = ids.tobytes(), 0, []
+        for end in (ends * ID_BYTES).tolist():
+            out.append(raw[begin:end])
+            begin = end + ID_BYTES
         return out
 
-
-_models: dict[int, ChunkIds] = {}
-
-
-def chunk_ids(spec: str) -> ChunkIds:
+    def learn(self, runs: list[bytes]) -> None:
+        """Make the young generation hold all of these runs."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old, plain, odd = self.young, self.old, [], []
+        for r in runs:
+            if r not in young:
+                ids = old.get(r)
+                if ids is not None:
+                    young[r] = ids
+                else:
+                    (plain if self.mark and self.mark not in r else odd).append(r)
+        for part, ask in ((plain, self.ask_together), (odd, self.ask)):
+            for lo in range(0, len(part), 1024):
+                young.update(zip(part[lo : lo + 1024], ask(part[lo : lo + 1024]), strict=True))
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        runs = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.learn(runs)
+        ids = [self.young[r] for r in runs]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // ID_BYTES
+        begins = np.cumsum(sizes) - sizes
+        flat, at = np.frombuffer(b"".join(ids), "<u4"), coded.indices.to_numpy()
+        ends = np.cumsum(sizes[at])
+        place = np.arange(ends[-1] if len(at) else 0) + np.repeat(begins[at] - (ends - sizes[at]), sizes[at])
+        raw, ends = flat[place].tobytes(), np.concatenate(([0], ends)) * ID_BYTES
+        offsets = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        for lo, hi in zip(offsets, offsets[1:]):
+            yield raw[lo:hi]
+
+
+_models: dict[int, RunIds] = {}
+
+
+def run_ids(spec: str) -> RunIds:
     key = zlib.crc32(spec.encode())
     if key not in _models:
-        _models[key] = ChunkIds(spec)
+        _models[key] = RunIds(spec)
     return _models[key]
 
 
@@ -151,18 +185,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     a batch of documents and the open windows, of which there is a small number for each of the window's levels.
     ``window`` must be a power of two.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    spec = docs.sparkSession.sparkContext.broadcast(bpe.read_spec(path))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, end = chunk_ids(spec.value), np.array([END_ID], "<u4").tobytes()
+        model, end = run_ids(spec.value), np.array([END_ID], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 40
 
         def encoded() -> Iterator[tuple[object, bytes]]:
             for b in batches:
-                for lo in range(0, b.num_rows, 512):
-                    part = b.slice(lo, 512)
-                    ids = model.encode(part.column(1).to_pylist())
-                    yield from zip(part.column(0).to_pylist(), [i + end for i in ids], strict=True)
+                for lo in range(0, b.num_rows, 2000):
+                    part = b.slice(lo, 2000)
+                    for doc, ids in zip(part.column(0), model.encode(part.column(1)), strict=True):
+                        yield doc.as_py(), ids + end
 
         rows: list[tuple] = []
         for k, placed in enumerate(pieces(encoded(), window)):
@@ -181,5 +215,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(of, SCHEMA)

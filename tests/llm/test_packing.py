@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from lumenlog.llm import packing
@@ -66,3 +67,14 @@ def test_empty_and_null_ids(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = packing.pack(spark.createDataFrame([(None, "a b", "", 1), (None, None, "", 1), (3, "a b", "", 1), (3, "a b", "", 1)], SCHEMA)).collect()
     assert sorted((str(r.doc_id), r.doc_tokens) for r in rows if r.start == 0) == [("3", 3), ("3", 3), ("None", 1), ("None", 3)]
+
+
+def test_cached_ids_are_the_library_s():
+    rng, spec = random.Random(8), packing.bpe.read_spec()
+    model, mine = Tokenizer.from_str(spec), packing.RunIds(spec, limit=40)
+    letters = "aabhost'<|>.! \n\t\x1céΣİ日😀0" + "́"
+    for _ in range(60):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) + rng.choice(["", "a<|endoftext|>B", " x"]) for _ in range(20)]
+        want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(i, "<u4").tolist() for i in mine.encode(pa.array(["cut", *texts]).slice(1))] == want
+    assert list(mine.encode(pa.array([], pa.string()))) == [] and list(mine.encode(pa.array(["", " "]))) == [b"", b""]
