@@ -66,19 +66,15 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(texts: DataFrame, rows: int = TRAIN_ROWS, learner_rows: int = LEARNER_ROWS, bits: int = BITS) -> dict[int, float]:
-    """Weights of the slots that L1 leaves. texts: (doc_id, text, label) with label 0 or 1.
+def train(texts: DataFrame, learners: int = 1, bits: int = BITS) -> dict[int, float]:
+    """Weights of the slots that L1 leaves. texts: a bounded sample (doc_id, text, label) with label 0 or 1.
 
-    ``rows`` bounds the sample, ``learner_rows`` what one learner's task holds. Each learner runs FTRL over its share,
-    in the order of doc_id, EPOCHS times; the weights are averaged, slots that a learner lacks counting as zero. At
-    most 2^bits numbers reach the driver, of which L1 leaves a few thousand.
+    Each learner runs FTRL over its share, in the order of doc_id, EPOCHS times; the weights are averaged, slots that
+    a learner lacks counting as zero. At most 2^bits numbers reach the driver, of which L1 leaves a few thousand.
     """
-    total = texts.count()
-    sample = texts if total <= rows else texts.where((F.abs(F.xxhash64("doc_id")) % 1_000_000) < int(1_000_000 * rows / total))
-    learners = max(1, -(-min(total, rows) // learner_rows))
     share = (F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 4) % learners).cast("int")
-    dealt = sample.select(share.alias("share"), "doc_id", text_bytes("text").alias("text"), F.col("label").cast("int").alias("label"))
-    dealt = dealt.repartition(learners, "share").sortWithinPartitions("share", "doc_id", "label", "text")
+    dealt = texts.select(share.alias("share"), "doc_id", text_bytes("text").alias("text"), F.col("label").cast("int").alias("label"))
+    dealt = dealt.repartitionById(learners, F.col("share")).sortWithinPartitions("share", "doc_id", "label", "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares: dict[int, list[tuple[np.ndarray, int]]] = {}
@@ -122,11 +118,21 @@ def scorer(spark: SparkSession, weights: dict[int, float], bits: int = BITS) ->
     return lambda text: of(F.coalesce(text.cast("binary"), F.lit(b"")))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, label) of the rows to learn from: crc32 of the id's text modulo 4 is not 2, label 0 or 1."""
+def labelled(
+    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS
+) -> tuple[DataFrame, int]:
+    """(doc_id, text, label) of the rows to learn from, and how many labels were chosen.
+
+    Labels are 0 or 1 and their ids' crc32 modulo 4 is not 2; of more than ``rows`` of them a hash of the id chooses
+    about that many. So the labels are few enough to broadcast, and no text moves to find its label.
+    """
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     marks = marks.where(F.col("label").isin(0, 1) & (crc_mod("doc_id", 4) != 2))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(marks, "doc_id")
+    total = marks.count()
+    if total > rows:
+        marks = marks.where((F.abs(F.xxhash64("doc_id")) % 1_000_000) < int(1_000_000 * rows / total))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(marks), "doc_id"), min(total, rows)
 
 
 def with_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -136,7 +142,8 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     bias; a null id is not held out; repeated rows and further labels of one document each count; without any labels
     every score is 0.5.
     """
-    weights = train(labelled(docs, labels, label_col, id_col, text_col))
+    texts, rows = labelled(docs, labels, label_col, id_col, text_col)
+    weights = train(texts, max(1, -(-rows // LEARNER_ROWS)))
     score = scorer(docs.sparkSession, weights)(F.col(text_col))
     held = F.coalesce(crc_mod(id_col, 4) == 2, F.lit(False))
     scored = docs.withColumns({"held_out": held, "score": score})
