@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlog.llm.common import lean, worker_state
+
 #: Words kept in each of the two generations of the cache, and transitions kept in the table.
 CACHED_WORDS = 250_000
 CACHED_ARCS = 1_000_000
@@ -188,15 +190,9 @@ class Tokenizer:
         return " ".join([self.labels[i] for i in ids])
 
 
-_built: dict[str, Tokenizer] = {}
-
-
 def tokenizer(spec: str) -> Tokenizer:
     """The compiled tokenizer of this worker process; compiled once for each file."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _built:
-        _built[key] = Tokenizer(spec)
-    return _built[key]
+    return worker_state(("bpe", hashlib.sha256(spec.encode()).hexdigest()), lambda: Tokenizer(spec))
 
 
 def read_spec(path: str | None = None) -> str:
@@ -216,7 +212,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty string. Null ids and repeated rows are kept as they are; other columns are ignored; an empty table gives an
     empty result. No shuffle: each batch of rows is encoded where it is read.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    spec = lean(docs.sparkSession).sparkContext.broadcast(read_spec(path))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(spec.value)

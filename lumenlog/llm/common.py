@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_state: dict = {}
+
+
+def worker_state(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between its tasks: one object, so the caches of operators in a row do not add up."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
+def forget() -> None:
+    """Give the worker's kept object up, before work that makes no use of it."""
+    if _state:
+        _state.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, by a path that only Spark needs to understand."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,6 +62,14 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """Texts go to Python in batches of a thousand rows at most: two sides of an executor hold each batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+    return spark
+
+
 def text_bytes(name: str) -> Column:
     """A text column as UTF-8 bytes, null as empty: Python then neither decodes nor meets ill-formed strings."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))

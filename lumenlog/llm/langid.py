@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import materialize, text_bytes
+from lumenlog.llm.common import forget, lean, materialize, text_bytes
 
 BITS = 16
 #: Labelled rows that the text model learns from at most, chosen by a hash of their texts; and languages it may tell.
@@ -57,6 +57,7 @@ class TextModel:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
     """Slot counts per language, over at most about ``rows`` labelled rows; 2^BITS numbers per language reach the driver."""
+    lean(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != "") & F.col(text_col).isNotNull())
     names = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     total, languages = sum(r["count"] for r in names), sorted(r.lang for r in names)
@@ -65,6 +66,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows:
     number = {name: k for k, name in enumerate(languages)}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         n = np.zeros((len(number), 1 << BITS), np.int64)
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -112,7 +114,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
     posterior is at least ACCEPT. Null or empty texts, repeated rows and empty tables all give their rows back. The
     priors of a row leave out what the row itself gave.
     """
-    spark, names, n = rows.sparkSession, model.languages, len(model.languages)
+    spark, names, n = lean(rows.sparkSession), model.languages, len(model.languages)
     new = ["language", "posterior", "text_language", "accepted"]
     kind = "language string, posterior double, text_language string, accepted boolean"
     shared = spark.sparkContext.broadcast(model)
@@ -122,6 +124,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
 
     @F.pandas_udf("array<double>")
     def alone(part: pd.Series) -> pd.Series:
+        forget()
         found = map(shared.value.evidence, part)
         return pd.Series([softmax(np.array(e)).tolist() if len(e) and n else None for e in found], dtype=object)
 
@@ -135,6 +138,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
 
     @F.pandas_udf(kind)
     def fuse(texts: pd.Series, kinds: pd.Series, of_host: pd.Series, of_suffix: pd.Series) -> pd.DataFrame:
+        forget()
         out = []
         for t, d, by_host, by_suffix in zip(texts, kinds, of_host, of_suffix, strict=True):
             e = np.array(shared.value.evidence(t))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import text_bytes
+from lumenlog.llm.common import lean, text_bytes
 
 #: Words of a gram, and how far apart (words inserted or left out) diagonals of one span may lie.
 GRAM, DRIFT = 4, 3
@@ -120,7 +120,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     start, end, cover), words from 0, end exclusive. score: the best cover, at least 0.5 with a base place. Null ids
     and repeated rows return as they are; other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     places = F.broadcast(spark.createDataFrame(template_places(), "gram long, template int, place int"))
     sizes = [len(words(t.encode())) for _, t in TEMPLATES]
     if max(sizes) > 64:

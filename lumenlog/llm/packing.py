@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.llm import bpe
+from lumenlog.llm.common import lean, worker_state
 
 WINDOW = 2048
 END_ID = 1
 #: Runs that a generation of the cache holds.
-CACHED = 350_000
+CACHED = 250_000
 ID_BYTES = 4
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -90,14 +91,8 @@ class RunIds:
             yield raw[lo:hi]
 
 
-_models: dict[int, RunIds] = {}
-
-
 def run_ids(spec: str) -> RunIds:
-    key = zlib.crc32(spec.encode())
-    if key not in _models:
-        _models[key] = RunIds(spec)
-    return _models[key]
+    return worker_state(("runs", zlib.crc32(spec.encode())), lambda: RunIds(spec))
 
 
 class SumOfSquares:
@@ -185,7 +180,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     a batch of documents and the open windows, of which there is a small number for each of the window's levels.
     ``window`` must be a power of two.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(bpe.read_spec(path))
+    spec = lean(docs.sparkSession).sparkContext.broadcast(bpe.read_spec(path))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, end = run_ids(spec.value), np.array([END_ID], "<u4").tobytes()
@@ -193,8 +188,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
         def encoded() -> Iterator[tuple[object, bytes]]:
             for b in batches:
-                for lo in range(0, b.num_rows, 2000):
-                    part = b.slice(lo, 2000)
+                for lo in range(0, b.num_rows, 500):
+                    part = b.slice(lo, 500)
                     for doc, ids in zip(part.column(0), model.encode(part.column(1)), strict=True):
                         yield doc.as_py(), ids + end
 

@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import crc_mod, text_bytes
+from lumenlog.llm.common import crc_mod, forget, lean, text_bytes
 
 BITS = 20
 #: Labelled rows to train on at most (chosen by a hash of their ids), and for each learner that shares them.
-TRAIN_ROWS, LEARNER_ROWS, EPOCHS = 120_000, 20_000, 3
+TRAIN_ROWS, LEARNER_ROWS, EPOCHS = 120_000, 10_000, 3
 #: Bytes of a word's beginning that stand for words of one stem.
 STEMS = (4, 5, 6)
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
@@ -77,6 +77,7 @@ def train(texts: DataFrame, learners: int = 1, bits: int = BITS) -> dict[int, fl
     dealt = dealt.repartitionById(learners, F.col("share")).sortWithinPartitions("share", "doc_id", "label", "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shares: dict[int, list[tuple[np.ndarray, int]]] = {}
         for b in batches:
             for share, text, label in zip(b.column(0), b.column(2), b.column(3), strict=True):
@@ -106,6 +107,7 @@ def scorer(spark: SparkSession, weights: dict[int, float], bits: int = BITS) ->
 
     @F.pandas_udf("double")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         w = dense(shared.value, bits)
         for part in parts:
             sums = []
@@ -142,6 +144,7 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     bias; a null id is not held out; repeated rows and further labels of one document each count; without any labels
     every score is 0.5.
     """
+    lean(docs.sparkSession)
     texts, rows = labelled(docs, labels, label_col, id_col, text_col)
     weights = train(texts, max(1, -(-rows // LEARNER_ROWS)))
     score = scorer(docs.sparkSession, weights)(F.col(text_col))
