@@ -21,10 +21,13 @@ from lumenlog.llm.common import crc_mod, lean, materialize, text_bytes
 
 #: Hidden states; words with a symbol of their own; words whose counts every task knows (the rest are joined).
 STATES, SYMBOLS, KNOWN = 8, 16_384, 131_072
-#: Passes over all training documents, and before them over at most START_ROWS documents, from random parameters.
-PASSES, START_PASSES, START_ROWS = 2, 15, 3000
+#: Passes from random parameters, each over all training documents: at most PASSES, and LEAST before a gain in the
+#: log likelihood of less than GAIN of its size ends them.
+PASSES, LEAST, GAIN = 17, 6, 1e-4
 #: Tokens of a training segment, and segments handled at once. A later segment starts from the states' shares.
-SEGMENT, AT_ONCE = 128, 2048
+SEGMENT, AT_ONCE = 128, 1024
+#: Positions of a segment between two rescalings.
+RESCALE = 6
 #: Weight of the overall symbol shares in each state's emissions.
 PRIOR = 20.0
 SEED = 9
@@ -183,39 +186,47 @@ class Hmm:
 
     def counts(self, segments: list[tuple[np.ndarray, bool]]) -> np.ndarray:
         """Expected counts (rows: start, steps by origin, emissions by symbol; columns: states) of some segments."""
-        size = len(self.emit)
+        return self.expected(segments)[0]
+
+    def expected(self, segments: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, float]:
+        """The counts, and the log likelihood of the segments. Longest first, so that those alive are always a prefix."""
+        size, one = len(self.emit), np.ones(STATES)
         sizes = np.array([len(s) for s, _ in segments])
-        sym = np.full((int(sizes.max()), len(segments)), size, np.int64)
-        for k, (s, _) in enumerate(segments):
-            sym[: len(s), k] = s
-        first = np.array([f for _, f in segments])
-        emit = np.vstack((self.emit, np.ones(STATES)))  # padding is emitted by any state, and so changes nothing
-        share = np.linalg.matrix_power(self.step, 64)[0]
-        alpha, scale = np.empty((*sym.shape, STATES)), np.empty(sym.shape)
-        at = np.where(first[:, None], self.start, share) * emit[sym[0]]
-        for t in range(len(sym)):
-            if t:
-                at = (alpha[t - 1] @ self.step) * emit[sym[t]]
-            scale[t] = at.sum(axis=1)
-            alpha[t] = at / scale[t][:, None]
-        out = np.zeros((1 + STATES + size, STATES))
-        beta = np.ones((len(segments), STATES))
-        for t in range(len(sym) - 1, -1, -1):
-            gamma = alpha[t] * beta
-            alive = sym[t] < size
-            if not t:
-                out[0] = gamma[first].sum(axis=0)
-            alpha_t = alpha[t]
+        order = np.argsort(-sizes, kind="stable")
+        flat, sizes = np.concatenate([segments[i][0] for i in order]), sizes[order]
+        first, source = np.array([f for _, f in segments])[order], np.cumsum(sizes) - sizes
+        live = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
+        begin = np.concatenate(([0], np.cumsum(live)))
+        sym = np.empty(int(begin[-1]), np.int64)  # position by position
+        for t, n in enumerate(live):
+            sym[begin[t] : begin[t + 1]] = flat[source[:n] + t]
+        emit, scale, log = self.emit[sym], {}, 0.0
+        alpha, share = np.empty_like(emit), np.linalg.matrix_power(self.step, 64)[0]
+        alpha[: live[0]] = np.where(first[:, None], self.start, share) * emit[: live[0]]
+        for t in range(1, len(live)):
+            at = (alpha[begin[t - 1] : begin[t - 1] + live[t]] @ self.step) * emit[begin[t] : begin[t + 1]]
+            if t % RESCALE == 0:
+                scale[t] = 1 / (at @ one)
+                at *= scale[t][:, None]
+                log -= np.log(scale[t]).sum()
+            alpha[begin[t] : begin[t + 1]] = at
+        out, steps, beta = np.zeros((1 + STATES + size, STATES)), np.zeros((STATES, STATES)), np.empty((0, STATES))
+        for t in range(len(live) - 1, -1, -1):
+            here, ended = slice(begin[t], begin[t + 1]), alpha[begin[t] + len(beta) : begin[t + 1]] @ one
+            log += np.log(ended).sum()
+            beta = np.concatenate((beta, np.repeat(1 / ended[:, None], STATES, axis=1)))
+            into = emit[here] * beta
+            if t in scale:
+                into *= scale[t][:, None]
+            alpha[here] *= beta
             if t:
-                into = emit[sym[t]] * beta / scale[t][:, None]
+                steps += alpha[begin[t - 1] : begin[t - 1] + live[t]].T @ into
                 beta = into @ self.step.T
-                out[1 : 1 + STATES] += (alpha[t - 1][alive].T @ into[alive]) * self.step
-            alpha_t[:] = gamma
-        kept = sym < size
-        where = sym[kept]
+        out[0] = alpha[: live[0]][first].sum(axis=0)
+        out[1 : 1 + STATES] = steps * self.step
         for s in range(STATES):
-            out[1 + STATES :, s] = np.bincount(where, alpha[:, :, s][kept], minlength=size)
-        return out
+            out[1 + STATES :, s] = np.bincount(sym, alpha[:, s], minlength=size)
+        return out, float(log)
 
     @staticmethod
     def fitted(counts: np.ndarray, shares: np.ndarray) -> Hmm:
@@ -256,41 +267,32 @@ def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarra
 
 
 def train(coded: DataFrame, lex: Lexicon) -> Hmm:
-    """Baum-Welch. coded: (symbols) of the training documents, written down once and read in each pass."""
+    """Baum-Welch. coded: (symbols) of the training documents, written down once; each pass reads all of them."""
     spark, shares = coded.sparkSession, lex.shares()
-    columns = ", ".join(f"s{k} double" for k in range(STATES))
-
-    def rows_of(c: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = np.flatnonzero(c.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c[at, k]) for k in range(STATES))], ["at", *(f"s{k}" for k in range(STATES))])
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample, model = list(segments(batches)), Hmm.random(shares)
-        total = np.zeros((1 + STATES + len(shares), STATES))
-        for _ in range(START_PASSES if sample else 0):
-            total = sum(model.counts(s) for s in sample)
-            model = Hmm.fitted(total, shares)
-        yield from rows_of(total)
-
-    def gathered(rows: DataFrame) -> Hmm:
-        total = np.zeros((1 + STATES + len(shares), STATES))
-        sums = rows.groupBy("at").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES)))
-        for r in sums.collect():
-            total[r[0]] = r[1:]
-        return Hmm.fitted(total, shares)
-
-    few = coded.orderBy("pick").limit(START_ROWS).select("symbols").repartition(1)
-    model = gathered(few.mapInArrow(begin, f"at long, {columns}"))
-    for _ in range(PASSES):
+    names, size = [f"s{k}" for k in range(STATES)], 1 + STATES + len(shares)
+    model, before = Hmm.random(shares), -np.inf
+    for done in range(1, PASSES + 1):
         shared = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((1 + STATES + len(shares), STATES))
+            total, log = np.zeros((size + 1, STATES)), 0.0
             for s in segments(batches):
-                total += shared.value.counts(s)
-            yield from rows_of(total)
-
-        model = gathered(coded.select("symbols").mapInArrow(expect, f"at long, {columns}"))
+                counts, more = shared.value.expected(s)
+                total[:size] += counts
+                log += more
+            total[size, 0] = log
+            at = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, k]) for k in range(STATES))], ["at", *names])
+
+        rows = coded.select("symbols").mapInArrow(expect, ", ".join(["at long", *(f"{k} double" for k in names)]))
+        total = np.zeros((size + 1, STATES))
+        for r in rows.groupBy("at").agg(*(F.sum(k).alias(k) for k in names)).collect():
+            total[r[0]] = r[1:]
+        shared.unpersist()
+        model, now = Hmm.fitted(total[:size], shares), total[size, 0]
+        if done >= LEAST and now - before <= GAIN * abs(now):
+            break
+        before = now
     return model
 
 
@@ -332,7 +334,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lex = lexicon(counts)
     coded = materialize(encode(rows, lex), "hmm-symbols")
     whole = coded.where("symbols is not null")
-    model = train(whole.where("not held_out").select("symbols", F.xxhash64("doc_id", "row").alias("pick")), lex)
+    model = train(whole.where("not held_out").select("symbols"), lex)
 
     mass = F.array(*[F.lit(float(m)) for m in lex.class_mass])
     last = F.conv(F.hex(F.substring("word", -1, 1)), 16, 10).cast("int") % 16
