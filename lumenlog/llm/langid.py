@@ -1,6 +1,7 @@
 """Language ID by Bayesian fusion of text, declared language, address suffix and host.
 
-Text gives a likelihood per language from byte trigrams. A declared language is evidence through a confusion table
+Text gives a likelihood per language from byte trigrams, and one of being in none of them: trigrams of independent
+bytes as frequent as in the labelled rows, or any trigram alike. A declared language is evidence through a confusion table
 that is itself counted. Hosts have priors smoothed towards their suffix's, which are smoothed towards the whole
 corpus's; all three come from grouped sums of the posteriors that text and declaration give.
 """
@@ -27,17 +28,30 @@ TEMPER, CAP = 0.25, 400.0
 SMOOTHING = 20.0
 #: A row is accepted from this posterior on, if its text holds at least one letter.
 ACCEPT = 0.5
+#: Share of each language's trigrams that are not in its labelled rows, the same for all, however many rows they have.
+UNSEEN = 0.01
+#: Share of texts in no known language, before their text is seen.
+FOREIGN = 0.01
 #: Hosts up to which their priors are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_HOSTS = 200_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 65 or 91 <= b <= 96 or 123 <= b <= 127 else b for b in range(256))
 
 
+def folded(text: bytes) -> np.ndarray:
+    """Bytes of a whole text; signs and digits count as spaces, runs of them as one."""
+    return np.frombuffer(b" " + b" ".join(text.translate(_LOWER).split()) + b" ", np.uint8)
+
+
 def slots(text: bytes) -> np.ndarray:
-    """Hash slots of the byte trigrams of a whole text; signs and digits count as spaces, runs of them as one."""
-    b = np.frombuffer(b" " + b" ".join(text.translate(_LOWER).split()) + b" ", np.uint8).astype(np.uint32)
+    """Hash slots of the byte trigrams of a whole text."""
+    return slots_of(folded(text))
+
+
+def slots_of(b: np.ndarray) -> np.ndarray:
     if len(b) < 3:
         return np.zeros(0, np.int64)
+    b = b.astype(np.uint32)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
     return ((code * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
 
@@ -47,12 +61,22 @@ class TextModel:
     languages: list[str]
     logs: np.ndarray  # (2^BITS, languages): log share of each slot
 
+    letters: np.ndarray  # (256): share of each byte
+
     def evidence(self, text: bytes) -> list[float]:
         """Tempered log likelihood per language; empty without a letter."""
-        at = slots(text)
+        return self.weighed(text)[0].tolist()
+
+    def weighed(self, text: bytes) -> tuple[np.ndarray, float]:
+        """The evidence, and the tempered log likelihood of a text in none of the languages."""
+        b = folded(text)
+        at = slots_of(b)
         if not len(at):
-            return []
-        return (self.logs[at].mean(axis=0, dtype=np.float64) * min(CAP, TEMPER * len(at))).tolist()
+            return np.zeros(0), 0.0
+        p = self.letters[b]
+        other = np.log(0.5 * p[:-2] * p[1:-1] * p[2:] + 0.5 / (1 << BITS)).mean()
+        times = min(CAP, TEMPER * len(at))
+        return self.logs[at].mean(axis=0, dtype=np.float64) * times, float(other) * times
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
@@ -67,19 +91,27 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        n = np.zeros((len(number), 1 << BITS), np.int64)
+        n, letters = np.zeros((len(number), 1 << BITS), np.int64), np.zeros(256, np.int64)
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if lang in number:
-                    n[number[lang]] += np.bincount(slots(text.as_py()), minlength=1 << BITS)
+                    b = folded(text.as_py())
+                    n[number[lang]] += np.bincount(slots_of(b), minlength=1 << BITS)
+                    letters += np.bincount(b, minlength=256)
         lang, slot = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(slot), pa.array(n[lang, slot])], ["lang", "slot", "n"])
+        used = np.flatnonzero(letters)
+        lang, slot, n = np.append(lang, np.full(len(used), -1)), np.append(slot, used), np.append(n[lang, slot], letters[used])
+        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(slot), pa.array(n)], ["lang", "slot", "n"])
 
     counts = labelled.select(F.col(lang_col).alias("lang"), text_bytes(text_col).alias("text")).mapInArrow(of, "lang long, slot long, n long")
-    n = np.full((1 << BITS, max(1, len(languages))), 0.2)
+    n, letters = np.zeros((1 << BITS, max(1, len(languages)))), np.ones(256)
     for r in counts.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas().itertuples():
-        n[r.slot, r.lang] += r.n
-    return TextModel(languages, np.log(n / n.sum(axis=0)).astype(np.float32))
+        if r.lang < 0:
+            letters[r.slot] += r.n
+        else:
+            n[r.slot, r.lang] += r.n
+    shares = (1 - UNSEEN) * n / np.maximum(1, n.sum(axis=0)) + UNSEEN / (1 << BITS)
+    return TextModel(languages, np.log(shares).astype(np.float32), letters / letters.sum())
 
 
 def softmax(logs: np.ndarray) -> np.ndarray:
@@ -87,6 +119,11 @@ def softmax(logs: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
+def alone_of(e: np.ndarray, other: float) -> np.ndarray:
+    """Posteriors of the languages by text alone; what they lack of one is that of none of them."""
+    return softmax(np.append(e, other + np.log(FOREIGN)))[:-1]
+
+
 def sums(rows: DataFrame, keys: list[str], n: int, of: str) -> DataFrame:
     """Grouped sums of the entries of an array; a hot key is summed up where its rows are read first."""
     out = rows.groupBy(*keys).agg(*[F.sum(F.element_at(of, k + 1)).alias(f"_{k}") for k in range(n)])
@@ -111,7 +148,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
 
     declared, suffix and host are string columns; null means no such evidence, and rows without a host share one.
     language is the best of the model's, null if it has none; a row is accepted if its text holds a letter and its
-    posterior is at least ACCEPT. Null or empty texts, repeated rows and empty tables all give their rows back. The
+    posterior, beside all other languages and none of them, is at least ACCEPT. Null or empty texts, repeated rows and empty tables all give their rows back. The
     priors of a row leave out what the row itself gave.
     """
     spark, names, n = lean(rows.sparkSession), model.languages, len(model.languages)
@@ -125,8 +162,8 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
     @F.pandas_udf("array<double>")
     def alone(part: pd.Series) -> pd.Series:
         forget()
-        found = map(shared.value.evidence, part)
-        return pd.Series([softmax(np.array(e)).tolist() if len(e) and n else None for e in found], dtype=object)
+        found = map(shared.value.weighed, part)
+        return pd.Series([alone_of(e, other).tolist() if len(e) and n else None for e, other in found], dtype=object)
 
     key = [said.alias("d"), F.coalesce(suffix, F.lit("")).alias("s"), F.coalesce(host, F.lit("")).alias("h")]
     seen = rows.select(*key, alone(raw).alias("own")).where("own is not null")
@@ -141,11 +178,14 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
         forget()
         out = []
         for t, d, by_host, by_suffix in zip(texts, kinds, of_host, of_suffix, strict=True):
-            e = np.array(shared.value.evidence(t))
-            own = softmax(e) if len(e) and n else np.zeros(n)
+            e, other = shared.value.weighed(t)
+            own = alone_of(e, other) if len(e) and n else np.zeros(n)
             levels = [np.maximum(np.array(x) - own, 0) if x is not None else np.zeros(n) for x in (by_suffix, by_host)]
             post = np.log(smoothed(levels[1], smoothed(levels[0], whole))) + tables.get(d, 0.0) + (e if len(e) else 0.0)
-            post = softmax(post) if n else post
+            if len(e) and n:  # a declaration tells nothing of whether a text is in none of the languages
+                post = softmax(np.append(post, other + np.log(FOREIGN) + np.log(np.exp(tables.get(d, np.zeros(n))).mean())))[:-1]
+            else:
+                post = softmax(post) if n else post
             best = int(post.argmax()) if n else -1
             out.append((names[best] if n else None, float(post[best]) if n else 0.0, names[int(e.argmax())] if len(e) and n else None, bool(len(e) and n and post[best] >= ACCEPT)))
         return pd.DataFrame(out, columns=new)

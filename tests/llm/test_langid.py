@@ -67,3 +67,17 @@ def test_declaration_and_host_decide_what_text_leaves_open(spark):
         assert got[i].language == ("de", "fr")[i % 2]
         assert got[i].accepted == (i % 10 <= 7) == (got[i].text_language is not None)
     assert got[501].language == got[502].language == "en" and not got[500].accepted
+
+
+def test_foreign_and_random_texts_are_not_accepted(spark):
+    rng, clean = random.Random(8), corpus()
+    model = langid.train(spark.createDataFrame(clean, SCHEMA))
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(300)) for _ in range(20)]
+    foreign = [
+        "Съешь же ещё этих мягких французских булок, да выпей чаю, а потом приходи к нам в гости",
+        "いろはにほへと ちりぬるを わかよたれそ つねならむ うゐのおくやま けふこえて",
+        "Zażółć gęślą jaźń, bo wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+    ]
+    rows = clean + [(1000 + i, t, None, "s0", 7) for i, t in enumerate(noise + foreign)]
+    got = {r.doc_id: r.accepted for r in langid.identify_documents(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    assert all(got[r[0]] for r in clean) and not any(got[1000 + i] for i in range(len(noise + foreign)))
