@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from lumenlog.llm.common import forget, lean, materialize, text_bytes
 
 BITS = 16
-#: Labelled rows that the text model learns from at most, chosen by a hash of their texts; and languages it may tell.
-TRAIN_ROWS, MOST_LANGUAGES = 20_000, 64
+#: Labelled rows that the text model learns from at most, chosen by a hash of their texts, as many of each language as
+#: it has or as its even part; and languages whose counts a task holds before it passes them on.
+TRAIN_ROWS, HELD = 20_000, 64
 #: Trigrams overlap and repeat, so a text counts as TEMPER of their number, and as CAP independent ones at most.
 TEMPER, CAP = 0.25, 400.0
 #: Rows' worth of the level above in a smoothed prior, and of a plain guess in the confusion table.
@@ -79,29 +80,47 @@ class TextModel:
         return self.logs[at].mean(axis=0, dtype=np.float64) * times, float(other) * times
 
 
+def even_part(counts: list[int], rows: int) -> float:
+    """The most rows a language may give so that all together give ``rows``; no less than one row."""
+    left, sizes = float(rows), sorted(counts)
+    for i, n in enumerate(sizes):
+        if n * (len(sizes) - i) > left:
+            return max(1.0, left / (len(sizes) - i))
+        left -= n
+    return float(max(sizes, default=1))
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
-    """Slot counts per language, over at most about ``rows`` labelled rows; 2^BITS numbers per language reach the driver."""
+    """Slot counts of every language, over at most about ``rows`` labelled rows; 2^BITS numbers per language reach the driver."""
     lean(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != "") & F.col(text_col).isNotNull())
-    names = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    total, languages = sum(r["count"] for r in names), sorted(r.lang for r in names)
-    if total > rows:
-        labelled = labelled.where((F.abs(F.xxhash64(text_col)) % 1_000_000) < int(1_000_000 * rows / total))
+    names = labelled.groupBy(F.col(lang_col).alias("lang")).count().collect()
+    languages = sorted(r.lang for r in names)
+    if sum(r["count"] for r in names) > rows:
+        most = even_part([r["count"] for r in names], rows)
+        rates = docs.sparkSession.createDataFrame([(r.lang, int(1_000_000 * min(1.0, most / r["count"]))) for r in names], "`+lang` string, `+rate` long")
+        drawn = F.abs(F.xxhash64(text_col)) % 1_000_000 < F.col("+rate")
+        labelled = labelled.join(F.broadcast(rates), F.col(lang_col) == F.col("+lang")).where(drawn)
     number = {name: k for k, name in enumerate(languages)}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        n, letters = np.zeros((len(number), 1 << BITS), np.int64), np.zeros(256, np.int64)
+        seen, letters = {}, np.zeros(256, np.int64)
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if lang in number:
-                    b = folded(text.as_py())
-                    n[number[lang]] += np.bincount(slots_of(b), minlength=1 << BITS)
-                    letters += np.bincount(b, minlength=256)
-        lang, slot = np.nonzero(n)
-        used = np.flatnonzero(letters)
-        lang, slot, n = np.append(lang, np.full(len(used), -1)), np.append(slot, used), np.append(n[lang, slot], letters[used])
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(slot), pa.array(n)], ["lang", "slot", "n"])
+                if number[lang] not in seen:
+                    if len(seen) == HELD:
+                        yield from map(found, seen, seen.values())
+                        seen.clear()
+                    seen[number[lang]] = np.zeros(1 << BITS, np.int64)
+                plain = folded(text.as_py())
+                seen[number[lang]] += np.bincount(slots_of(plain), minlength=1 << BITS)
+                letters += np.bincount(plain, minlength=256)
+        yield from map(found, [*seen, -1], [*seen.values(), letters])
+
+    def found(lang: int, n: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lang)), pa.array(at), pa.array(n[at])], ["lang", "slot", "n"])
 
     counts = labelled.select(F.col(lang_col).alias("lang"), text_bytes(text_col).alias("text")).mapInArrow(of, "lang long, slot long, n long")
     n, letters = np.zeros((1 << BITS, max(1, len(languages)))), np.ones(256)

@@ -81,3 +81,14 @@ def test_foreign_and_random_texts_are_not_accepted(spark):
     rows = clean + [(1000 + i, t, None, "s0", 7) for i, t in enumerate(noise + foreign)]
     got = {r.doc_id: r.accepted for r in langid.identify_documents(spark.createDataFrame(rows, SCHEMA), model).collect()}
     assert all(got[r[0]] for r in clean) and not any(got[1000 + i] for i in range(len(noise + foreign)))
+
+
+def test_every_language_is_learnt_and_rare_ones_keep_all_rows(spark):
+    rng = random.Random(2)
+    rows = [(f"l{k:02d}", " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{rng.choice('aeiou')}" for _ in range(9))) for k in range(70) for _ in range(3)]
+    rows += [("big", f"{rng.choice('xyz')}{rng.choice('aeiou')} " * rng.randint(1, 40)) for _ in range(3000)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    few, all_rows = langid.train(docs, rows=400), langid.train(docs, rows=10_000)
+    assert few.languages == all_rows.languages == sorted({r[0] for r in rows})
+    rare = [k for k, name in enumerate(few.languages) if name != "big"]
+    assert np.allclose(few.logs[:, rare], all_rows.logs[:, rare])
