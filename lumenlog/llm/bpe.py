@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -32,6 +33,8 @@ CACHED_WORDS = 250_000
 CACHED_ARCS = 1_000_000
 #: Bytes of text after which a batch of results is sent on.
 BATCH_BYTES = 2 << 20
+#: Characters of a long text that are split into words at once.
+CHUNK = 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -130,7 +133,9 @@ class Words(dict):
         super().__init__()
         self.automaton, self.suffix, self.limit, self.old, self.bytes = automaton, suffix, limit, {}, byte_symbols()
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str | int) -> tuple[int, ...]:
+        if isinstance(word, int):  # a special token
+            return (word,)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -143,22 +148,25 @@ class Words(dict):
         return ids
 
 
-class Tokenizer:
-    """A tokenizer file's normalizer, pre-tokenizer and BPE model, for the kinds of step named in ``check``."""
+class Splitter:
+    """A tokenizer file's normalizer, special tokens and pre-tokenizer, for the kinds of step named in ``check``."""
 
-    def __init__(self, spec: str, limit: int = CACHED_WORDS) -> None:
-        d = json.loads(spec)
+    def __init__(self, d: dict) -> None:
         self.check(d)
-        model, suffix = d["model"], d["model"].get("end_of_word_suffix") or ""
-        self.automaton = Automaton(model["vocab"], model["merges"], suffix)
-        self.words = Words(self.automaton, suffix, limit)
         pattern = d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # White space as Unicode has it, which leaves the separators U+001C to U+001F to the symbols.
-        self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}"))
+        self.any = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}"))
+        self.ascii, self.latin = (self.plain(pattern, size) for size in (128, 256))
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
-        self.labels = self.automaton.labels | {i: t for t, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    @staticmethod
+    def plain(pattern: str, size: int) -> re.Pattern:
+        """The pattern for texts of code points below 128 or 256 alone, its classes spelt out."""
+        of = lambda kind: "".join(re.escape(chr(c)) for c in range(size) if unicodedata.category(chr(c))[0] == kind)
+        spaces = r"\s" if size == 128 else r"\s\x85\xa0"
+        return re.compile(pattern.replace(r"\p{L}", of("L")).replace(r"\p{N}", of("N")).replace(r"[^\s", f"[^{spaces}"), re.ASCII)
+
     @staticmethod
     def check(d: dict) -> None:
         steps = [x["type"] for x in d["normalizer"]["normalizers"]]
@@ -169,20 +177,55 @@ class Tokenizer:
 
     def pre_split(self, text: str) -> list[str]:
         """Normalized words. Sigma is lowered by itself, as the rule for a final sigma looks at neighbours."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.split.findall(text.lower())
-
-    def encode(self, text: str) -> list[int]:
-        words = self.words
-        if self.cut is None or "<|" not in text:
-            return list(chain.from_iterable([words[w] for w in self.pre_split(text)]))
-        out: list[int] = []
+        if text.isascii():
+            return self.ascii.findall(text.lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.any.findall(text)
+        return self.latin.findall(text)
+
+    def parts(self, text: str) -> list[str | int]:
+        """Normalized words, and the ids of special tokens, in order."""
+        if self.cut is None or self.cut.search(text) is None:
+            return self.pre_split(text)
+        out: list[str | int] = []
         for part in self.cut.split(text):
             if part in self.special:
                 out.append(self.special[part])
             else:
-                out += chain.from_iterable([words[w] for w in self.pre_split(part)])
+                out += self.pre_split(part)
+        return out
+
+
+def chunks(text: str, size: int | None = None) -> Iterator[str]:
+    """A text in parts of about ``size`` characters, cut before a space, which no word or special token reaches over."""
+    lo, size = 0, size or CHUNK
+    while len(text) - lo > size:
+        hi = text.find(" ", lo + size)
+        if hi < 0:
+            break
+        yield text[lo:hi]
+        lo = hi
+    yield text[lo:]
+
+
+class Tokenizer(Splitter):
+    """A whole tokenizer file: the splitter before the automaton of its BPE model."""
+
+    def __init__(self, spec: str, limit: int = CACHED_WORDS) -> None:
+        d = json.loads(spec)
+        super().__init__(d)
+        model, suffix = d["model"], d["model"].get("end_of_word_suffix") or ""
+        self.automaton = Automaton(model["vocab"], model["merges"], suffix)
+        self.words = Words(self.automaton, suffix, limit)
+        self.labels = self.automaton.labels | {i: t for t, i in self.special.items()}
+
+    def encode(self, text: str) -> list[int]:
+        words, out = self.words, []
+        for chunk in chunks(text):
+            out += chain.from_iterable([words[w] for w in self.parts(chunk)])
         return out
 
     def decode(self, ids: list[int]) -> str:

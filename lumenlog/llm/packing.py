@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,80 +18,94 @@ from lumenlog.llm.common import lean, worker_state
 
 WINDOW = 2048
 END_ID = 1
-#: Runs that a generation of the cache holds.
+#: Words that a generation of the cache holds.
 CACHED = 250_000
 ID_BYTES = 4
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class RunIds:
-    """Ids of texts by the tokenizers library, which is asked once for each run between ASCII white space it forgets not.
+class WordIds(dict):
+    """Word -> its ids as little-endian 32-bit bytes, by the tokenizers library, asked once for each word it forgets not.
 
-    Neither the normalizer, the pre-tokenizer nor a special token of the file reaches over white space, so a text's
-    ids are those of its runs in order. New runs are asked for together, in one text with a special token between
-    them. Known runs are kept in two generations, as little-endian 32-bit bytes: a full young one becomes the old one.
+    Texts are normalized and split as the file says. A new word's entry is an empty buffer until ``settle`` asks for
+    all new words together, so each word of a text is looked up once. Words are kept in two generations: a full young
+    one becomes the old one.
     """
 
     def __init__(self, spec: str, limit: int = CACHED) -> None:
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_str(spec)
+        super().__init__()
+        d = json.loads(spec)
+        self.splitter, self.symbols = bpe.Splitter(d), dict(enumerate(bpe.byte_symbols()))
+        bare = {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}
+        self.model = Tokenizer.from_str(json.dumps(d | bare))
         self.model.no_truncation()
         self.model.no_padding()
-        special = [t for t in json.loads(spec)["added_tokens"] if not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
-        self.mark, self.mark_id = (special[-1]["content"].encode(), special[-1]["id"]) if special else (b"", -1)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        suffix = d["model"].get("end_of_word_suffix")
+        self.last = np.zeros(1 + max(d["model"]["vocab"].values(), default=0), bool)
+        if suffix:
+            self.last[[i for t, i in d["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.old: dict[str | int, bytes] = {}
+        self.new: dict[str, bytearray] = {}
         self.limit = limit
 
-    def ask(self, runs: list[bytes]) -> list[bytes]:
-        found = self.model.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def ask_together(self, runs: list[bytes]) -> list[bytes]:
-        ids = np.frombuffer(self.ask([self.mark.join(runs)])[0], "<u4")
-        ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-        raw, begin, out = ids.tobytes(), 0, []
-        for end in (ends * ID_BYTES).tolist():
-            out.append(raw[begin:end])
-            begin = end + ID_BYTES
-        return out
-
-    def learn(self, runs: list[bytes]) -> None:
-        """Make the young generation hold all of these runs."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        young, old, plain, odd = self.young, self.old, [], []
-        for r in runs:
-            if r not in young:
-                ids = old.get(r)
-                if ids is not None:
-                    young[r] = ids
-                else:
-                    (plain if self.mark and self.mark not in r else odd).append(r)
-        for part, ask in ((plain, self.ask_together), (odd, self.ask)):
-            for lo in range(0, len(part), 1024):
-                young.update(zip(part[lo : lo + 1024], ask(part[lo : lo + 1024]), strict=True))
-
-    def encode(self, texts: pa.Array) -> Iterator[bytes]:
-        split = pc.ascii_split_whitespace(texts)
-        coded = split.flatten().dictionary_encode()
-        runs = coded.dictionary.cast(pa.binary()).to_pylist()
-        self.learn(runs)
-        ids = [self.young[r] for r in runs]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // ID_BYTES
-        begins = np.cumsum(sizes) - sizes
-        flat, at = np.frombuffer(b"".join(ids), "<u4"), coded.indices.to_numpy()
-        ends = np.cumsum(sizes[at])
-        place = np.arange(ends[-1] if len(at) else 0) + np.repeat(begins[at] - (ends - sizes[at]), sizes[at])
-        raw, ends = flat[place].tobytes(), np.concatenate(([0], ends)) * ID_BYTES
-        offsets = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
-        for lo, hi in zip(offsets, offsets[1:]):
-            yield raw[lo:hi]
-
-
-def run_ids(spec: str) -> RunIds:
-    return worker_state(("runs", zlib.crc32(spec.encode())), lambda: RunIds(spec))
+    def __missing__(self, word: str | int) -> bytes | bytearray:
+        ids = self.old.get(word)
+        if ids is None:
+            if isinstance(word, int):  # a special token
+                ids = np.array([word], "<u4").tobytes()
+            else:
+                ids = self.new[word] = bytearray()
+        self[word] = ids
+        return ids
+
+    def stated(self, word: str) -> str:
+        """The word in symbols for bytes, none of which is white space."""
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin1").translate(self.symbols)
+
+    def ask(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: one question, if the ids that end a word part the answer into as many words."""
+        stated = list(map(self.stated, words))
+        ids = np.array(self.model.encode_batch_fast([" ".join(stated)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(stated, add_special_tokens=False)]
+        raw, ends = ids.tobytes(), (ends * ID_BYTES).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def settle(self) -> None:
+        """Fill the buffers of new words."""
+        words = list(self.new)
+        for lo in range(0, len(words), 2048):
+            part = words[lo : lo + 2048]
+            for word, ids in zip(part, self.ask(part), strict=True):
+                self.new[word][:] = ids
+                self[word] = ids
+        self.new = {}
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+    def looked_up(self, text: str) -> list[bytes | bytearray]:
+        return list(map(self.__getitem__, self.splitter.parts(text)))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, in order; a long one is taken in chunks."""
+        short = [self.looked_up(t) if len(t) <= bpe.CHUNK else None for t in texts]
+        self.settle()
+        for text, found in zip(texts, short, strict=True):
+            yield b"".join(found if found is not None else self.of_chunks(text))
+
+    def of_chunks(self, text: str) -> Iterator[bytes]:
+        for chunk in bpe.chunks(text):
+            found = self.looked_up(chunk)
+            self.settle()
+            yield b"".join(found)
+
+
+def word_ids(spec: str) -> WordIds:
+    return worker_state(("words", zlib.crc32(spec.encode())), lambda: WordIds(spec))
 
 
 class SumOfSquares:
@@ -183,15 +196,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     spec = lean(docs.sparkSession).sparkContext.broadcast(bpe.read_spec(path))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, end = run_ids(spec.value), np.array([END_ID], "<u4").tobytes()
+        model, end = word_ids(spec.value), np.array([END_ID], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 40
 
         def encoded() -> Iterator[tuple[object, bytes]]:
             for b in batches:
                 for lo in range(0, b.num_rows, 500):
                     part = b.slice(lo, 500)
-                    for doc, ids in zip(part.column(0), model.encode(part.column(1)), strict=True):
-                        yield doc.as_py(), ids + end
+                    for doc, ids in zip(part.column(0).to_pylist(), model.encode(part.column(1).to_pylist()), strict=True):
+                        yield doc, ids + end
 
         rows: list[tuple] = []
         for k, placed in enumerate(pieces(encoded(), window)):

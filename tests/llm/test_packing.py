@@ -4,7 +4,6 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from tokenizers import Tokenizer
 
 from lumenlog.llm import packing
@@ -71,10 +70,21 @@ def test_empty_and_null_ids(spark):
 
 def test_cached_ids_are_the_library_s():
     rng, spec = random.Random(8), packing.bpe.read_spec()
-    model, mine = Tokenizer.from_str(spec), packing.RunIds(spec, limit=40)
-    letters = "aabhost'<|>.! \n\t\x1céΣİ日😀0" + "́"
-    for _ in range(60):
+    model, mine = Tokenizer.from_str(spec), packing.WordIds(spec, limit=40)
+    odd = "".join(map(chr, range(128, 256)))
+
+    for k in range(60):
+        letters = "aabhost'<|>.! \n\t\x1céΣİ日😀0" + "́" if k % 2 else "aBs't \x1c0" + odd
         texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) + rng.choice(["", "a<|endoftext|>B", " x"]) for _ in range(20)]
         want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
-        assert [np.frombuffer(i, "<u4").tolist() for i in mine.encode(pa.array(["cut", *texts]).slice(1))] == want
-    assert list(mine.encode(pa.array([], pa.string()))) == [] and list(mine.encode(pa.array(["", " "]))) == [b"", b""]
+        assert [np.frombuffer(i, "<u4").tolist() for i in mine.encode(texts)] == want
+    assert list(mine.encode([])) == [] and list(mine.encode(["", " "])) == [b"", b""]
+
+
+def test_long_texts_are_taken_in_chunks(monkeypatch):
+    spec = packing.bpe.read_spec()
+    model, mine = Tokenizer.from_str(spec), packing.WordIds(spec)
+    monkeypatch.setattr(packing.bpe, "CHUNK", 50)
+    texts = ["", "short one", "Some words, É́ and\u00a0more <|endoftext|> " * 9, "x" * 200, "a " * 200 + "b" * 99 + " c", "tail"]
+    assert [np.frombuffer(i, "<u4").tolist() for i in mine.encode(texts)] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert [packing.bpe.tokenizer(spec).encode(t) for t in texts] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
