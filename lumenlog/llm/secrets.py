@@ -19,10 +19,12 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 )
+#: The same matches, less those that fail for their length, where a pattern can tell: it then meets no others.
+LONG = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"(?<![0-9a-f])[0-9a-f]{24,}"}
 #: A cheap test that is true wherever a match of the kind can count.
-MAY = {"assign": r"""[pPsStTaA](?i:assw(?:or)?d|ecret|oken|pi_?key)["']?\x20*[:=]""", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
+MAY = {"assign": r"""[pPsStTaA](?i:assw(?:or)?d|ecret|oken|pi_?key)["']?\x20*[:=]""", "access": LONG["access"], "hex": r"[0-9a-f]{24}"}
 #: Strings of at least LEAST characters of this set are compared; one is a secret from a ratio of e^MARGIN on.
-CANDIDATE, LEAST, MARGIN = r"[A-Za-z0-9+/_=-]{20,}", 20, 9.0
+CANDIDATE, LEAST, MARGIN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", 20, 9.0
 #: Documents (chosen by a hash of their ids) that the two models learn from.
 TRAIN_ROWS = 400
 #: Digests of each of them that stand for random strings.
@@ -30,29 +32,62 @@ DIGESTS = 20
 CHARS = 128
 SPAN = "array<struct<start:int,end:int,text:string>>"
 MARK = "[secret]"
+#: Code points of the pieces that a text is cut into to take gaps out of it.
+PIECE = 64
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(numbers: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each number the merge, from 0 on, of those before it.
+
+    The array is cut into blocks of about the root of its size, blocks are merged as wholes, and a number merges only
+    those of its own block. (A fold with an array as its state would copy the array at every step.)
+    """
+    total = lambda part: F.aggregate(part, F.lit(0), merge)
+
+    def within(blocks: Column, wholes: Column) -> Column:
+        before = F.transform(wholes, lambda _, k: total(F.slice(wholes, 1, k)))
+        return F.flatten(F.zip_with(blocks, before, lambda block, start: F.transform(block, lambda _, k: merge(start, total(F.slice(block, 1, k))))))
+
+    def of(x: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(x))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / size).cast("int")), lambda k: F.slice(x, k * size + 1, size))
+        return let(blocks, lambda y: let(F.transform(y, total), lambda wholes: within(y, wholes)))
+
+    return F.when(F.size(numbers) > 0, let(numbers, of)).otherwise(F.array().cast("array<int>"))
+
+
+def plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
 
 
 def matches(text: Column, pattern: str, may: str) -> Column:
     """All leftmost, non-overlapping matches with their places in code points, end exclusive."""
-    none = F.array().cast(SPAN)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     before = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    both = F.zip_with(before, found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("text")))
+    both = F.zip_with(before, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"), m.alias("text")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["text"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text")))).alias("out"))
+    def placed(x: Column, at: Column) -> Column:
+        start = at + x["gap"]
+        return F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["text"].alias("text"))
 
-    spans = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(may), spans).otherwise(none)
+    spans = let(both, lambda xs: F.zip_with(xs, running(F.transform(xs, lambda x: x["gap"] + x["size"]), plus), placed))
+    return F.when(text.rlike(may), spans).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
     def counts(pattern: str, group: int, least: int) -> Callable[[Column], Column]:
         return lambda s: F.length(F.regexp_extract(s["text"], pattern, group)) >= least
 
-    return {kind: F.filter(matches(text, pattern, MAY[kind]), counts(pattern, group, least)) for kind, pattern, group, least in KINDS}
+    return {kind: F.filter(matches(text, LONG.get(kind, pattern), MAY[kind]), counts(pattern, group, least)) for kind, pattern, group, least in KINDS}
 
 
 def sampled(docs: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
@@ -93,6 +128,8 @@ def codes(string: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> list[float]:
     """Log-likelihood ratios of random to identifier, for pairs (before, after): entry 128 * before + after.
 
+    The labelled samples are made, not given: salted digests stand for random strings, the texts' own words for
+    identifiers, from about ``rows`` documents (bound: a classifier's training rows), chosen by a hash of their ids.
     The two chains' transition counts are one grouped count; each gets half a count more per character of the set, so
     that pairs which neither has seen decide little. At most 2 * 128 * 128 numbers reach the driver.
     """
@@ -117,10 +154,16 @@ def ratio(string: Column, model: list[float]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def model_spans(text: Column, base: Column, model: list[float]) -> Column:
-    """Candidates over the margin that do not lie within a base span."""
+def with_model_spans(text: Column, base: Column, model: list[float]) -> Column:
+    """The base spans and the candidates over the margin that lie within none of them, in order."""
     found = F.filter(matches(text, CANDIDATE, CANDIDATE), lambda s: ratio(s["text"], model) >= MARGIN)
-    return F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+
+    def kept(spans: Column) -> Column:
+        far = running(F.transform(spans, lambda s: F.when(s["rank"] < len(KINDS), s["end"]).otherwise(0)), larger)
+        met = F.filter(F.arrays_zip(spans.alias("s"), far.alias("far")), lambda x: (x["s"]["rank"] < len(KINDS)) | (x["s"]["end"] > x["far"]))
+        return F.transform(met, lambda x: x["s"])
+
+    return F.when(F.size(found) > 0, let(F.array_sort(F.concat(base, ranked(found, len(KINDS), "markov"))), kept)).otherwise(base)
 
 
 def written(spans: Column) -> Column:
@@ -142,23 +185,31 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = base_spans(text)
     base = F.array_sort(F.concat(*[ranked(kinds[k], i, k) for i, (k, *_) in enumerate(KINDS)]))
-    extra = ranked(model_spans(text, F.col(f"`{names[0]}`"), model), len(KINDS), "markov")
-    return docs.withColumn(names[0], base).withColumn(names[1], F.array_sort(F.concat(F.col(f"`{names[0]}`"), extra)))
+    return docs.withColumn(names[0], base).withColumn(names[1], with_model_spans(text, F.col(f"`{names[0]}`"), model))
+
 
+def taken(pieces: Column, gap: Column) -> Column:
+    """The text of a gap (start, end), out of pieces of PIECE code points; beyond the text there is none."""
+    first = F.floor(gap["start"] / PIECE).cast("int")
+    count = F.least(F.ceil(gap["end"] / PIECE).cast("int"), F.size(pieces)) - first
+    some = F.when(count > 0, F.array_join(F.slice(pieces, first + 1, F.greatest(count, F.lit(0))), "")).otherwise("")
+    return F.substring(some, gap["start"] - first * PIECE + 1, gap["end"] - gap["start"])
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: list[float] | None = None) -> DataFrame:
     """The columns of ``docs``, each span of the text replaced by a mark; overlapping spans share one. Null stays null."""
     base, all_spans = "+".join([*docs.columns, "base"]), "+".join([*docs.columns, "spans"])  # names that no column has
-    found = find_secrets(docs, id_col, text_col, names=(base, all_spans))
+    found = find_secrets(docs, id_col, text_col, model, (base, all_spans))
     text, spans = F.col(text_col), F.col(f"`{all_spans}`")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MARK))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"))
+    def gaps_of(spans: Column) -> Column:
+        gap = lambda s, at: F.when(s["start"] >= at, F.struct(at.alias("start"), s["start"].alias("end")))
+        tail = F.struct(F.aggregate(spans, F.lit(0), lambda at, s: F.greatest(at, s["end"])).alias("start"), F.lit(2**31 - 1).alias("end"))
+        return F.concat(F.array_compact(F.zip_with(spans, running(F.transform(spans, lambda s: s["end"]), larger), gap)), F.array(tail))
 
-    clean = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    )
+    # A piece is a few code points of the text, so that a gap is taken from its own pieces and not from the text's start.
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    clean = let(pieces, lambda p: F.array_join(F.transform(let(spans, gaps_of), lambda g: taken(p, g)), MARK))
     return found.withColumn(text_col, F.when(text.isNotNull() & (F.size(spans) > 0), clean).otherwise(text)).select(*docs.columns)
 
 

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 from lumenlog.llm import secrets
 
@@ -57,6 +58,57 @@ def test_spans_against_brute_force(spark):
     assert found > 10
 
 
+def long_texts():
+    rng = random.Random(7)
+    blob = base64.b64encode(rng.randbytes(60)).decode()
+    return [
+        "plain words here " * 600_000 + "deadbeef" * 4 + " é" * 20_000,
+        "token=abcdefg1 é " * 50_000,
+        f"{blob} password: {'0123456789abcdef' * 2} x " * 5_000,
+        "deadbeef" * 130_000,
+        "AKIA" * 100_000 + " " + "abcdef " * 150_000 + "secret=token=" * 20_000,
+    ]
+
+
+def replaced(text, spans):
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            out += [text[at:a], secrets.MARK]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    docs = spark.createDataFrame([(i, t, "x", 1, "k") for i, t in enumerate(long_texts())], SCHEMA).repartition(5)
+    model = secrets.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string"))
+    began = time.monotonic()
+    by = {r.doc_id: r for r in secrets.digest(secrets.find_secrets(docs, model=model)).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, model=model).collect()}
+    assert time.monotonic() - began < 120  # about ten seconds of work; in the square of the matches it would be hours
+    for i, text in enumerate(long_texts()):
+        spans = [s.split(":") for s in by[i].spans.split(",")]
+        assert [s for s in spans if s[0] != "markov"] == [[k, str(a), str(b)] for a, _, b, k in brute(text)]
+        assert clean[i] == replaced(text, [(int(a), int(b)) for _, a, b in spans])
+
+
+def test_model_spans_against_brute_force(spark):
+    docs = spark.createDataFrame([(i, t, "x", 1, "k") for i, t in enumerate(texts())], SCHEMA)
+    model = secrets.train(docs)
+    by = {r.doc_id: r.spans for r in secrets.digest(secrets.find_secrets(docs, model=model)).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    for i, text in enumerate(texts()):
+        base = brute(text)
+        extra = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+            score = sum(model[secrets.CHARS * ord(a) + ord(b)] for a, b in zip(m.group(), m.group()[1:]))
+            if score >= secrets.MARGIN and not any(a <= m.start() and m.end() <= b for a, _, b, _ in base):
+                extra.append((m.start(), 3, m.end(), "markov"))
+        want = sorted(base + extra)
+        assert by[i] == written(want)
+        assert clean[i] == (None if text is None else replaced(text, [(a, b) for a, _, b, _ in want]))
+
+
 def test_model_tells_random_strings_from_identifiers(spark):
     rng, words = random.Random(4), "understanding the general configuration of network interface handlers and application controllers".split()
     docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=60))) for i in range(200)], "doc_id long, text string")
