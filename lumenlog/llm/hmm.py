@@ -21,9 +21,9 @@ from lumenlog.llm.common import crc_mod, lean, materialize, text_bytes
 
 #: Hidden states; words with a symbol of their own; words whose counts every task knows (the rest are joined).
 STATES, SYMBOLS, KNOWN = 8, 16_384, 131_072
-#: Passes from random parameters, each over all training documents: at most PASSES, and LEAST before a gain in the
-#: log likelihood of less than GAIN of its size ends them.
-PASSES, LEAST, GAIN = 17, 6, 1e-4
+#: Baum-Welch passes from random parameters: SHARES of them over one share each of all training documents, so that
+#: each document is seen once, counts of earlier shares fading by FADE; then FULL passes over all of them.
+SHARES, FULL, FADE = 12, 2, 0.6
 #: Tokens of a training segment, and segments handled at once. A later segment starts from the states' shares.
 SEGMENT, AT_ONCE = 128, 1024
 #: Positions of a segment between two rescalings.
@@ -185,11 +185,10 @@ class Hmm:
         return Hmm(np.full(STATES, 1 / STATES), step, emit / emit.sum(axis=0))
 
     def counts(self, segments: list[tuple[np.ndarray, bool]]) -> np.ndarray:
-        """Expected counts (rows: start, steps by origin, emissions by symbol; columns: states) of some segments."""
-        return self.expected(segments)[0]
+        """Expected counts (rows: start, steps by origin, emissions by symbol; columns: states) of some segments.
 
-    def expected(self, segments: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, float]:
-        """The counts, and the log likelihood of the segments. Longest first, so that those alive are always a prefix."""
+        The longest come first, so that those alive are always a prefix.
+        """
         size, one = len(self.emit), np.ones(STATES)
         sizes = np.array([len(s) for s, _ in segments])
         order = np.argsort(-sizes, kind="stable")
@@ -200,7 +199,7 @@ class Hmm:
         sym = np.empty(int(begin[-1]), np.int64)  # position by position
         for t, n in enumerate(live):
             sym[begin[t] : begin[t + 1]] = flat[source[:n] + t]
-        emit, scale, log = self.emit[sym], {}, 0.0
+        emit, scale = self.emit[sym], {}
         alpha, share = np.empty_like(emit), np.linalg.matrix_power(self.step, 64)[0]
         alpha[: live[0]] = np.where(first[:, None], self.start, share) * emit[: live[0]]
         for t in range(1, len(live)):
@@ -208,12 +207,10 @@ class Hmm:
             if t % RESCALE == 0:
                 scale[t] = 1 / (at @ one)
                 at *= scale[t][:, None]
-                log -= np.log(scale[t]).sum()
             alpha[begin[t] : begin[t + 1]] = at
         out, steps, beta = np.zeros((1 + STATES + size, STATES)), np.zeros((STATES, STATES)), np.empty((0, STATES))
         for t in range(len(live) - 1, -1, -1):
             here, ended = slice(begin[t], begin[t + 1]), alpha[begin[t] + len(beta) : begin[t + 1]] @ one
-            log += np.log(ended).sum()
             beta = np.concatenate((beta, np.repeat(1 / ended[:, None], STATES, axis=1)))
             into = emit[here] * beta
             if t in scale:
@@ -226,7 +223,7 @@ class Hmm:
         out[1 : 1 + STATES] = steps * self.step
         for s in range(STATES):
             out[1 + STATES :, s] = np.bincount(sym, alpha[:, s], minlength=size)
-        return out, float(log)
+        return out
 
     @staticmethod
     def fitted(counts: np.ndarray, shares: np.ndarray) -> Hmm:
@@ -266,33 +263,40 @@ def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarra
         yield held
 
 
+def expected_counts(coded: DataFrame, model: Hmm) -> np.ndarray:
+    """Expected counts of all sequences, as Hmm.counts has them; summed in each task, then over the tasks."""
+    size, names = 1 + STATES + len(model.emit), [f"s{k}" for k in range(STATES)]
+    shared = coded.sparkSession.sparkContext.broadcast(model)
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, STATES))
+        for s in segments(batches):
+            total += shared.value.counts(s)
+        at = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, k]) for k in range(STATES))], ["at", *names])
+
+    rows = coded.select("symbols").mapInArrow(expect, ", ".join(["at long", *(f"{k} double" for k in names)]))
+    total = np.zeros((size, STATES))
+    for r in rows.groupBy("at").agg(*(F.sum(k).alias(k) for k in names)).collect():
+        total[r[0]] = r[1:]
+    shared.unpersist()
+    return total
+
+
 def train(coded: DataFrame, lex: Lexicon) -> Hmm:
-    """Baum-Welch. coded: (symbols) of the training documents, written down once; each pass reads all of them."""
-    spark, shares = coded.sparkSession, lex.shares()
-    names, size = [f"s{k}" for k in range(STATES)], 1 + STATES + len(shares)
-    model, before = Hmm.random(shares), -np.inf
-    for done in range(1, PASSES + 1):
-        shared = spark.sparkContext.broadcast(model)
-
-        def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total, log = np.zeros((size + 1, STATES)), 0.0
-            for s in segments(batches):
-                counts, more = shared.value.expected(s)
-                total[:size] += counts
-                log += more
-            total[size, 0] = log
-            at = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, k]) for k in range(STATES))], ["at", *names])
-
-        rows = coded.select("symbols").mapInArrow(expect, ", ".join(["at long", *(f"{k} double" for k in names)]))
-        total = np.zeros((size + 1, STATES))
-        for r in rows.groupBy("at").agg(*(F.sum(k).alias(k) for k in names)).collect():
-            total[r[0]] = r[1:]
-        shared.unpersist()
-        model, now = Hmm.fitted(total[:size], shares), total[size, 0]
-        if done >= LEAST and now - before <= GAIN * abs(now):
-            break
-        before = now
+    """Baum-Welch. coded: (row, symbols) of the training documents, written down once.
+
+    A share is every SHARES-th row of each part that was written, so it grows with the corpus, at every size alike.
+    Its rows are read by fewer tasks, as each task sends a table of counts.
+    """
+    shares = lex.shares()
+    model, kept = Hmm.random(shares), 0.0
+    tasks = max(1, coded.rdd.getNumPartitions() // 4)
+    for k in range(SHARES):
+        kept = FADE * kept + expected_counts(coded.where(F.col("row") % SHARES == k).coalesce(tasks), model)
+        model = Hmm.fitted(kept, shares)
+    for _ in range(FULL):
+        model = Hmm.fitted(expected_counts(coded, model), shares)
     return model
 
 
@@ -334,7 +338,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lex = lexicon(counts)
     coded = materialize(encode(rows, lex), "hmm-symbols")
     whole = coded.where("symbols is not null")
-    model = train(whole.where("not held_out").select("symbols"), lex)
+    model = train(whole.where("not held_out").select("row", "symbols"), lex)
 
     mass = F.array(*[F.lit(float(m)) for m in lex.class_mass])
     last = F.conv(F.hex(F.substring("word", -1, 1)), 16, 10).cast("int") % 16

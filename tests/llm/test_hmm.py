@@ -97,20 +97,19 @@ def test_passes_raise_the_likelihood():
         before, m = now, hmm.Hmm.fitted(m.counts([(d, True) for d in docs]), shares)
 
 
-def test_all_passes_cover_all_documents(spark, monkeypatch):
+def test_passes_cover_all_documents_by_shares_and_whole(spark, monkeypatch):
     monkeypatch.setattr(hmm, "SYMBOLS", 30)
     rng = random.Random(5)
     texts = [" ".join(f"w{rng.randint(0, 19) + 20 * (i % 2)}" for _ in range(rng.randint(1, 12))) for i in range(3600)]
     docs = spark.createDataFrame([(i, False, bytearray(t.encode())) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text binary")
     lex = hmm.lexicon(hmm.word_counts(docs))
-    coded = hmm.encode(docs, lex).where("symbols is not null").select("symbols", "row", F.xxhash64("doc_id", "row").alias("pick")).cache()
-    whole = [(np.frombuffer(r.symbols, np.uint16), True) for r in coded.collect()]
-    m, before = hmm.Hmm.random(lex.shares()), -np.inf
-    for done in range(1, hmm.PASSES + 1):
-        now = m.log10_likelihoods([s for s, _ in whole]).sum() * np.log(10)
-        m = hmm.Hmm.fitted(m.counts(whole), lex.shares())
-        if done >= hmm.LEAST and now - before <= hmm.GAIN * abs(now):
-            break
-        before = now
+    coded = hmm.encode(docs, lex).where("symbols is not null").select("symbols", "row").cache()
+    whole = [(r.row, (np.frombuffer(r.symbols, np.uint16), True)) for r in coded.collect()]
+    m, kept = hmm.Hmm.random(lex.shares()), 0.0
+    for k in range(hmm.SHARES):
+        kept = hmm.FADE * kept + m.counts([s for row, s in whole if row % hmm.SHARES == k])
+        m = hmm.Hmm.fitted(kept, lex.shares())
+    for _ in range(hmm.FULL):
+        m = hmm.Hmm.fitted(m.counts([s for _, s in whole]), lex.shares())
     got = hmm.train(coded, lex)
     assert np.allclose(got.start, m.start) and np.allclose(got.step, m.step) and np.allclose(got.emit, m.emit)
