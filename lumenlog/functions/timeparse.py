@@ -7,8 +7,10 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns.
 ISO = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2}))"
 APACHE = r"\[(\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4})\]"
+APACHE_STAMP = r"^\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}$"
 CLASSIC = r"^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})"
 AUDIT = r"msg=audit\((\d+)\."
 
@@ -21,6 +23,11 @@ def infer_year(stamp: Column, file_mtime: Column) -> Column:
     return F.when(this > file_mtime + F.expr("INTERVAL 1 DAY"), at(F.year(file_mtime) - 1)).otherwise(this)
 
 
+def apache_ts(stamp: Column) -> Column:
+    """A stamp as access logs have it between brackets; null if it is none."""
+    return F.try_to_timestamp(F.when(stamp.rlike(APACHE_STAMP), stamp), F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
+
+
 def parse_ts(line: Column, file_mtime: Column) -> Column:
     """ISO 8601 with an offset, then Apache, then classic syslog, then audit epoch; null if none."""
     found = lambda pattern: F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))

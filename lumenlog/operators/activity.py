@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions import rules
 from lumenlog.functions.text import ellipsis, extract
-from lumenlog.functions.timeparse import parse_ts
+from lumenlog.functions.timeparse import apache_ts, parse_ts
 
 COMBINED = r'^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)(?:\s+([^"]+))?"\s+(\d{3})\s+(\d+|-)\s+"([^"]*)"\s+"([^"]*)"'
+#: Stands between the groups of a matched line.
+SIGN = "\x01"
 #: Options that take an argument, other options, then [user@]host.
 SSH = r"(?i)ssh\s+(?:-[bcDEFIiJLlmOopQRSWw]\s+\S+\s+|-\S+\s+)*(?:([A-Za-z0-9._-]+)@)?([A-Za-z0-9.-]+)"
 
@@ -20,13 +22,20 @@ def web_daemon(path: Column) -> Column:
 
 
 def parse_web(lines: DataFrame) -> DataFrame:
-    """Combined log format; other lines stay with their raw text as message and no request."""
+    """Combined log format; other lines stay with their raw text as message and no request.
+
+    A line is matched once: its groups, parted by a sign that no line of text holds, become an array.
+    """
     line = F.col("line")
-    part = lambda k: extract(line, COMBINED, k)
-    request = F.concat(part(3), F.lit(" "), part(4), F.lit(" -> "), part(6), F.lit(" "), part(7), F.lit("B"))
-    return lines.where(F.trim("line") != "").select(
-        "collection", "seq", "line", parse_ts(line, F.col("file_mtime")).alias("ts"), part(1).alias("ip"), part(3).alias("method"), part(4).alias("uri"), part(6).alias("status"),
-        part(7).alias("size"), part(9).alias("agent"), F.when(line.rlike(COMBINED), request).otherwise(line).alias("message"),
+    parts = F.split(F.regexp_replace(line, COMBINED + r".*$", SIGN + SIGN.join(f"${k}" for k in (1, 2, 3, 4, 6, 7, 9))), SIGN)
+    rows = lines.where(F.trim("line") != "").withColumn("parts", F.when(line.startswith('"') | ~line.contains('"'), F.array(line)).otherwise(parts))
+    found = F.size("parts") == 8
+    part = lambda k: F.when(found, F.get("parts", F.lit(k))).otherwise("")
+    request = F.concat(part(3), F.lit(" "), part(4), F.lit(" -> "), part(5), F.lit(" "), part(6), F.lit("B"))
+    ts = F.when(found, F.coalesce(apache_ts(part(2)), parse_ts(line, F.col("file_mtime")))).otherwise(parse_ts(line, F.col("file_mtime")))
+    return rows.select(
+        "collection", "seq", "line", ts.alias("ts"), part(1).alias("ip"), part(3).alias("method"), part(4).alias("uri"), part(5).alias("status"),
+        part(6).alias("size"), part(7).alias("agent"), F.when(found, request).otherwise(line).alias("message"),
     )
 
 
@@ -142,17 +151,21 @@ def container_log_hits(logs: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def docker_event_hits(lines: DataFrame) -> DataFrame:
-    """Privileged events and, as in daemon logs, privileged launches and mounts of host paths."""
-    line = F.lower("line")
+    """Hits (severity, label) of daemon logs and event files, told by ``artifact`` (daemon, events).
+
+    Daemon log: privileged launches and mounts of host paths, HIGH each. Events: privileged containers, MEDIUM.
+    """
+    line, daemon = F.lower("line"), F.col("artifact") == "daemon"
     ts = F.timestamp_seconds(extract(F.col("line"), r'"time"\s*:\s*(\d+)').try_cast("long"))
-    label = F.array_compact(
+    hit = lambda test, severity, label: F.when(test, F.struct(F.lit(severity).alias("severity"), F.lit(label).alias("label")))
+    found = F.array_compact(
         F.array(
-            F.when(line.contains('"privileged":true') | line.contains("--privileged"), "Privileged event"),
-            F.when(line.contains("--privileged"), "Privileged launch (daemon log)"),
-            F.when(line.rlike(r"mount.*(?:host|/proc|/dev|docker\.sock)"), "Suspicious mount (daemon log)"),
+            hit(~daemon & (line.contains('"privileged":true') | line.contains("--privileged")), "MEDIUM", "Privileged event"),
+            hit(daemon & line.contains("--privileged"), "HIGH", "Privileged launch (daemon log)"),
+            hit(daemon & line.rlike(r"mount.*(?:host|/proc|/dev|docker\.sock)"), "HIGH", "Suspicious mount (daemon log)"),
         )
     )
-    return lines.select("collection", "seq", ts.alias("ts"), F.explode(label).alias("label"))
+    return lines.select("collection", "seq", ts.alias("ts"), F.explode(found).alias("f")).select("collection", "seq", "ts", "f.*")
 
 
 def rank_keyword_hits(texts: DataFrame, rank1: list[str], rank2: list[str], whitelist: list[str]) -> DataFrame:

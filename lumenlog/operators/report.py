@@ -28,10 +28,19 @@ def normalise(events: DataFrame, log_type: str, **columns: Column) -> DataFrame:
     return events.select("collection", "ts", F.lit(log_type).alias("log_type"), *rest, raw.alias("raw"))
 
 
-def findings(grouped: DataFrame, log_type: str, severity: str, key: str) -> DataFrame:
+def findings(grouped: DataFrame, log_type: str, severity: str | Column, key: str) -> DataFrame:
     """Grouped events as findings: key, example, text for display."""
-    text = F.concat(F.lit(f"[{log_type}] [{severity}] ["), format_range(F.col("first_ts"), F.col("last_ts"), F.col("n")), F.lit("] "), ellipsis(F.col("example"), 160))
-    return grouped.select("collection", F.lit(log_type).alias("log_type"), F.lit(severity).alias("severity"), F.col(key).alias("key"), "n", "first_ts", "last_ts", "example", text.alias("text"))
+    grade = F.lit(severity) if isinstance(severity, str) else severity
+    text = F.concat(F.lit(f"[{log_type}] ["), grade, F.lit("] ["), format_range(F.col("first_ts"), F.col("last_ts"), F.col("n")), F.lit("] "), ellipsis(F.col("example"), 160))
+    return grouped.select("collection", F.lit(log_type).alias("log_type"), grade.alias("severity"), F.col(key).alias("key"), "n", "first_ts", "last_ts", "example", text.alias("text"))
+
+
+def hits(rows: DataFrame, log_type: str, severity: Column, key: Column, ts: Column | None = None) -> DataFrame:
+    """Findings of rows that are hits by themselves: one for each severity and key, which is the example too."""
+    at = F.lit(None).cast("timestamp") if ts is None else ts
+    named = rows.select("collection", severity.alias("severity"), key.alias("key"), at.alias("ts"))
+    grouped = named.groupBy("collection", "severity", "key").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return findings(grouped.withColumn("example", F.col("key")), log_type, F.col("severity"), "key")
 
 
 def is_high(severity: Column) -> Column:
@@ -43,9 +52,10 @@ def is_suspicious(severity: Column) -> Column:
 
 
 def coverage(events: DataFrame, as_of: Column) -> DataFrame:
-    """First and last valid time, and rows, per collection and log type. events: (collection, log_type, ts)."""
-    ts = F.when(valid_ts(F.col("ts"), as_of), F.col("ts"))
-    return events.groupBy("collection", "log_type").agg(F.count("*").alias("rows"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+    """First and last valid time, and rows, per collection and log type. events: (collection, log_type, ts, last),
+    last being ts but for rows of several stamps."""
+    valid = lambda c: F.when(valid_ts(F.col(c), as_of), F.col(c))
+    return events.groupBy("collection", "log_type").agg(F.count("*").alias("rows"), F.min(valid("ts")).alias("first_ts"), F.max(valid("last")).alias("last_ts"))
 
 
 def per_log_status(found: DataFrame, covered: DataFrame) -> DataFrame:

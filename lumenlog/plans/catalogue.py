@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenlog.functions import rules
 from lumenlog.functions.text import is_public_ip, normalize_for_grouping
 from lumenlog.operators import activity, auth, fleet, report, score, sessions, system
-from lumenlog.operators.group import collapse_cron, group_events, pattern_counts, top_k
+from lumenlog.operators.group import collapse_cron, pattern_counts, top_k
 from lumenlog.plans.config import TriageConfig
 from lumenlog.sources.derive import lines
 
@@ -75,12 +75,12 @@ def ssh_bruteforce(spark, d):
 
 @query
 def failed_logins_topk(spark, d):
-    return top_k(auth.logins(actions(spark, d), "failed"), ["collection"], [F.col("n").desc(), F.col("ip"), F.col("user")], 20)
+    return top_k(auth.logins(actions(spark, d), "failed"), ["collection"], [F.col("n").desc(), F.col("ip"), F.col("user")], 10)
 
 
 @query
 def accepted_logins_topk(spark, d):
-    return top_k(auth.logins(actions(spark, d), "accepted"), ["collection"], [F.col("n").desc(), F.col("ip"), F.col("user")], 10)
+    return top_k(auth.logins(actions(spark, d), "accepted"), ["collection"], [F.col("n").desc(), F.col("ip"), F.col("user")], 20)
 
 
 @query
@@ -270,7 +270,7 @@ def journal_findings(spark, d):
 def message_clusters(spark, d):
     texts = spark.read.parquet(f"{d}/conversations.parquet").select(F.lit("conversations").alias("collection"), F.col("text").alias("line"), F.struct("conv_id", "turn").alias("seq"))
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.lit("documents").alias("collection"), F.col("text").alias("line"), F.struct(F.col("doc_id").alias("conv_id"), F.lit(0).cast("long").alias("turn")).alias("seq"))
-    rows = texts.unionByName(docs).where("line is not null").withColumn("key", F.substring(normalize_for_grouping(F.col("line")), 1, 100))
+    rows = texts.unionByName(docs).where("line is not null").withColumn("key", F.sha2(normalize_for_grouping(F.col("line")), 256))
     grouped = rows.groupBy("collection", "key").agg(F.count("*").alias("n"), F.min("seq").alias("s"))
     return grouped.select("collection", "key", "n", F.col("s.conv_id").alias("first_id"), F.col("s.turn").alias("first_turn"))
 
@@ -346,21 +346,47 @@ def collapsed_cron(spark, d):
 
 def covered_events(spark, d):
     parts = {
-        "AUTH": auth.parse_auth(lines(spark, d, "auth")), "SYSLOG": syslog(spark, d), "MESSAGES": messages(spark, d), "AUDIT": audit(spark, d), "WEB": web(spark, d), "CRONTAB": crontab(spark, d),
-        "BASH": activity.history_commands(lines(spark, d, "history")), "JOURNAL": journal(spark, d),
+        "AUTH": auth.parse_auth(lines(spark, d, "auth")), "SYSLOG": syslog(spark, d), "MESSAGES": messages(spark, d), "AUDIT": audit(spark, d), "WEB": activity.parse_web(lines(spark, d, "web")),
+        "CRONTAB": crontab(spark, d), "BASH": activity.history_commands(lines(spark, d, "history")), "JOURNAL": journal(spark, d),
     }
-    return report.union([df.select("collection", F.lit(t).alias("log_type"), "ts") for t, df in parts.items()])
+    none = F.lit(None).cast("timestamp")
+    events = lines(spark, d, "docker_events").select("collection", F.timestamp_seconds(F.regexp_extract("line", r'"time"\s*:\s*(\d+)', 1).try_cast("long")).alias("ts"))
+    parts |= {"DOCKER": report.union([events, *[lines(spark, d, t).select("collection", none.alias("ts")) for t in ("containers", "container_logs")]])}
+    parts |= {"SHA1": score.parse_sha1(lines(spark, d, "sha1")).withColumn("ts", none), "LIVE": report.union([lines(spark, d, t).select("collection", none.alias("ts")) for t in ("ps", "persistence", "files")])}
+    plain = [df.select("collection", F.lit(t).alias("log_type"), "ts", F.col("ts").alias("last")) for t, df in parts.items()]
+    stamps = [F.timestamp_seconds(c) for c in ("atime", "mtime", "ctime", "crtime")]
+    files = score.parse_bodyfile(lines(spark, d, "bodyfile")).select("collection", F.lit("BODYFILE").alias("log_type"), F.least(*stamps).alias("ts"), F.greatest(*stamps).alias("last"))
+    return report.union([*plain, files])
 
 
 def all_findings(spark, d):
-    f = report.findings
-    crit = lambda df, key: group_events(df, ["collection", key], F.col(key))
+    """Findings of every source, each with its own severity."""
+    f, hits, grade = report.findings, report.hits, F.col("severity")
+    done, boxes = actions(spark, d), activity.containers(lines(spark, d, "containers"))
+    order = [F.col("n").desc(), F.col("ip"), F.col("user")]
+    logins = lambda what, k, key: f(top_k(auth.logins(done, what), ["collection"], order, k).withColumn("key", key).withColumn("example", key), "AUTH", "MEDIUM", "key")
+    brute = auth.ssh_bruteforce(done, CONFIG.bruteforce_threshold).withColumn("example", F.concat_ws(" ", F.lit("failed logins of"), F.col("users").cast("string"), F.lit("users")))
+    typed = shell(spark, d)
+    tiers = lambda tier: F.when(tier == "Critical", "HIGH").otherwise("SUSPICIOUS")
     attacks = activity.web_attack_findings(web(spark, d)).withColumn("example", F.col("uri"))
-    jobs = crit(crontab(spark, d).where("tier = 'Critical'"), "command")
+    files, medium = score.bodyfile_findings(score.parse_bodyfile(lines(spark, d, "bodyfile")), CONFIG), F.lit("MEDIUM")
+    hashes = score.sha1_candidates(score.score_sha1(score.parse_sha1(lines(spark, d, "sha1"))), CONFIG.sha1_min_score)
     return report.union([
+        hits(auth.sudo_tiers(done).where("tier = 'HIGH'"), "AUTH", F.lit("HIGH"), F.concat("user", F.lit(" ran: "), "command"), F.col("ts")), f(brute, "AUTH", "BRUTEFORCE", "ip"),
+        logins("accepted", 20, F.concat("user", F.lit(" from "), "ip")), logins("failed", 10, F.concat("ip", F.lit(" user="), "user")),
         f(system.syslog_findings(syslog(spark, d)), "SYSLOG", "HIGH", "key"), f(system.messages_findings(messages(spark, d)), "MESSAGES", "HIGH", "key"),
-        f(system.audit_findings(audit(spark, d)), "AUDIT", "HIGH", "key"), f(attacks, "WEB", "HIGH", "attack"), f(jobs, "CRONTAB", "HIGH", "command"),
+        f(system.audit_findings(audit(spark, d)), "AUDIT", "HIGH", "key"), f(attacks, "WEB", "HIGH", "attack"),
+        hits(crontab(spark, d).where("tier <> 'Info'"), "CRONTAB", tiers(F.col("tier")), F.col("command"), F.col("ts")),
         f(system.journal_findings(journal(spark, d)), "JOURNAL", "HIGH", "signature"),
+        hits(typed.where("tier <> 'Info'"), "BASH", tiers(F.col("tier")), F.concat("username", F.lit(": "), "command"), F.col("ts")),
+        hits(typed.where("anti_forensics and tier <> 'Info'"), "BASH", F.lit("HIGH"), F.concat(F.lit("anti-forensics by "), "username"), F.col("ts")),
+        hits(activity.container_risk(boxes), "DOCKER", grade, F.concat("label", F.lit(": "), "name")),
+        hits(activity.container_log_hits(lines(spark, d, "container_logs"), boxes), "DOCKER", F.lit("HIGH"), F.concat("word", F.lit(" in log of "), "name")),
+        hits(activity.docker_event_hits(lines(spark, d, "docker_events")), "DOCKER", grade, F.col("label"), F.col("ts")),
+        hits(files, "BODYFILE", F.lit("SUSPICIOUS"), F.col("path"), F.col("mtime")), hits(hashes, "SHA1", grade, F.concat("hash", F.lit(" "), "path")),
+        hits(fleet.process_hits(fleet.parse_ps(lines(spark, d, "ps"))).where("word is not null"), "LIVE", medium, F.concat("word", F.lit(" in: "), "command")),
+        hits(fleet.persistence_hits(lines(spark, d, "persistence")), "LIVE", medium, F.concat("kind", F.lit(": "), "line")),
+        hits(fleet.suspicious_temp_files(lines(spark, d, "files")), "LIVE", medium, F.col("path")),
     ])
 
 
@@ -382,8 +408,11 @@ def per_log_status(spark, d):
 @query
 def global_summary(spark, d):
     label = lambda df, t: pattern_counts(df).select("collection", F.lit(t).alias("log_type"), F.col("label").alias("item"), "n")
-    labels = report.union([label(actions(spark, d), "AUTH"), label(syslog(spark, d), "SYSLOG"), label(audit(spark, d), "AUDIT"), label(web(spark, d), "WEB")])
+    labelled = {"AUTH": actions, "SYSLOG": syslog, "MESSAGES": messages, "AUDIT": audit, "WEB": web, "CRONTAB": crontab, "BASH": shell, "JOURNAL": journal}
+    labels = report.union([label(plan(spark, d), t) for t, plan in labelled.items()])
     ips = auth.interesting_ips(actions(spark, d)).select("collection", F.lit("AUTH").alias("log_type"), F.col("ip").alias("item"), "n")
+    attackers = web(spark, d).where("attack is not null").groupBy("collection", F.col("ip").alias("item")).agg(F.count("*").alias("n"))
+    ips = ips.unionByName(attackers.select("collection", F.lit("WEB").alias("log_type"), "item", "n"))
     return report.global_summary(report.coverage(covered_events(spark, d), F.lit(CONFIG.as_of)), labels, ips, all_findings(spark, d))
 
 

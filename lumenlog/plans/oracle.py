@@ -248,11 +248,50 @@ NET = f"""net0 AS (SELECT *, coalesce(last_value(CASE WHEN artifact = 'ip' THEN
   WHEN artifact = 'firewall' AND starts_with(line, '*') THEN 'table' END AS kind FROM net0),
  net AS (SELECT collection, seq, kind, CASE WHEN kind = 'address' THEN interface ELSE '' END AS name, CASE WHEN kind IN ('address', 'resolver') THEN addr WHEN kind = 'search' THEN trim(substr(ltrim(line), 7)) ELSE trim(line) END AS value, kind = 'resolver' AND {isin('addr', rules.PUBLIC_RESOLVERS)} AS public FROM net1 WHERE kind IS NOT NULL)"""
 
-COVERED = f"""{ACTIONS}, {SYSLOG_F}, {MESSAGES_F}, {AUDIT_F}, {WEB_F}, {CRONTAB}, {HISTORY}, {JOURNAL_F}, covered0 AS (SELECT collection, 'AUTH' AS log_type, ts FROM auth UNION ALL SELECT collection, 'SYSLOG', ts FROM syslog UNION ALL SELECT collection, 'MESSAGES', ts FROM messages
-  UNION ALL SELECT collection, 'AUDIT', ts FROM audit UNION ALL SELECT collection, 'WEB', ts FROM web UNION ALL SELECT collection, 'CRONTAB', ts FROM crontab UNION ALL SELECT collection, 'BASH', ts FROM history UNION ALL SELECT collection, 'JOURNAL', ts FROM journal),
- covered AS (SELECT collection, log_type, count(*) AS rows, min(CASE WHEN year(ts) BETWEEN 2000 AND 2025 THEN ts END) AS first_ts, max(CASE WHEN year(ts) BETWEEN 2000 AND 2025 THEN ts END) AS last_ts FROM covered0 GROUP BY ALL),
- found AS (SELECT collection, 'SYSLOG' AS log_type, key, n, first_ts, last_ts FROM syslog_f UNION ALL SELECT collection, 'MESSAGES', key, n, first_ts, last_ts FROM messages_f UNION ALL SELECT collection, 'AUDIT', key, n, first_ts, last_ts FROM audit_f UNION ALL SELECT collection, 'WEB', attack, n, first_ts, last_ts FROM web_f
-  UNION ALL SELECT collection, 'CRONTAB', command, count(*), min(ts), max(ts) FROM crontab WHERE tier = 'Critical' GROUP BY collection, command UNION ALL SELECT collection, 'JOURNAL', signature, n, first_ts, last_ts FROM journal_f)"""
+CONTAINER_RISK = " UNION ALL ".join(f"SELECT collection, container_id, name, image, {q(s)} AS severity, {q(label)} AS label FROM con WHERE {test}" for test, s, label in RISKS)
+CONTAINER_LOGS = f"SELECT l.collection, l.seq, {first('l.line', rules.CONTAINER_EXEC)} AS word, coalesce(c.name, substr(l.container_id, 1, 12)) AS name, {short('l.line', 120)} AS line FROM ({duck('container_logs')}) l LEFT JOIN con c ON l.collection = c.collection AND l.container_id = c.container_id WHERE {any_of('l.line', rules.CONTAINER_EXEC)}"
+DOCKER_TS = epoch(f"TRY_CAST({rx('line', '\"time\"' + chr(92) + 's*:' + chr(92) + 's*([0-9]+)')} AS BIGINT)")
+DOCKER_EVENTS = f"""dev AS (SELECT collection, seq, artifact = 'daemon' AS daemon, lower(line) AS low, {DOCKER_TS} AS ts FROM ({duck('docker_events')})),
+ docker_hits AS (SELECT collection, seq, ts, 'MEDIUM' AS severity, 'Privileged event' AS label FROM dev WHERE NOT daemon AND (contains(low, '"privileged":true') OR contains(low, '--privileged'))
+  UNION ALL SELECT collection, seq, ts, 'HIGH', 'Privileged launch (daemon log)' FROM dev WHERE daemon AND contains(low, '--privileged')
+  UNION ALL SELECT collection, seq, ts, 'HIGH', 'Suspicious mount (daemon log)' FROM dev WHERE daemon AND {like('low', 'mount.*(?:host|/proc|/dev|docker' + chr(92) + '.sock)')})"""
+PERSISTENCE = f"""per0 AS (SELECT collection, seq, CASE WHEN artifact = 'systemd' AND (contains(line, 'WantedBy=') OR (contains(line, '.service') AND (contains(line, '/tmp/') OR contains(line, '/dev/shm/') OR contains(line, '/var/tmp/')))) THEN 'unit'
+  WHEN artifact = 'crontab' AND NOT {HASHED} AND (contains(line, 'wget ') OR contains(line, 'curl ') OR contains(line, 'bash -c') OR contains(line, 'python ')) THEN 'cron' WHEN artifact = 'rc_local' AND NOT {HASHED} AND (contains(line, 'bash ') OR contains(line, 'sh ') OR contains(line, 'python ') OR contains(line, 'nohup ')) THEN 'rc.local'
+  WHEN artifact = 'bashrc' AND starts_with(line, 'export ') THEN 'export' END AS kind, line FROM ({duck('persistence')})), persistence AS (SELECT * FROM per0 WHERE kind IS NOT NULL)"""
+TEMP_FILES = f"SELECT collection, seq, line AS path FROM ({duck('files')}) WHERE {any_of('line', ['/tmp', '/var/tmp', '/dev/shm', '/home'])} AND ({like('lower(line)', chr(92) + '.(?:sh|py|elf)$')} OR {any_of('line', ['minerd', 'backdoor', 'revsh'])})"
+PROCESS_HITS = f"""pro0 AS (SELECT *, {first('command', rules.PROCESS_KEYWORDS)} AS word, (contains(command, 'systemd') OR contains(command, 'sshd') OR contains(command, 'cron')) AS core FROM ps), process_hits AS (SELECT * FROM pro0 WHERE word IS NOT NULL OR core)"""
+
+
+def hits(log_type: str, severity: str, key: str, ts: str, source: str) -> str:
+    return f"SELECT collection, {q(log_type)} AS log_type, {severity} AS severity, {key} AS key, count(*) AS n, min({ts}) AS first_ts, max({ts}) AS last_ts FROM ({source}) GROUP BY ALL"
+
+
+def top_logins(what: str, key: str, k: int) -> str:
+    rows = f"SELECT collection, address AS ip, who AS \"user\", count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM actions WHERE action = {q(what)} GROUP BY ALL"
+    return f"SELECT collection, 'AUTH', 'MEDIUM', {key}, n, first_ts, last_ts FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY n DESC, ip, \"user\") AS rank FROM ({rows})) WHERE rank <= {k}"
+
+
+NEVER = "CAST(NULL AS TIMESTAMP)"
+TIERS = "CASE tier WHEN 'Critical' THEN 'HIGH' ELSE 'SUSPICIOUS' END"
+SHA_BEST = "SELECT collection, hash, path, score, reasons, CASE WHEN score >= 7 THEN 'HIGH' WHEN score >= 4 THEN 'SUSPICIOUS' ELSE 'INFO' END AS severity FROM (SELECT *, row_number() OVER (PARTITION BY collection, lower(hash) ORDER BY seq DESC) AS rn FROM best WHERE passing AND (best IS NULL OR score > best)) WHERE rn = 1"
+EPOCHS = "[atime, mtime, ctime, crtime]"
+COVERED = f"""{ACTIONS}, {SYSLOG_F}, {MESSAGES_F}, {AUDIT_F}, {WEB_F}, {CRONTAB}, {SHELL}, {JOURNAL_F}, {CONTAINERS}, {DOCKER_EVENTS}, {BODY_F}, {SHA}, {PS}, {PROCESS_HITS}, {PERSISTENCE},
+ covered0 AS (SELECT collection, 'AUTH' AS log_type, ts, ts AS last FROM auth UNION ALL SELECT collection, 'SYSLOG', ts, ts FROM syslog UNION ALL SELECT collection, 'MESSAGES', ts, ts FROM messages
+  UNION ALL SELECT collection, 'AUDIT', ts, ts FROM audit UNION ALL SELECT collection, 'WEB', ts, ts FROM web UNION ALL SELECT collection, 'CRONTAB', ts, ts FROM crontab UNION ALL SELECT collection, 'BASH', ts, ts FROM history UNION ALL SELECT collection, 'JOURNAL', ts, ts FROM journal
+  UNION ALL SELECT collection, 'DOCKER', ts, ts FROM dev {' '.join(f"UNION ALL SELECT collection, {q(kind)}, {NEVER}, {NEVER} FROM ({duck(t)})" for kind, t in (('DOCKER', 'containers'), ('DOCKER', 'container_logs'), ('LIVE', 'ps'), ('LIVE', 'persistence'), ('LIVE', 'files')))}
+  UNION ALL SELECT collection, 'SHA1', {NEVER}, {NEVER} FROM sha0 UNION ALL SELECT collection, 'BODYFILE', {epoch(f'list_min({EPOCHS})')}, {epoch(f'list_max({EPOCHS})')} FROM body),
+ covered AS (SELECT collection, log_type, count(*) AS rows, min(CASE WHEN year(ts) BETWEEN 2000 AND 2025 THEN ts END) AS first_ts, max(CASE WHEN year(last) BETWEEN 2000 AND 2025 THEN last END) AS last_ts FROM covered0 GROUP BY ALL),
+ found AS (SELECT collection, 'SYSLOG' AS log_type, 'HIGH' AS severity, key, n, first_ts, last_ts FROM syslog_f UNION ALL SELECT collection, 'MESSAGES', 'HIGH', key, n, first_ts, last_ts FROM messages_f UNION ALL SELECT collection, 'AUDIT', 'HIGH', key, n, first_ts, last_ts FROM audit_f
+  UNION ALL SELECT collection, 'WEB', 'HIGH', attack, n, first_ts, last_ts FROM web_f UNION ALL SELECT collection, 'JOURNAL', 'HIGH', signature, n, first_ts, last_ts FROM journal_f
+  UNION ALL {hits('AUTH', "'HIGH'", "who || ' ran: ' || " + short('command', 200).join('()'), 'ts', f"SELECT * FROM actions WHERE action = 'sudo' AND {any_of('command', rules.SUDO_HIGH)} AND NOT {any_of('command', rules.AUTOMATION)}")}
+  UNION ALL SELECT * FROM ({hits('AUTH', "'BRUTEFORCE'", 'address', 'ts', "SELECT * FROM actions WHERE action = 'failed'")}) WHERE n >= 5
+  UNION ALL {top_logins('accepted', '"user" || ' + q(' from ') + ' || ip', 20)} UNION ALL {top_logins('failed', 'ip || ' + q(' user=') + ' || "user"', 10)}
+  UNION ALL {hits('CRONTAB', TIERS, 'command', 'ts', "SELECT * FROM crontab WHERE tier <> 'Info'")} UNION ALL {hits('BASH', TIERS, "username || ': ' || command", 'ts', "SELECT * FROM shell WHERE tier <> 'Info'")}
+  UNION ALL {hits('BASH', "'HIGH'", "'anti-forensics by ' || username", 'ts', "SELECT * FROM shell WHERE anti_forensics AND tier <> 'Info'")}
+  UNION ALL {hits('DOCKER', 'severity', "label || ': ' || name", NEVER, CONTAINER_RISK)} UNION ALL {hits('DOCKER', "'HIGH'", "word || ' in log of ' || name", NEVER, CONTAINER_LOGS)}
+  UNION ALL {hits('DOCKER', 'severity', 'label', 'ts', 'SELECT * FROM docker_hits')} UNION ALL {hits('BODYFILE', "'SUSPICIOUS'", 'path', epoch('mtime'), 'SELECT * FROM sco4 WHERE last = 1')}
+  UNION ALL {hits('SHA1', 'severity', "hash || ' ' || path", NEVER, SHA_BEST)} UNION ALL {hits('LIVE', "'MEDIUM'", "word || ' in: ' || command", NEVER, 'SELECT * FROM process_hits WHERE word IS NOT NULL')}
+  UNION ALL {hits('LIVE', "'MEDIUM'", "kind || ': ' || line", NEVER, 'SELECT * FROM persistence')} UNION ALL {hits('LIVE', "'MEDIUM'", 'path', NEVER, TEMP_FILES)})"""
 IPS = "SELECT collection, address AS ip FROM actions WHERE action IN ('failed', 'accepted') AND address <> ''"
 RANGE = f"{shown('first_ts')}, {shown('last_ts')}"
 
@@ -280,8 +319,8 @@ def ranked(part: str, k: int) -> str:
 
 ORACLE_SQL = {
     "ssh_bruteforce": f"WITH {ACTIONS} SELECT collection, address AS ip, count(*) AS n, {shown('min(ts)', 'first_ts')}, {shown('max(ts)', 'last_ts')}, count(DISTINCT who) AS users FROM actions WHERE action = 'failed' GROUP BY collection, address HAVING count(*) >= 5",
-    "failed_logins_topk": f"WITH {ACTIONS} {topk(logins('failed'), 20)}",
-    "accepted_logins_topk": f"WITH {ACTIONS} {topk(logins('accepted'), 10)}",
+    "failed_logins_topk": f"WITH {ACTIONS} {topk(logins('failed'), 10)}",
+    "accepted_logins_topk": f"WITH {ACTIONS} {topk(logins('accepted'), 20)}",
     "sudo_findings": f"WITH {ACTIONS} SELECT collection, seq, {shown('ts')}, who AS \"user\", {short('command', 200)} AS command, CASE WHEN {any_of('command', rules.SUDO_HIGH)} AND NOT {any_of('command', rules.AUTOMATION)} THEN 'HIGH' ELSE 'Info' END AS tier, CASE WHEN {any_of('command', rules.SUDO_HIGH)} THEN 'High' ELSE 'Medium' END AS severity FROM actions WHERE action = 'sudo'",
     "auth_events_norm": f"WITH {AUTH} SELECT collection, seq, {shown('ts')}, host, 'AUTH' AS log_type, daemon, \"user\", ip, message, CASE WHEN {like('line', SUDO)} THEN CASE WHEN {any_of(rx('line', SUDO, 2), rules.SUDO_HIGH)} THEN 'High' ELSE 'Medium' END WHEN {like('line', ACCEPTED)} THEN 'Info' WHEN {like('line', FAILED)} THEN 'Medium' ELSE 'Info' END AS severity, line AS raw FROM auth",
     "pattern_counts_auth": f"WITH {ACTIONS} SELECT collection, label, count(*) AS n FROM actions GROUP BY ALL",
@@ -314,18 +353,15 @@ ORACLE_SQL = {
     "lateral_movement": f"WITH {HISTORY} SELECT collection, username, {rx('command', SSH, 1)} AS as_user, {rx('command', SSH, 2)} AS target, count(*) AS n, {shown('min(ts)', 'first_ts')}, {shown('max(ts)', 'last_ts')} FROM history WHERE starts_with(lower(command), 'ssh ') AND {like('command', SSH)} GROUP BY ALL",
     "bodyfile_timeline": f"WITH {BODY} SELECT collection, seq, path, size, mode, uid, gid, md5, {', '.join(shown(epoch(c), c) for c in ('atime', 'mtime', 'ctime', 'crtime'))} FROM body",
     "bodyfile_findings": f"WITH {BODY_F} SELECT collection, path, score, reasons, size, {shown(epoch('mtime'), 'mtime')} FROM sco4 WHERE last = 1",
-    "sha1_candidates": f"""WITH {SHA}, r AS (SELECT *, row_number() OVER (PARTITION BY collection, lower(hash) ORDER BY seq DESC) AS rn FROM best WHERE passing AND (best IS NULL OR score > best))
- SELECT collection, hash, path, score, reasons, CASE WHEN score >= 7 THEN 'HIGH' WHEN score >= 4 THEN 'SUSPICIOUS' ELSE 'INFO' END AS severity FROM r WHERE rn = 1""",
+    "sha1_candidates": f"WITH {SHA} {SHA_BEST}",
     "sha1_stats": f"WITH {SHA} SELECT collection, count(*) AS total, count_if(white) AS whitelisted, count_if(NOT white) AS scored, count_if(NOT white AND score < 3) AS below, count_if(passing AND coalesce(score <= best, false)) AS duplicates, count(DISTINCT CASE WHEN passing THEN lower(hash) END) AS candidates FROM best GROUP BY ALL",
     "container_inventory": f"WITH {CONTAINERS} SELECT collection, container_id, name, image, status, created, command, privileged, host_network, host_pid, root, array_to_string(capabilities, '; ') AS capabilities, array_to_string(mounts, '; ') AS mounts, array_to_string(suspicious, '; ') AS suspicious, CASE WHEN {TRAP} THEN 'Critical' WHEN privileged OR host_network OR len(capabilities) > 0 THEN 'High' WHEN len(suspicious) > 0 OR root THEN 'Medium' ELSE 'Info' END AS severity FROM con",
-    "container_risk": f"WITH {CONTAINERS} " + " UNION ALL ".join(f"SELECT collection, container_id, name, image, {q(s)} AS severity, {q(label)} AS label FROM con WHERE {test}" for test, s, label in RISKS),
-    "container_log_hits": f"WITH {CONTAINERS} SELECT l.collection, l.seq, {first('l.line', rules.CONTAINER_EXEC)} AS word, coalesce(c.name, substr(l.container_id, 1, 12)) AS name, {short('l.line', 120)} AS line FROM ({duck('container_logs')}) l LEFT JOIN con c ON l.collection = c.collection AND l.container_id = c.container_id WHERE {any_of('l.line', rules.CONTAINER_EXEC)}",
-    "docker_event_hits": f"""WITH e AS (SELECT collection, seq, lower(line) AS low, {epoch(f"TRY_CAST({rx('line', '"time"' + chr(92) + 's*:' + chr(92) + 's*([0-9]+)')} AS BIGINT)")} AS ts FROM ({duck('docker_events')}))
- SELECT collection, seq, {shown('ts')}, 'Privileged event' AS label FROM e WHERE contains(low, '"privileged":true') OR contains(low, '--privileged') UNION ALL SELECT collection, seq, {shown('ts')}, 'Privileged launch (daemon log)' FROM e WHERE contains(low, '--privileged')
- UNION ALL SELECT collection, seq, {shown('ts')}, 'Suspicious mount (daemon log)' FROM e WHERE {like('low', 'mount.*(?:host|/proc|/dev|docker' + chr(92) + '.sock)')}""",
+    "container_risk": f"WITH {CONTAINERS} {CONTAINER_RISK}",
+    "container_log_hits": f"WITH {CONTAINERS} {CONTAINER_LOGS}",
+    "docker_event_hits": f"WITH {DOCKER_EVENTS} SELECT collection, seq, {shown('ts')}, severity, label FROM docker_hits",
     "journal_tiers": f"WITH {JOURNAL} SELECT collection, seq, {shown('ts')}, identifier, tier, label FROM journal",
     "journal_findings": f"WITH {JOURNAL_F} SELECT collection, signature, n, {RANGE}, example FROM journal_f",
-    "message_clusters": f"""WITH t AS (SELECT 'conversations' AS collection, text AS line, conv_id, turn FROM conversations UNION ALL SELECT 'documents', text, doc_id, 0 FROM documents), k AS (SELECT *, substr({grouping('line')}, 1, 100) AS key FROM t WHERE line IS NOT NULL),
+    "message_clusters": f"""WITH t AS (SELECT 'conversations' AS collection, text AS line, conv_id, turn FROM conversations UNION ALL SELECT 'documents', text, doc_id, 0 FROM documents), k AS (SELECT *, sha256({grouping('line')}) AS key FROM t WHERE line IS NOT NULL),
  r AS (SELECT *, row_number() OVER (PARTITION BY collection, key ORDER BY conv_id, turn) AS rn, count(*) OVER (PARTITION BY collection, key) AS n FROM k) SELECT collection, key, n, conv_id AS first_id, turn AS first_turn FROM r WHERE rn = 1""",
     "rank_keyword_hits": f"""WITH t AS (SELECT 'documents' AS source, doc_id AS id, text FROM documents UNION ALL SELECT 'auth', seq, line FROM ({duck('auth')}) UNION ALL SELECT 'history', seq, line FROM ({duck('history')}))
  SELECT source, id, coalesce({first('text', rules.RANK1)}, {first('text', rules.RANK2)}) AS keyword, CASE WHEN {first('text', rules.RANK1)} IS NOT NULL THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM t WHERE ({any_of('text', rules.RANK1)} OR {any_of('text', rules.RANK2)}) AND NOT {any_of('text', rules.RANK_WHITELIST)}""",
@@ -334,23 +370,23 @@ ORACLE_SQL = {
     "external_connections": f"""WITH {SOCKETS}, v AS (SELECT *, regexp_replace(peer, ':[^:]*$', '') AS bare FROM sockets WHERE state LIKE 'ESTAB%'), w AS (SELECT *, TRY_CAST(split_part(bare, '.', 1) AS INT) AS a, TRY_CAST(split_part(bare, '.', 2) AS INT) AS b FROM v)
  SELECT collection, peer, split_part(process, '/', 1) AS process, count(*) AS n FROM w WHERE NOT {PUBLIC_V4} GROUP BY ALL""",
     "processes_by_user": f"WITH {PS} SELECT collection, \"user\", count(*) AS n FROM ps GROUP BY ALL",
-    "process_hits": f"WITH {PS}, h AS (SELECT *, {first('command', rules.PROCESS_KEYWORDS)} AS word, (contains(command, 'systemd') OR contains(command, 'sshd') OR contains(command, 'cron')) AS core FROM ps) SELECT * FROM h WHERE word IS NOT NULL OR core",
+    "process_hits": f"WITH {PS}, {PROCESS_HITS} SELECT * FROM process_hits",
     "account_inventory": f"WITH {ACCOUNTS} SELECT * FROM accounts",
     "net_config": f"WITH {NET} SELECT * FROM net",
-    "persistence_hits": f"""WITH h AS (SELECT collection, seq, CASE WHEN artifact = 'systemd' AND (contains(line, 'WantedBy=') OR (contains(line, '.service') AND (contains(line, '/tmp/') OR contains(line, '/dev/shm/') OR contains(line, '/var/tmp/')))) THEN 'unit'
-  WHEN artifact = 'crontab' AND NOT {HASHED} AND (contains(line, 'wget ') OR contains(line, 'curl ') OR contains(line, 'bash -c') OR contains(line, 'python ')) THEN 'cron' WHEN artifact = 'rc_local' AND NOT {HASHED} AND (contains(line, 'bash ') OR contains(line, 'sh ') OR contains(line, 'python ') OR contains(line, 'nohup ')) THEN 'rc.local'
-  WHEN artifact = 'bashrc' AND starts_with(line, 'export ') THEN 'export' END AS kind, line FROM ({duck('persistence')})) SELECT * FROM h WHERE kind IS NOT NULL""",
-    "suspicious_temp_files": f"SELECT collection, seq, line AS path FROM ({duck('files')}) WHERE {any_of('line', ['/tmp', '/var/tmp', '/dev/shm', '/home'])} AND ({like('lower(line)', chr(92) + '.(?:sh|py|elf)$')} OR {any_of('line', ['minerd', 'backdoor', 'revsh'])})",
+    "persistence_hits": f"WITH {PERSISTENCE} SELECT * FROM persistence",
+    "suspicious_temp_files": TEMP_FILES,
     "fleet_counts": f"""WITH {ACCOUNTS}, {SOCKETS}, {NET}, m AS (SELECT collection, artifact AS measure FROM ({duck('files')}) WHERE artifact IN ('suid', 'world_writable') UNION ALL SELECT collection, kind FROM accounts WHERE kind <> 'login'
   UNION ALL SELECT collection, CASE WHEN state LIKE 'LISTEN%' THEN 'listener' ELSE 'established' END FROM sockets WHERE state LIKE 'LISTEN%' OR state LIKE 'ESTAB%' UNION ALL SELECT collection, kind FROM net WHERE kind IN ('chain', 'rule', 'table')
   UNION ALL SELECT collection, CASE artifact WHEN 'systemd' THEN 'unit' ELSE 'cron_entry' END FROM ({duck('persistence')}) WHERE artifact = 'systemd' OR (artifact = 'crontab' AND NOT {HASHED})) SELECT collection, measure, count(*) AS n FROM m GROUP BY ALL""",
     "collapsed_cron": f"""WITH {SYSLOG}, c AS (SELECT collection, seq, cron_cmd, ts FROM syslog WHERE cron_cmd <> '') SELECT collection, 'FINDING: [CRON] Suspicious cron job CMD: ' || cron_cmd AS key, count(*) AS n, {shown('min(ts)', 'first_ts')}, {shown('max(ts)', 'last_ts')}, arg_min(cron_cmd, seq) AS example FROM c GROUP BY collection, cron_cmd HAVING count(*) >= 2""",
     "coverage": f"WITH {COVERED} SELECT collection, log_type, rows, {RANGE} FROM covered",
-    "findings": f"WITH {COVERED} SELECT collection, log_type, 'HIGH' AS severity, key, n, {RANGE} FROM found",
-    "per_log_status": f"WITH {COVERED}, s AS (SELECT c.collection, c.log_type, count(f.key) AS suspicious FROM covered c LEFT JOIN found f ON c.collection = f.collection AND c.log_type = f.log_type GROUP BY ALL) SELECT *, CASE WHEN suspicious = 0 THEN 'clean' ELSE suspicious || ' suspicious' END AS status FROM s",
+    "findings": f"WITH {COVERED} SELECT collection, log_type, severity, key, n, {RANGE} FROM found",
+    "per_log_status": f"WITH {COVERED}, s AS (SELECT c.collection, c.log_type, count_if(coalesce(f.severity <> 'INFO', false)) AS suspicious FROM covered c LEFT JOIN found f ON c.collection = f.collection AND c.log_type = f.log_type GROUP BY ALL) SELECT *, CASE WHEN suspicious = 0 THEN 'clean' ELSE suspicious || ' suspicious' END AS status FROM s",
     "global_summary": f"""WITH {COVERED}, labels AS (SELECT collection, 'AUTH' AS log_type, 'pattern' AS section, label AS item, count(*) AS n FROM actions GROUP BY ALL UNION ALL SELECT collection, 'SYSLOG', 'pattern', label, count(*) FROM syslog WHERE label IS NOT NULL GROUP BY ALL
-  UNION ALL SELECT collection, 'AUDIT', 'pattern', label, count(*) FROM audit WHERE label IS NOT NULL GROUP BY ALL UNION ALL SELECT collection, 'WEB', 'pattern', attack, count(*) FROM web WHERE attack IS NOT NULL GROUP BY ALL),
- ips AS (SELECT collection, 'AUTH' AS log_type, 'ip' AS section, ip AS item, count(*) AS n FROM ({IPS}) GROUP BY ALL), parts AS (SELECT collection, log_type, 'rows' AS section, '' AS item, rows AS n, 1 AS rank FROM covered UNION ALL {ranked('SELECT * FROM labels', 5)} UNION ALL {ranked('SELECT * FROM ips', 3)}
-  UNION ALL {ranked("SELECT collection, log_type, 'finding' AS section, key AS item, n FROM found", 5)}) SELECT *, CASE log_type {' '.join(f"WHEN {q(t)} THEN {i}" for i, t in enumerate(IMPORTANCE))} ELSE {len(IMPORTANCE)} END AS log_rank FROM parts""",
+  UNION ALL SELECT collection, 'AUDIT', 'pattern', label, count(*) FROM audit WHERE label IS NOT NULL GROUP BY ALL UNION ALL SELECT collection, 'WEB', 'pattern', attack, count(*) FROM web WHERE attack IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT collection, 'MESSAGES', 'pattern', label, count(*) FROM messages WHERE label IS NOT NULL GROUP BY ALL UNION ALL SELECT collection, 'JOURNAL', 'pattern', label, count(*) FROM journal WHERE label IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT collection, 'CRONTAB', 'pattern', tier || ' crontab entry', count(*) FROM crontab WHERE tier <> 'Info' GROUP BY ALL UNION ALL SELECT collection, 'BASH', 'pattern', tier || ' shell command', count(*) FROM shell WHERE tier <> 'Info' GROUP BY ALL),
+ ips AS (SELECT collection, 'AUTH' AS log_type, 'ip' AS section, ip AS item, count(*) AS n FROM ({IPS}) GROUP BY ALL UNION ALL SELECT collection, 'WEB', 'ip', ip, count(*) FROM web WHERE attack IS NOT NULL GROUP BY ALL), parts AS (SELECT collection, log_type, 'rows' AS section, '' AS item, rows AS n, 1 AS rank FROM covered UNION ALL {ranked('SELECT * FROM labels', 5)} UNION ALL {ranked('SELECT * FROM ips', 3)}
+  UNION ALL {ranked("SELECT collection, log_type, 'finding' AS section, key AS item, n FROM found WHERE severity IN ('HIGH', 'CRITICAL', 'BRUTEFORCE', 'SUSPICIOUS')", 5)}) SELECT *, CASE log_type {' '.join(f"WHEN {q(t)} THEN {i}" for i, t in enumerate(IMPORTANCE))} ELSE {len(IMPORTANCE)} END AS log_rank FROM parts""",
     "severity_by_keyword": f"SELECT collection, CASE WHEN contains(lower(line), 'fault') THEN 'Medium' WHEN contains(lower(line), 'level=') THEN 'Low' WHEN contains(lower(line), 'emerg') THEN 'High' ELSE 'Info' END AS severity, count(*) AS n FROM ({duck('messages')}) GROUP BY ALL",
 }

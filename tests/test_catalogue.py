@@ -8,7 +8,6 @@ from lumenlog.plans.oracle import ORACLE_SQL
 from lumenlog.sources.derive import TABLES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"findings", "per_log_status", "global_summary"}
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +27,7 @@ def test_same_names():
     assert set(QUERIES) == set(ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     want = duck.execute(ORACLE_SQL[name])
