@@ -133,7 +133,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     gap = F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= DRIFT, 0).otherwise(1)
-    spans = diagonals.where("template is not null").withColumn("gap", gap).withColumn("span", F.sum("gap").over(order))
+    # A document without any vote has one row, without a template, that goes along; so texts are read once.
+    spans = diagonals.withColumn("gap", gap).withColumn("span", F.sum("gap").over(order))
     spans = spans.groupBy("row", "template", "span").agg(*keep, F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_or("bits").alias("bits"))
     covered = F.col("bits")
     for k in range(1, GRAM):
@@ -143,8 +144,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     label = F.element_at(F.array(*[F.lit(name) for name, _ in TEMPLATES]), at)
     found = F.struct(label.alias("label"), F.col("lo").cast("long").alias("start"), (F.col("hi") + GRAM).cast("long").alias("end"), cover.alias("cover"))
     hits = spans.withColumn("found", F.when(cover >= COVER, found)).select("row", *doc, "found")
-    misses = diagonals.where("template is null").select("row", *doc, F.lit(None).cast(hits.schema["found"].dataType).alias("found"))
-    whole = hits.union(misses).groupBy("row").agg(*keep, F.array_sort(F.collect_list("found")).alias("spans"))
+    whole = hits.groupBy("row").agg(*keep, F.array_sort(F.collect_list("found")).alias("spans"))
     base = F.array_compact(F.array(*[F.when(F.col("base").bitwiseAND(1 << k) != 0, F.lit(name)) for k, name in enumerate(PHRASES.values())]))
     best = F.coalesce(F.array_max(F.transform("spans", lambda s: s["cover"])), F.lit(0.0))
     return whole.select(
