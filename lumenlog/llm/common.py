@@ -38,9 +38,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, a local session) a folder of our own."""
+    """The folder named by spark.checkpoint.dir; where it is unset, in a local session alone, a folder of our own.
+
+    On a cluster an executor's own folder would hold a part of each table that no other machine reads: an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -63,7 +69,11 @@ def discard(df: DataFrame) -> None:
 
 
 def lean(spark: SparkSession) -> SparkSession:
-    """Texts go to Python in batches of a thousand rows at most: two sides of an executor hold each batch."""
+    """Texts go to Python in batches of a thousand rows at most: two sides of an executor hold each batch.
+
+    Spark reads this setting when a plan runs, which is after an operator has returned it, and knows it for a session
+    only; so the session keeps it. A smaller value that the user has set stays.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= 1000:
         spark.conf.set(name, "1000")
@@ -80,13 +90,31 @@ def crc_mod(name: str, modulus: int) -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary")) % modulus
 
 
+#: Parts that a hub's links are dealt to. A hub has over HUB links and over a HUBS-th part of all, so there are fewer
+#: than HUBS of them, whatever the graph.
+SALTS, HUB, HUBS = 64, 64, 1000
+
+
+def spread_join(links: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    """links (u, v) with the least (m) of their u; least: (u, m, n), n the number of links of u; rows bounds the links.
+
+    The links of a hub are dealt by u and a hash of v, and its row of ``least`` goes to each part, so no task gets all
+    links of one hub. Hubs are broadcast, fewer than HUBS numbers.
+    """
+    is_hub = F.col("n") > max(HUB, rows // HUBS)
+    hubs = F.broadcast(least.where(is_hub).select("u", F.lit(True).alias("hub")))
+    salted = links.join(hubs, "u", "left").withColumn("salt", F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hub")
+    parts = F.when(is_hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(least.select("u", "m", F.explode(parts).alias("salt")), ["u", "salt"]).drop("salt")
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """Components of an undirected graph, by alternating large-star and small-star steps.
 
     links: (a long, b long), any order, repeats and loops allowed, rows with a null ignored.
     Returns (node, component) for every node that has a link; component is the smallest node reachable.
-    Each step is a grouped minimum and an equi-join, so a hub's links are pre-aggregated and its join is split by
-    adaptive execution; nothing passes through the driver but a row count and a checksum.
+    Each step is a grouped minimum, which is summed up before it is shuffled, and an equi-join that spreads each hub
+    over SALTS parts; nothing passes through the driver but a row count, a checksum and the hubs.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, seen = materialize(edges, "links"), None
@@ -96,10 +124,10 @@ def connected_components(links: DataFrame) -> DataFrame:
             break
         seen, before = (state.n, state.x), edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = spread_join(both.where("v > u"), least, 2 * state.n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, 2 * state.n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         discard(before)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
