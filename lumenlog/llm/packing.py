@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.llm import bpe
-from lumenlog.llm.common import lean, worker_state
+from lumenlog.llm.common import lean, release, worker_state
 
 WINDOW = 2048
 END_ID = 1
 #: Words that a generation of the cache holds.
-CACHED = 250_000
+CACHED = 100_000
 ID_BYTES = 4
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -218,6 +218,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 rows = []
         if rows:
             yield batch(rows)
+        model.clear()  # the next task learns its words anew, and an idle worker holds none
+        model.old = {}
+        release()
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
