@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions import rules
 from lumenlog.functions.text import IPV4, extract, is_public_peer, local_port
+from lumenlog.operators.group import top_k
 
 # Ports whose listeners are named, and states of a socket.
 NOTABLE_PORTS = [22, 23, 80, 443, 445, 3389, 8000, 8080, 8443, 3333, 5555, 6666, 7777, 14444, 18080]
@@ -32,6 +33,12 @@ def listening_ports(sockets: DataFrame) -> DataFrame:
     return listen.groupBy("collection", "proto", "port").agg(F.count("*").alias("n"), F.coalesce(F.max("port").isin(*NOTABLE_PORTS), F.lit(False)).alias("notable"))
 
 
+def listeners_shown(sockets: DataFrame, k: int = 10) -> DataFrame:
+    """The first k listeners of a collection, by port and protocol."""
+    listen = sockets.where(F.col("state").startswith("LISTEN"))
+    return top_k(listen, ["collection"], [F.col("port").asc_nulls_last(), F.col("proto"), F.col("seq")], k).select("collection", "rank", "port", "proto", "local", "process")
+
+
 def external_connections(sockets: DataFrame) -> DataFrame:
     rows = sockets.where(F.col("state").startswith("ESTAB") & is_public_peer(F.col("peer")))
     return rows.groupBy("collection", "peer", F.substring_index("process", "/", 1).alias("process")).agg(F.count("*").alias("n"))
@@ -56,10 +63,11 @@ def process_hits(processes: DataFrame) -> DataFrame:
 
 
 def open_file_hits(lines: DataFrame) -> DataFrame:
-    """lsof lines: deleted binaries still mapped, and open network sockets; pstree lines with an interactive shell."""
-    line = F.col("line")
-    kind = F.when(line.contains("(deleted)"), "deleted").when(line.rlike("TCP|UDP"), "socket").when(F.lower(line).rlike("bash|sh|zsh|dash|ksh|python|perl|php|ruby"), "shell")
-    return lines.withColumn("kind", kind).where("kind is not null")
+    """(kind, line): lsof lines of deleted files and of sockets, a line may be both; pstree lines that name a shell."""
+    line, lsof = F.col("line"), F.col("artifact") == "lsof"
+    shell = (F.col("artifact") == "pstree") & F.lower(line).rlike("bash|sh|zsh|dash|ksh|python|perl|php|ruby")
+    kinds = F.array_compact(F.array(F.when(lsof & line.contains("(deleted)"), "deleted"), F.when(lsof & (line.contains("TCP") | line.contains("UDP")), "socket"), F.when(shell, "shell")))
+    return lines.select("collection", "seq", F.explode(kinds).alias("kind"), F.trim("line").alias("line"))
 
 
 def accounts(lines: DataFrame) -> DataFrame:
@@ -112,6 +120,18 @@ def suspicious_temp_files(files: DataFrame) -> DataFrame:
     return files.where(is_suspicious_temp(F.col("line"))).select("collection", "seq", F.col("line").alias("path"))
 
 
+def recent_files_shown(files: DataFrame, k: int = 10) -> DataFrame:
+    """The last k lines of a collection's list of recent files, in the order of their text."""
+    recent = files.where((F.col("artifact") == "recent") & (F.trim("line") != ""))
+    return top_k(recent, ["collection"], [F.col("line").desc(), F.col("seq")], k).select("collection", "rank", "line")
+
+
+def distinct_values(net: DataFrame, account_rows: DataFrame) -> DataFrame:
+    """Each resolver, search domain, host override and sudoer of a collection once: (kind, value)."""
+    known = net.where("kind in ('resolver', 'search', 'host')").select("collection", "kind", "value")
+    return known.unionByName(account_rows.where("kind = 'sudoer'").select("collection", "kind", F.col("name").alias("value"))).distinct()
+
+
 def fleet_counts(files: DataFrame, account_rows: DataFrame, sockets: DataFrame, net: DataFrame, persistence: DataFrame) -> DataFrame:
     """One row per collection and measure."""
     named = lambda df, what: df.select("collection", what.alias("measure"))

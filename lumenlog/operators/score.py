@@ -112,3 +112,8 @@ def sha1_stats(scored: DataFrame, least: int) -> DataFrame:
         F.count_if(~F.col("whitelisted") & (F.col("score") < least)).alias("below"), F.count_if(F.col("passing") & F.coalesce(F.col("score") <= F.col("best"), F.lit(False))).alias("duplicates"),
         F.count_distinct(F.when(F.col("passing"), F.lower("hash"))).alias("candidates"),
     )
+
+
+def sha1_shown(candidates: DataFrame, k: int = 20) -> DataFrame:
+    """The k candidates of a collection that score most."""
+    return top_k(candidates, ["collection"], [F.col("score").desc(), F.col("path"), F.col("hash")], k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +14,12 @@ from lumenlog.functions.text import is_public_ip, normalize_for_grouping
 from lumenlog.operators import activity, auth, fleet, report, score, sessions, system
 from lumenlog.operators.group import collapse_cron, pattern_counts, top_k
 from lumenlog.plans.config import TriageConfig
+from lumenlog.plans.registry import LOG_TYPES, dated, normalised_events
 from lumenlog.sources.derive import lines
 
-CONFIG = TriageConfig()
+#: Derived requests are spread thin, so one in a minute is already the threshold.
+CONFIG = TriageConfig(web_requests_per_minute=1)
+RANGE = dataclasses.replace(CONFIG, start=dt.datetime(1995, 1, 1), end=dt.datetime(2024, 3, 15, 12))
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -30,36 +35,42 @@ def query(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return plan
 
 
+def classified(spark, d, name):
+    """Classified events of a log type in the analyst's range."""
+    kind = LOG_TYPES[name]
+    return dated(kind.events(lines(spark, d, kind.source)), CONFIG)
+
+
 def actions(spark, d):
-    return auth.auth_actions(auth.parse_auth(lines(spark, d, "auth")))
+    return auth.auth_actions(dated(auth.parse_auth(lines(spark, d, "auth")), CONFIG))
 
 
 def syslog(spark, d):
-    return system.classify_syslog(system.parse_syslog(lines(spark, d, "syslog")))
+    return classified(spark, d, "SYSLOG")
 
 
 def messages(spark, d):
-    return system.classify_messages(system.parse_messages(lines(spark, d, "messages")))
+    return classified(spark, d, "MESSAGES")
 
 
 def audit(spark, d):
-    return system.classify_audit(system.parse_audit(lines(spark, d, "audit")))
+    return classified(spark, d, "AUDIT")
 
 
 def web(spark, d):
-    return activity.classify_web(activity.parse_web(lines(spark, d, "web")))
+    return classified(spark, d, "WEB")
 
 
 def crontab(spark, d):
-    return system.classify_crontab(system.parse_crontab(lines(spark, d, "crontab")))
+    return classified(spark, d, "CRONTAB")
 
 
 def shell(spark, d):
-    return activity.classify_shell(activity.history_commands(lines(spark, d, "history"), CONFIG.history_gap_hours))
+    return activity.classify_shell(dated(activity.history_commands(lines(spark, d, "history"), CONFIG.history_gap_hours), CONFIG))
 
 
 def journal(spark, d):
-    return system.classify_journal(lines(spark, d, "journal"))
+    return classified(spark, d, "JOURNAL")
 
 
 def judged(spark, d):
@@ -93,6 +104,12 @@ def auth_events_norm(spark, d):
     return auth.auth_events_norm(auth.parse_auth(lines(spark, d, "auth")))
 
 
+@query
+def events_norm(spark, d):
+    """Every log type of which lines are derived, in a range of dates."""
+    return normalised_events(lambda source: lines(spark, d, source), RANGE, [t for t in LOG_TYPES if t != "SECURE"])
+
+
 @query
 def pattern_counts_auth(spark, d):
     return pattern_counts(actions(spark, d))
@@ -131,7 +148,7 @@ def session_stats(spark, d):
 
 @query
 def sessions_grouped(spark, d):
-    return sessions.sessions_grouped(judged(spark, d))
+    return sessions.sessions_grouped(judged(spark, d)).orderBy("collection", F.desc("suspicious"), F.desc("n"), "first_ts")
 
 
 @query
@@ -141,7 +158,7 @@ def syslog_tiers(spark, d):
 
 @query
 def syslog_findings(spark, d):
-    return system.syslog_findings(syslog(spark, d))
+    return system.syslog_findings(syslog(spark, d)).orderBy("collection", F.col("key").startswith("cron|").desc(), F.desc("n"), "first_ts")
 
 
 @query
@@ -181,7 +198,7 @@ def web_attack_findings(spark, d):
 
 @query
 def web_bruteforce(spark, d):
-    return activity.web_bruteforce(activity.parse_web(lines(spark, d, "web")), 1)
+    return activity.web_bruteforce(dated(activity.parse_web(lines(spark, d, "web")), CONFIG), CONFIG.web_requests_per_minute)
 
 
 @query
@@ -222,7 +239,7 @@ def bodyfile_timeline(spark, d):
 
 @query
 def bodyfile_findings(spark, d):
-    return score.bodyfile_findings(score.parse_bodyfile(lines(spark, d, "bodyfile")), CONFIG)
+    return score.bodyfile_findings(score.parse_bodyfile(lines(spark, d, "bodyfile")), CONFIG).orderBy("collection", F.desc("score"), "path")
 
 
 @query
@@ -230,6 +247,11 @@ def sha1_candidates(spark, d):
     return score.sha1_candidates(score.score_sha1(score.parse_sha1(lines(spark, d, "sha1"))), CONFIG.sha1_min_score)
 
 
+@query
+def sha1_shown(spark, d):
+    return score.sha1_shown(score.sha1_candidates(score.score_sha1(score.parse_sha1(lines(spark, d, "sha1"))), CONFIG.sha1_min_score))
+
+
 @query
 def sha1_stats(spark, d):
     return score.sha1_stats(score.score_sha1(score.parse_sha1(lines(spark, d, "sha1"))), CONFIG.sha1_min_score)
@@ -297,6 +319,11 @@ def listening_ports(spark, d):
     return fleet.listening_ports(sockets(spark, d))
 
 
+@query
+def listeners_shown(spark, d):
+    return fleet.listeners_shown(sockets(spark, d))
+
+
 @query
 def external_connections(spark, d):
     return fleet.external_connections(sockets(spark, d))
@@ -312,6 +339,11 @@ def process_hits(spark, d):
     return fleet.process_hits(fleet.parse_ps(lines(spark, d, "ps")))
 
 
+@query
+def open_file_hits(spark, d):
+    return fleet.open_file_hits(lines(spark, d, "open_files"))
+
+
 @query
 def account_inventory(spark, d):
     return fleet.accounts(lines(spark, d, "accounts"))
@@ -332,6 +364,16 @@ def suspicious_temp_files(spark, d):
     return fleet.suspicious_temp_files(lines(spark, d, "files"))
 
 
+@query
+def recent_files_shown(spark, d):
+    return fleet.recent_files_shown(lines(spark, d, "files"))
+
+
+@query
+def distinct_values(spark, d):
+    return fleet.distinct_values(fleet.net_config(lines(spark, d, "net")), fleet.accounts(lines(spark, d, "accounts")))
+
+
 @query
 def fleet_counts(spark, d):
     return fleet.fleet_counts(lines(spark, d, "files"), fleet.accounts(lines(spark, d, "accounts")), sockets(spark, d), fleet.net_config(lines(spark, d, "net")), lines(spark, d, "persistence"))

@@ -156,7 +156,7 @@ FIELDS = r"^(\S+\s+\S+\s+\S+\s+\S+\s+\S+)\s+(.+)$"
 OWNED = r"^(\S+)[ \t]+(.+)$"
 CRONTAB = f"""cro0 AS (SELECT *, {some(rx('trim(line)', '^(@' + chr(92) + 'w+)' + chr(92) + 's+.+$'), rx('trim(line)', FIELDS, 1))} AS schedule, {some(rx('trim(line)', '^@' + chr(92) + 'w+' + chr(92) + 's+(.+)$'), rx('trim(line)', FIELDS, 2))} AS rest,
   (lower(file_path) LIKE '%cron.d%' OR lower(file_path) LIKE '%crontab') AS system FROM ({duck('crontab')}) WHERE {KEPT} AND NOT {like('trim(line)', '^(?:MAILTO|PATH|SHELL|HOME)')}),
- cro1 AS (SELECT collection, seq, file_mtime AS ts, schedule, CASE WHEN system THEN {rx('rest', OWNED)} ELSE regexp_extract(file_path, '[^/]*$') END AS "user", CASE WHEN system AND {rx('rest', OWNED)} <> '' THEN {rx('rest', OWNED, 2)} ELSE rest END AS command FROM cro0 WHERE schedule <> ''),
+ cro1 AS (SELECT collection, seq, line, file_mtime AS ts, schedule, CASE WHEN system THEN {rx('rest', OWNED)} ELSE regexp_extract(file_path, '[^/]*$') END AS "user", CASE WHEN system AND {rx('rest', OWNED)} <> '' THEN {rx('rest', OWNED, 2)} ELSE rest END AS command FROM cro0 WHERE schedule <> ''),
  crontab AS (SELECT *, CASE WHEN {any_of('command', rules.JOB_WHITELIST)} THEN 'Info' WHEN {any_of('command', rules.JOB_CRITICAL)} THEN 'Critical' WHEN {any_of('command', rules.JOB_SUSPICIOUS)} THEN 'Suspicious' ELSE 'Info' END AS tier FROM cro1)"""
 
 HISTORY = f"""his0 AS (SELECT *, TRY_CAST({rx('line', '^#([0-9]{10,})$')} AS BIGINT) AS ep FROM ({duck('history')}) WHERE trim(line) <> ''),
@@ -317,12 +317,30 @@ def ranked(part: str, k: int) -> str:
     return f"SELECT collection, log_type, section, item, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY collection, log_type ORDER BY n DESC, item) AS rank FROM ({part})) WHERE rank <= {k}"
 
 
+AUTH_GRADE = f"CASE WHEN {like('line', SUDO)} THEN CASE WHEN {any_of(rx('line', SUDO, 2), rules.SUDO_HIGH)} THEN 'High' ELSE 'Medium' END WHEN {like('line', ACCEPTED)} THEN 'Info' WHEN {like('line', FAILED)} THEN 'Medium' ELSE 'Info' END"
+JOB_GRADE = "CASE tier WHEN 'Critical' THEN 'High' WHEN 'Suspicious' THEN 'Medium' ELSE 'Info' END"
+NORMALISED = {
+    "AUTH": ("host", "daemon", '"user"', "ip", "message", AUTH_GRADE, "line", "auth"),
+    "SYSLOG": ("host", "daemon", "CASE WHEN tier = 'Critical' AND cron_user <> '' THEN cron_user ELSE \"user\" END", "ip", "message", "severity", "line", "syslog WHERE tier <> 'Noise'"),
+    "MESSAGES": (rx("line", HEADER, 2), rx("line", HEADER, 3), '"user"', rx("line", IPV4, 0), "message", "severity", "line", "messages"),
+    "AUDIT": ("''", "type", "''", "''", "substr(message, 1, 200)", "CASE tier WHEN 'Critical' THEN 'High' ELSE 'Info' END", "line", "audit"),
+    "WEB": ("''", "'web'", "''", "ip", "message", "CASE WHEN attack IS NULL THEN 'Info' ELSE 'High' END", "line", "web"),
+    "CRONTAB": ("''", "'cron'", '"user"', "''", "command", JOB_GRADE, "line", "crontab WHERE tier <> 'Info'"),
+    "BASH": ("''", "'bash'", "username", "''", "command", JOB_GRADE, "command", "shell"),
+    "JOURNAL": ("hostname", "identifier", "CAST(uid AS VARCHAR)", "''", "message", "CASE tier WHEN 'Critical' THEN 'High' ELSE 'Info' END", "message", "journal"),
+}
+EVENTS_NORM = " UNION ALL ".join(
+    f"SELECT collection, ts, {q(t)} AS log_type, {a} AS host, {b} AS daemon, {c} AS \"user\", {e} AS ip, {m} AS message, {g} AS severity, {r} AS raw FROM {source}" for t, (a, b, c, e, m, g, r, source) in NORMALISED.items()
+)
+
+
 ORACLE_SQL = {
     "ssh_bruteforce": f"WITH {ACTIONS} SELECT collection, address AS ip, count(*) AS n, {shown('min(ts)', 'first_ts')}, {shown('max(ts)', 'last_ts')}, count(DISTINCT who) AS users FROM actions WHERE action = 'failed' GROUP BY collection, address HAVING count(*) >= 5",
     "failed_logins_topk": f"WITH {ACTIONS} {topk(logins('failed'), 10)}",
     "accepted_logins_topk": f"WITH {ACTIONS} {topk(logins('accepted'), 20)}",
     "sudo_findings": f"WITH {ACTIONS} SELECT collection, seq, {shown('ts')}, who AS \"user\", {short('command', 200)} AS command, CASE WHEN {any_of('command', rules.SUDO_HIGH)} AND NOT {any_of('command', rules.AUTOMATION)} THEN 'HIGH' ELSE 'Info' END AS tier, CASE WHEN {any_of('command', rules.SUDO_HIGH)} THEN 'High' ELSE 'Medium' END AS severity FROM actions WHERE action = 'sudo'",
     "auth_events_norm": f"WITH {AUTH} SELECT collection, seq, {shown('ts')}, host, 'AUTH' AS log_type, daemon, \"user\", ip, message, CASE WHEN {like('line', SUDO)} THEN CASE WHEN {any_of(rx('line', SUDO, 2), rules.SUDO_HIGH)} THEN 'High' ELSE 'Medium' END WHEN {like('line', ACCEPTED)} THEN 'Info' WHEN {like('line', FAILED)} THEN 'Medium' ELSE 'Info' END AS severity, line AS raw FROM auth",
+    "events_norm": f"WITH {AUTH}, {SYSLOG}, {MESSAGES}, {AUDIT_CTE}, {WEB}, {CRONTAB}, {SHELL}, {JOURNAL}, e AS ({EVENTS_NORM}) SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts) FROM e WHERE ts IS NULL OR ts BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '2024-03-15 12:00:00'",
     "pattern_counts_auth": f"WITH {ACTIONS} SELECT collection, label, count(*) AS n FROM actions GROUP BY ALL",
     "interesting_ips": f"WITH {ACTIONS}, {WEB} SELECT collection, ip, count(*) AS n FROM ({IPS} UNION ALL SELECT collection, ip FROM web WHERE attack IS NOT NULL AND ip <> '') GROUP BY ALL",
     "public_ip_split": f"WITH {AUTH}, v AS (SELECT collection, ip, TRY_CAST(split_part(ip, '.', 1) AS INT) AS a, TRY_CAST(split_part(ip, '.', 2) AS INT) AS b FROM auth WHERE ip <> '') SELECT collection, NOT {PUBLIC_V4} AS public, count(*) AS n, count(DISTINCT ip) AS ips FROM v GROUP BY ALL",
@@ -354,6 +372,7 @@ ORACLE_SQL = {
     "bodyfile_timeline": f"WITH {BODY} SELECT collection, seq, path, size, mode, uid, gid, md5, {', '.join(shown(epoch(c), c) for c in ('atime', 'mtime', 'ctime', 'crtime'))} FROM body",
     "bodyfile_findings": f"WITH {BODY_F} SELECT collection, path, score, reasons, size, {shown(epoch('mtime'), 'mtime')} FROM sco4 WHERE last = 1",
     "sha1_candidates": f"WITH {SHA} {SHA_BEST}",
+    "sha1_shown": f"WITH {SHA} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY score DESC, path, hash) AS rank FROM ({SHA_BEST})) WHERE rank <= 20",
     "sha1_stats": f"WITH {SHA} SELECT collection, count(*) AS total, count_if(white) AS whitelisted, count_if(NOT white) AS scored, count_if(NOT white AND score < 3) AS below, count_if(passing AND coalesce(score <= best, false)) AS duplicates, count(DISTINCT CASE WHEN passing THEN lower(hash) END) AS candidates FROM best GROUP BY ALL",
     "container_inventory": f"WITH {CONTAINERS} SELECT collection, container_id, name, image, status, created, command, privileged, host_network, host_pid, root, array_to_string(capabilities, '; ') AS capabilities, array_to_string(mounts, '; ') AS mounts, array_to_string(suspicious, '; ') AS suspicious, CASE WHEN {TRAP} THEN 'Critical' WHEN privileged OR host_network OR len(capabilities) > 0 THEN 'High' WHEN len(suspicious) > 0 OR root THEN 'Medium' ELSE 'Info' END AS severity FROM con",
     "container_risk": f"WITH {CONTAINERS} {CONTAINER_RISK}",
@@ -367,14 +386,19 @@ ORACLE_SQL = {
  SELECT source, id, coalesce({first('text', rules.RANK1)}, {first('text', rules.RANK2)}) AS keyword, CASE WHEN {first('text', rules.RANK1)} IS NOT NULL THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM t WHERE ({any_of('text', rules.RANK1)} OR {any_of('text', rules.RANK2)}) AND NOT {any_of('text', rules.RANK_WHITELIST)}""",
     "socket_table": f"WITH {SOCKETS} SELECT * FROM sockets",
     "listening_ports": f"WITH {SOCKETS} SELECT collection, proto, port, count(*) AS n, coalesce({isin('port', NOTABLE_PORTS)}, false) AS notable FROM sockets WHERE state LIKE 'LISTEN%' GROUP BY ALL",
+    "listeners_shown": f"WITH {SOCKETS} SELECT collection, rank, port, proto, local, process FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY port ASC NULLS LAST, proto, seq) AS rank FROM sockets WHERE state LIKE 'LISTEN%') WHERE rank <= 10",
     "external_connections": f"""WITH {SOCKETS}, v AS (SELECT *, regexp_replace(peer, ':[^:]*$', '') AS bare FROM sockets WHERE state LIKE 'ESTAB%'), w AS (SELECT *, TRY_CAST(split_part(bare, '.', 1) AS INT) AS a, TRY_CAST(split_part(bare, '.', 2) AS INT) AS b FROM v)
  SELECT collection, peer, split_part(process, '/', 1) AS process, count(*) AS n FROM w WHERE NOT {PUBLIC_V4} GROUP BY ALL""",
     "processes_by_user": f"WITH {PS} SELECT collection, \"user\", count(*) AS n FROM ps GROUP BY ALL",
     "process_hits": f"WITH {PS}, {PROCESS_HITS} SELECT * FROM process_hits",
+    "open_file_hits": f"""WITH o AS (SELECT collection, seq, artifact, line FROM ({duck('open_files')})) SELECT collection, seq, 'deleted' AS kind, trim(line) AS line FROM o WHERE artifact = 'lsof' AND contains(line, '(deleted)')
+ UNION ALL SELECT collection, seq, 'socket', trim(line) FROM o WHERE artifact = 'lsof' AND (contains(line, 'TCP') OR contains(line, 'UDP')) UNION ALL SELECT collection, seq, 'shell', trim(line) FROM o WHERE artifact = 'pstree' AND {like('lower(line)', 'bash|sh|zsh|dash|ksh|python|perl|php|ruby')}""",
     "account_inventory": f"WITH {ACCOUNTS} SELECT * FROM accounts",
     "net_config": f"WITH {NET} SELECT * FROM net",
     "persistence_hits": f"WITH {PERSISTENCE} SELECT * FROM persistence",
     "suspicious_temp_files": TEMP_FILES,
+    "recent_files_shown": f"SELECT collection, rank, line FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY line DESC, seq) AS rank FROM ({duck('files')}) WHERE artifact = 'recent' AND trim(line) <> '') WHERE rank <= 10",
+    "distinct_values": f"WITH {ACCOUNTS}, {NET} SELECT DISTINCT collection, kind, value FROM net WHERE kind IN ('resolver', 'search', 'host') UNION SELECT collection, kind, name FROM accounts WHERE kind = 'sudoer'",
     "fleet_counts": f"""WITH {ACCOUNTS}, {SOCKETS}, {NET}, m AS (SELECT collection, artifact AS measure FROM ({duck('files')}) WHERE artifact IN ('suid', 'world_writable') UNION ALL SELECT collection, kind FROM accounts WHERE kind <> 'login'
   UNION ALL SELECT collection, CASE WHEN state LIKE 'LISTEN%' THEN 'listener' ELSE 'established' END FROM sockets WHERE state LIKE 'LISTEN%' OR state LIKE 'ESTAB%' UNION ALL SELECT collection, kind FROM net WHERE kind IN ('chain', 'rule', 'table')
   UNION ALL SELECT collection, CASE artifact WHEN 'systemd' THEN 'unit' ELSE 'cron_entry' END FROM ({duck('persistence')}) WHERE artifact = 'systemd' OR (artifact = 'crontab' AND NOT {HASHED})) SELECT collection, measure, count(*) AS n FROM m GROUP BY ALL""",
