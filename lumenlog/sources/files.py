@@ -64,10 +64,45 @@ def history_user(path: Column) -> Column:
     )
 
 
+HIDDEN_HISTORY = ".bash_history"
+
+
+def hidden_histories(spark: SparkSession, root: str) -> list[str]:
+    """Paths of the history files whose names start with a dot: names alone, one for each home directory."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    listed = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(top, True)
+    found = []
+    while listed.hasNext():
+        path = listed.next().getPath()
+        if path.getName() == HIDDEN_HISTORY:
+            found.append(path.toString())
+    return sorted(found)
+
+
+def stage_shell_history(spark: SparkSession, root: str, into: str) -> int:
+    """Copy each hidden history file to bash_history.txt under ``into``, a folder that all executors read.
+
+    The directories below the root's parent are kept, so collection and owner stay in the path; a copy replaces an
+    older one. Gives the number of files.
+    """
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    above = hadoop.Path(root).getFileSystem(conf).makeQualified(hadoop.Path(root)).getParent().toUri().getPath().rstrip("/")
+    paths = hidden_histories(spark, root)
+    for name in paths:
+        path = hadoop.Path(name)
+        inner = path.getParent().toUri().getPath()[len(above) + 1 :]
+        target = hadoop.Path(f"{into.rstrip('/')}/{inner}/bash_history.txt")
+        hadoop.FileUtil.copy(path.getFileSystem(conf), path, target.getFileSystem(conf), target, False, True, conf)
+    return len(paths)
+
+
 def scan_shell_history(spark: SparkSession, root: str) -> DataFrame:
-    """History files with their owner. Spark lists no names that start with a dot: a tree's .bash_history must have been
-    laid down as bash_history.txt or <user>_bash_history.txt."""
-    return scan_lines(spark, root, "*bash_history*").withColumn("username", history_user(path_of()))
+    """History files with their owner. Spark lists no names that start with a dot, so ``stage_shell_history`` lays them
+    down first; a tree of hidden ones alone is an error, not an empty table."""
+    rows = scan_lines(spark, root, "*bash_history*")
+    if not rows.inputFiles() and hidden_histories(spark, root):
+        raise FileNotFoundError(f"{root} holds hidden history files alone: copy them with stage_shell_history")
+    return rows.withColumn("username", history_user(path_of()))
 
 
 def scan_bodyfile(spark: SparkSession, root: str) -> DataFrame:
