@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import forget, lean, materialize, text_bytes
+from lumenlog.llm.common import forget, lean, materialize, release, text_bytes
 
 BITS = 16
 #: Labelled rows that the text model learns from at most, chosen by a hash of their texts, as many of each language as
@@ -117,6 +117,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows:
                 seen[number[lang]] += np.bincount(slots_of(plain), minlength=1 << BITS)
                 letters += np.bincount(plain, minlength=256)
         yield from map(found, [*seen, -1], [*seen.values(), letters])
+        seen.clear()
+        release()
 
     def found(lang: int, n: np.ndarray) -> pa.RecordBatch:
         at = np.flatnonzero(n)
@@ -185,8 +187,9 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
         return pd.Series([alone_of(e, other).tolist() if len(e) and n else None for e, other in found], dtype=object)
 
     key = [said.alias("d"), F.coalesce(suffix, F.lit("")).alias("s"), F.coalesce(host, F.lit("")).alias("h")]
-    seen = rows.select(*key, alone(raw).alias("own")).where("own is not null")
-    groups = materialize(sums(seen, ["d", "s", "h"], n, "own") if n else seen, "language-sums")
+    # a filter on ``own`` before the sums would go below its column, and each text would be weighed twice
+    seen = rows.select(*key, alone(raw).alias("own"))
+    groups = materialize(sums(seen, ["d", "s", "h"], n, "own").where("own[0] is not null") if n else seen.where("false"), "language-sums")
     tables = confusion({r.d: r.own for r in sums(groups, ["d"], n, "own").collect()} if n else {}, names)
     hosts, suffixes = (sums(groups, k, n, "own") if n else groups.select(*k, "own") for k in (["s", "h"], ["s"]))
     whole = smoothed(sum((np.array(r.own) for r in sums(groups.withColumn("all", F.lit(1)), ["all"], n, "own").collect()), np.zeros(n)), np.full(n, 1 / max(1, n))) if n else np.zeros(0)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import crc_mod, forget, lean, text_bytes
+from lumenlog.llm.common import crc_mod, forget, lean, release, text_bytes
 
 BITS = 20
 #: Labelled rows to train on at most (chosen by a hash of their ids), and for each learner that shares them.
@@ -90,6 +90,8 @@ def train(texts: DataFrame, learners: int = 1, bits: int = BITS) -> dict[int, fl
             w = model.weights(np.arange(1 << bits))
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["slot", "weight"])
+        shares.clear()
+        release()
 
     found = dealt.mapInArrow(of, "slot long, weight double").groupBy("slot").agg(F.sum("weight").alias("weight"))
     return {r.slot: r.weight / learners for r in found.collect()}
