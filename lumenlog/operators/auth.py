@@ -44,7 +44,8 @@ def auth_actions(parsed: DataFrame) -> DataFrame:
             action("accepted", ACCEPTED, "Successful login", ip=True), action("sudo", SUDO, "Sudo command", command=True),
         )
     )
-    return parsed.select("collection", "seq", "ts", "daemon", "line", F.explode(found).alias("a")).select("collection", "seq", "ts", "daemon", "line", "a.*")
+    have = ["collection", "seq", "ts", "host", "daemon", "pid", "line"]
+    return parsed.select(*have, F.explode(found).alias("a")).select(*have, "a.*")
 
 
 def logins(actions: DataFrame, action: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.functions import rules
 from lumenlog.functions.text import FOR_USER, HEADER, USER_EQUALS, ellipsis, extract, extract_ipv4, extract_message, first_of, mask_digits, normalize_audit
 from lumenlog.functions.timeparse import parse_ts
 from lumenlog.operators.group import group_events
+from lumenlog.operators.prefix import BITS, Running, running
 
 CRON_EXEC = r"(?i)CROND?\[\d+\]:\s*\(([^)]+)\)\s*CMD\s*\((.+)\)"
 AUDIT_LINE = r"type=(\w+)\s+msg=audit\((\d+)\.\d+:\d+\):\s+(.*)"
@@ -141,12 +142,15 @@ def audit_findings(classified: DataFrame) -> DataFrame:
     return group_events(classified.where("tier = 'Critical'").withColumn("key", key), ["collection", "key"], ellipsis(F.col("message"), 160))
 
 
-def success_after_failures(parsed: DataFrame, least: int = 5) -> DataFrame:
-    """Per account the first login success with at least ``least`` failures before it: their number and last time."""
+def success_after_failures(parsed: DataFrame, least: int = 5, bits: int = BITS) -> DataFrame:
+    """Per account the first login success with at least ``least`` failures before it: their number and last time (J3).
+
+    In two passes, so no task holds an account.
+    """
     rows = parsed.where(F.col("type").isin("USER_AUTH", "USER_LOGIN")).withColumn("acct", F.lower("acct"))
     failed = F.lower("message").contains("res=failed")
-    order = Window.partitionBy("collection", "acct").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"failures": F.coalesce(F.sum(F.when(failed, 1).otherwise(0)).over(order), F.lit(0)), "last_failure": F.last(F.when(failed, F.col("ts")), True).over(order)})
+    wanted = [Running("failures", F.when(failed, 1).otherwise(0)), Running("last_failure", F.when(failed, F.col("ts")), "last")]
+    rows = running(rows, ["collection", "acct"], wanted, frame="before", bits=bits)
     hits = rows.where(~failed & F.lower("message").contains("res=success") & (F.col("failures") >= least))
     first = F.min_by(F.struct("ts", "failures", "last_failure"), "seq")
     return hits.groupBy("collection", "acct").agg(first.alias("f")).select("collection", "acct", "f.ts", "f.failures", "f.last_failure")

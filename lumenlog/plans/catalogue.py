@@ -131,6 +131,13 @@ def sessions_paired(spark, d):
     return sessions.pair_sessions(actions(spark, d)).drop("nth")
 
 
+@query
+def sessions_linked(spark, d):
+    """Sessions whose closes take the address of their process's login."""
+    done = sessions.link_by_pid(auth.auth_actions(auth.parse_auth(lines(spark, d, "logins"))))
+    return sessions.pair_sessions(done).drop("nth")
+
+
 @query
 def session_types(spark, d):
     return sessions.pair_sessions(actions(spark, d)).groupBy("collection", "type").agg(F.count("*").alias("n"), F.count("end_ts").alias("closed"))

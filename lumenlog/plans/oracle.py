@@ -79,14 +79,18 @@ KEPT = "trim(line) <> '' AND NOT starts_with(ltrim(line), '#')"
 
 
 def action(name: str, pattern: str, label: str, ip: str = "ip", command: str = "''") -> str:
-    return f"SELECT collection, seq, ts, daemon, {q(name)} AS action, {rx('line', pattern)} AS who, {ip} AS address, {command} AS command, {q(label)} AS label FROM auth WHERE {like('line', pattern)}"
+    return f"SELECT collection, seq, ts, daemon, {q(name)} AS action, {rx('line', pattern)} AS who, {ip} AS address, {command} AS command, {q(label)} AS label, host, pid FROM auth WHERE {like('line', pattern)}"
 
 
-AUTH = f"""auth AS (SELECT collection, seq, line, {TS} AS ts, {rx('line', HEADER, 2)} AS host, coalesce(nullif({rx('line', HEADER, 3)}, ''), 'AUTH') AS daemon,
+AUTH = f"""auth AS (SELECT collection, seq, line, {TS} AS ts, {rx('line', HEADER, 2)} AS host, coalesce(nullif({rx('line', HEADER, 3)}, ''), 'AUTH') AS daemon, {rx('line', HEADER, 4)} AS pid,
  {rx('line', IPV4, 0)} AS ip, {some(*[rx('line', p) for p in AUTH_USERS])} AS "user", {MESSAGE} AS message FROM ({duck('auth')}))"""
 ACTIONS = f"""{AUTH}, actions AS ({action('opened', OPENED, 'Session opened')} UNION ALL {action('closed', CLOSED, 'Session closed')} UNION ALL
  {action('failed', FAILED, 'Failed login', rx('line', FAILED, 2))} UNION ALL {action('accepted', ACCEPTED, 'Successful login', rx('line', ACCEPTED, 2))} UNION ALL
  {action('sudo', SUDO, 'Sudo command', command=f"trim({rx('line', SUDO, 2)})")})"""
+LINKED = f"""actions AS (SELECT * REPLACE (CASE WHEN action = 'closed' AND login <> '' THEN login ELSE address END AS address) FROM (
+  SELECT *, coalesce(last_value(CASE action WHEN 'closed' THEN '' WHEN 'accepted' THEN address END IGNORE NULLS) OVER (PARTITION BY collection, host, pid
+    ORDER BY seq, CASE action WHEN 'opened' THEN 0 WHEN 'closed' THEN 1 ELSE 2 END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS login FROM every)
+  WHERE NOT (action = 'opened' AND login <> '')),"""
 LOCAL = "(ip IN ('', 'N/A') OR ip LIKE '127.%')"
 PAIRED = f"""{ACTIONS}, marks AS (SELECT collection, who AS "user", CASE WHEN address = '' THEN 'N/A' ELSE address END AS ip, daemon, seq, ts,
  CASE action WHEN 'closed' THEN -1 ELSE 1 END AS kind, CASE action WHEN 'opened' THEN 0 WHEN 'closed' THEN 1 ELSE 2 END AS nth FROM actions WHERE action IN ('opened', 'closed', 'accepted')),
@@ -345,10 +349,11 @@ ORACLE_SQL = {
     "interesting_ips": f"WITH {ACTIONS}, {WEB} SELECT collection, ip, count(*) AS n FROM ({IPS} UNION ALL SELECT collection, ip FROM web WHERE attack IS NOT NULL AND ip <> '') GROUP BY ALL",
     "public_ip_split": f"WITH {AUTH}, v AS (SELECT collection, ip, TRY_CAST(split_part(ip, '.', 1) AS INT) AS a, TRY_CAST(split_part(ip, '.', 2) AS INT) AS b FROM auth WHERE ip <> '') SELECT collection, NOT {PUBLIC_V4} AS public, count(*) AS n, count(DISTINCT ip) AS ips FROM v GROUP BY ALL",
     "sessions_paired": f"WITH {PAIRED} SELECT collection, \"user\", ip, daemon, seq, {shown('start_ts')}, {shown('end_ts')}, end_seq, seconds, type FROM paired",
+    "sessions_linked": f"WITH {PAIRED.replace(duck('auth'), duck('logins')).replace('actions AS (', 'every AS (', 1).replace(' marks AS (', LINKED + ' marks AS (', 1)} SELECT collection, \"user\", ip, daemon, seq, {shown('start_ts')}, {shown('end_ts')}, end_seq, seconds, type FROM paired",
     "session_types": f"WITH {PAIRED} SELECT collection, type, count(*) AS n, count(end_ts) AS closed FROM paired GROUP BY ALL",
     "session_suspicion": f"WITH {JUDGED} SELECT collection, seq, \"user\", ip, daemon, type, failures, reason, notes FROM judged WHERE reason IS NOT NULL",
     "session_stats": f"WITH {JUDGED} SELECT collection, count(*) AS total, count(reason) AS suspicious, count_if(type = 'SshInteractive') AS ssh, count_if(type = 'SshFailed') AS failed, count_if(type = 'SudoCommand') AS sudo, count_if(type = 'CronJob') AS cron, count(DISTINCT CASE WHEN ip <> 'N/A' THEN ip END) AS ips FROM judged GROUP BY ALL",
-    "sessions_grouped": f"WITH {JUDGED} SELECT collection, \"user\", ip, daemon, type, count(*) AS n, {shown('min(start_ts)', 'first_ts')}, {shown('max(start_ts)', 'last_ts')}, CAST(floor(avg(coalesce(seconds, 0))) AS BIGINT) AS avg_seconds, bool_or(reason IS NOT NULL) AS suspicious, arg_min(reason, seq) FILTER (reason IS NOT NULL) AS reason FROM judged WHERE type NOT IN ('CronJob', 'SystemdSession', 'PamGeneric') GROUP BY collection, \"user\", ip, daemon, type",
+    "sessions_grouped": f"WITH {JUDGED} SELECT collection, \"user\", ip, daemon, type, count(*) AS n, {shown('min(start_ts)', 'first_ts')}, {shown('max(start_ts)', 'last_ts')}, CAST(floor(avg(coalesce(seconds, 0))) AS BIGINT) AS avg_seconds, bool_or(reason IS NOT NULL) AS suspicious, arg_min(reason, seq) FILTER (reason IS NOT NULL) AS reason, coalesce(arg_min(notes, seq) FILTER (reason IS NOT NULL), '') AS notes FROM judged WHERE type NOT IN ('CronJob', 'SystemdSession', 'PamGeneric') GROUP BY collection, \"user\", ip, daemon, type",
     "syslog_tiers": f"WITH {SYSLOG} SELECT collection, seq, {shown('ts')}, host, daemon, \"user\", ip, cron_user, cron_cmd, tier, label, severity FROM syslog",
     "syslog_findings": f"WITH {SYSLOG_F} SELECT collection, key, n, {RANGE}, example FROM syslog_f",
     "messages_findings": f"WITH {MESSAGES_F} SELECT collection, key, n, {RANGE}, example FROM messages_f",
