@@ -80,6 +80,7 @@ class ExactDedup:
         state = self.rows(stream).groupBy("key").agg(first, F.count("*").alias("n"))
         settings = {
             "spark.sql.streaming.stateStore.providerClass": STORE,
+            "spark.sql.streaming.stateStore.unloadOnCommit": "true",
             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
             "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MB),
         }
