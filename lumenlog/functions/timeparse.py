@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,28 +16,56 @@ CLASSIC = r"^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})"
 AUDIT = r"msg=audit\((\d+)\."
 
 
+# Names of the months, and at the same places their numbers.
+MONTHS, NUMBERS = "JanFebMarAprMayJunJulAugSepOctNovDec", "01-02-03-04-05-06-07-08-09-10-11-12-"
+
+
+def iso_of(year: Column, month: Column, day: Column, rest: Column) -> Column:
+    """A timestamp out of its parts, the month by its name; null if they make none. A cast of the ISO spelling takes a
+    small part of the time that a pattern does."""
+    at = F.instr(F.lit(MONTHS), month)
+    number = F.when(at % 3 == 1, F.substring(F.lit(NUMBERS), at, F.lit(3)))
+    return F.concat(year, F.lit("-"), number, day, F.lit("T"), rest).try_cast("timestamp")
+
+
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), value being worked out once however often ``of`` uses it.
+
+    A column that is used twice is written out twice in the code Spark makes; a long one, such as a pattern's match,
+    then runs as often, and code over the size that the JVM compiles is interpreted.
+    """
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def infer_year(stamp: Column, file_mtime: Column) -> Column:
     """A stamp without a year takes its file's; one that then lies over a day after the file is of the year before."""
-    squeezed = F.regexp_replace(stamp, r"\s+", " ")
-    at = lambda year: F.try_to_timestamp(F.concat(year.cast("string"), F.lit(" "), squeezed), F.lit("yyyy MMM d HH:mm:ss"))
-    this = at(F.year(file_mtime))
-    return F.when(this > file_mtime + F.expr("INTERVAL 1 DAY"), at(F.year(file_mtime) - 1)).otherwise(this)
+    day = F.regexp_extract(stamp, r"^...\s+(\d+)", 1)
+    at = lambda year: iso_of(year.cast("string"), F.substring(stamp, 1, 3), day, F.substring(stamp, -8, 8))
+    return let(at(F.year(file_mtime)), lambda this: F.when(this > file_mtime + F.expr("INTERVAL 1 DAY"), at(F.year(file_mtime) - 1)).otherwise(this))
 
 
 def apache_ts(stamp: Column) -> Column:
     """A stamp as access logs have it between brackets; null if it is none."""
-    return F.try_to_timestamp(F.when(stamp.rlike(APACHE_STAMP), stamp), F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
+
+    def of(s: Column) -> Column:
+        part = lambda a, n: F.substring(s, a, n)
+        rest = F.concat(part(13, 8), part(22, 3), F.lit(":"), part(25, 2))
+        return F.when(s.rlike(APACHE_STAMP), iso_of(part(8, 4), part(4, 3), part(1, 2), rest))
+
+    return let(stamp, of)
 
 
 def parse_ts(line: Column, file_mtime: Column) -> Column:
     """ISO 8601 with an offset, then Apache, then classic syslog, then audit epoch; null if none."""
-    found = lambda pattern: F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
-    return F.coalesce(
-        found(ISO).try_cast("timestamp"),
-        F.try_to_timestamp(found(APACHE), F.lit("dd/MMM/yyyy:HH:mm:ss Z")),
-        infer_year(found(CLASSIC), file_mtime),
-        F.timestamp_seconds(found(AUDIT).try_cast("long")),
-    )
+
+    def of(s: Column) -> Column:
+        found = lambda pattern, made: let(F.regexp_extract(s, pattern, 1), lambda x: F.when(x != "", made(x)))
+        return F.coalesce(
+            found(ISO, lambda x: x.try_cast("timestamp")), found(APACHE, apache_ts), found(CLASSIC, lambda x: infer_year(x, file_mtime)),
+            found(AUDIT, lambda x: F.timestamp_seconds(x.try_cast("long"))),
+        )
+
+    return let(line, of)
 
 
 def in_range(ts: Column, start: dt.datetime | None = None, end: dt.datetime | None = None) -> Column:

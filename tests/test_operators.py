@@ -95,6 +95,24 @@ def test_syslog_rules(spark):
     assert [(r.tier, r.label) for r in rows] == [("Critical", "Suspicious cron job"), ("Info", None), ("Critical", "RAID degraded"), ("Info", None), ("Noise", "permission denied")]
 
 
+def test_control_bytes_hide_no_request(spark):
+    """Signs that part a match's groups, in the line's own text, and line separators after the agent."""
+    head = '1.2.3.4 - - [10/Oct/2023:13:55:36 +0100] "GET /../../etc/passwd HTTP/1.1" 200 5 "-" '
+    agents = ["x", "x\x01y", "\x01" * 7, "\x02a\x01\x02b", "x\x02", "é"]
+    texts = [f'{head}"{a}"' for a in agents] + [head + '"x" tail\u2028more', 'no\x01req\x01uest\x01"a"\x01\x01\x01\x01\x01 "x']
+    rows = activity.classify_web(activity.parse_web(lines(spark, texts))).orderBy("seq").collect()
+    assert [r.agent for r in rows] == [*agents, "x", ""]
+    assert [(r.ip, r.uri, r.status, r.tier) for r in rows[:-1]] == [("1.2.3.4", "/../../etc/passwd", "200", "Critical")] * 7
+    assert rows[0].ts == datetime(2023, 10, 10, 12, 55, 36) and (rows[-1].method, rows[-1].message) == ("", texts[-1])
+
+
+def test_a_web_line_is_matched_once(spark):
+    events = activity.classify_web(activity.parse_web(lines(spark, ["x"])))
+    plans = [events, activity.web_attack_findings(events), activity.web_bruteforce(activity.parse_web(lines(spark, ["x"])), 1), events.where("attack is not null").groupBy("ip").count()]
+    for df in plans:
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
 def test_container_binds(spark):
     def config(binds, privileged="false"):
         return '{"Name":"/a","Config":{"User":"app","Cmd":["run"]},"HostConfig":{"Privileged":' + privileged + ',"Binds":[' + binds + "]}}"
