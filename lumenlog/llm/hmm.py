@@ -284,16 +284,17 @@ def expected_counts(coded: DataFrame, model: Hmm) -> np.ndarray:
 
 
 def train(coded: DataFrame, lex: Lexicon) -> Hmm:
-    """Baum-Welch. coded: (row, symbols) of the training documents, written down once.
+    """Baum-Welch. coded: (doc_id, symbols) of the training documents, written down once.
 
-    A share is every SHARES-th row of each part that was written, so it grows with the corpus, at every size alike.
-    Its rows are read by fewer tasks, as each task sends a table of counts.
+    A share is chosen by a hash of id and symbols: it grows with the corpus, at every size alike, holds an even part of
+    many copies, and is the same however the table is cut into files. Its rows are read by fewer tasks, as each task
+    sends a table of counts.
     """
-    shares = lex.shares()
+    shares, share = lex.shares(), F.pmod(F.xxhash64("symbols", "doc_id"), F.lit(SHARES))
     model, kept = Hmm.random(shares), 0.0
     tasks = max(1, coded.rdd.getNumPartitions() // 4)
     for k in range(SHARES):
-        kept = FADE * kept + expected_counts(coded.where(F.col("row") % SHARES == k).coalesce(tasks), model)
+        kept = FADE * kept + expected_counts(coded.where(share == k).coalesce(tasks), model)
         model = Hmm.fitted(kept, shares)
     for _ in range(FULL):
         model = Hmm.fitted(expected_counts(coded, model), shares)
@@ -338,7 +339,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lex = lexicon(counts)
     coded = materialize(encode(rows, lex), "hmm-symbols")
     whole = coded.where("symbols is not null")
-    model = train(whole.where("not held_out").select("row", "symbols"), lex)
+    model = train(whole.where("not held_out").select("doc_id", "symbols"), lex)
 
     mass = F.array(*[F.lit(float(m)) for m in lex.class_mass])
     last = F.conv(F.hex(F.substring("word", -1, 1)), 16, 10).cast("int") % 16

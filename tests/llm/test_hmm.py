@@ -103,13 +103,78 @@ def test_passes_cover_all_documents_by_shares_and_whole(spark, monkeypatch):
     texts = [" ".join(f"w{rng.randint(0, 19) + 20 * (i % 2)}" for _ in range(rng.randint(1, 12))) for i in range(3600)]
     docs = spark.createDataFrame([(i, False, bytearray(t.encode())) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text binary")
     lex = hmm.lexicon(hmm.word_counts(docs))
-    coded = hmm.encode(docs, lex).where("symbols is not null").select("symbols", "row").cache()
-    whole = [(r.row, (np.frombuffer(r.symbols, np.uint16), True)) for r in coded.collect()]
+    coded = hmm.encode(docs, lex).where("symbols is not null").select("symbols", "doc_id").cache()
+    share = F.pmod(F.xxhash64("symbols", "doc_id"), F.lit(hmm.SHARES)).alias("share")
+    whole = [(r.share, (np.frombuffer(r.symbols, np.uint16), True)) for r in coded.select("symbols", share).collect()]
     m, kept = hmm.Hmm.random(lex.shares()), 0.0
     for k in range(hmm.SHARES):
-        kept = hmm.FADE * kept + m.counts([s for row, s in whole if row % hmm.SHARES == k])
+        kept = hmm.FADE * kept + m.counts([s for at, s in whole if at == k])
         m = hmm.Hmm.fitted(kept, lex.shares())
     for _ in range(hmm.FULL):
         m = hmm.Hmm.fitted(m.counts([s for _, s in whole]), lex.shares())
     got = hmm.train(coded, lex)
     assert np.allclose(got.start, m.start) and np.allclose(got.step, m.step) and np.allclose(got.emit, m.emit)
+
+
+def plain_counts(m, segments):
+    """Expected counts by the plain forward and backward recursion, position by position."""
+    out, later = np.zeros((1 + hmm.STATES + len(m.emit), hmm.STATES)), np.linalg.matrix_power(m.step, 64)[0]
+    for seq, first in segments:
+        alpha = [(m.start if first else later) * m.emit[seq[0]]]
+        for s in seq[1:]:
+            alpha.append((alpha[-1] / alpha[-1].sum() @ m.step) * m.emit[s])
+        beta = [np.ones(hmm.STATES)]
+        for s in reversed(seq[1:]):
+            b = m.step @ (m.emit[s] * beta[0])
+            beta.insert(0, b / b.sum())
+        gamma = [a * b / (a @ b) for a, b in zip(alpha, beta, strict=True)]
+        out[0] += gamma[0] * first
+        for t, s in enumerate(seq):
+            out[1 + hmm.STATES + s] += gamma[t]
+            if t:
+                x = alpha[t - 1][:, None] * m.step * (m.emit[s] * beta[t])[None, :]
+                out[1 : 1 + hmm.STATES] += x / x.sum()
+    return out
+
+
+def test_scores_against_brute_force(spark, monkeypatch):
+    """score as a whole: symbols, shares, passes, forward pass and words within their class, all anew from the texts."""
+    monkeypatch.setattr(hmm, "SYMBOLS", 40)
+    monkeypatch.setattr(hmm, "KNOWN", 90)
+    rows = [r for r in rows_of(8, 50) if r[0] != 1003]
+    train, total, _ = brute(rows)
+    known = [w for w in sorted(train, key=lambda w: (-train[w], w)) if w != hmm.END][:40]
+    at = {w: 1 + k for k, w in enumerate(known)} | {hmm.END: 0}
+    symbol = lambda w: at.get(w, 41 + hmm.shape(w) if w else 0)
+    mass = np.ones(hmm.CLASSES)
+    for w, n in train.items():
+        if w not in at:
+            mass[hmm.shape(w)] += n + 1
+    shares = np.concatenate(([train[hmm.END] + 1], [train[w] + 1 for w in known], mass))
+    shares = shares / shares.sum()
+    docs = {i: np.array([symbol(w) for w in split(t)], np.uint16) for i, t, *_ in rows}
+    coded = spark.createDataFrame([(i, bytearray(d.tobytes())) for i, d in docs.items()], "doc_id long, symbols binary")
+    share = {r.doc_id: r.share for r in coded.select("doc_id", F.pmod(F.xxhash64("symbols", "doc_id"), F.lit(hmm.SHARES)).alias("share")).collect()}
+    parts = {i: [(d[lo : lo + hmm.SEGMENT], lo == 0) for lo in range(0, len(d), hmm.SEGMENT)] for i, d in docs.items() if i is None or zlib.crc32(str(i).encode()) % 7 != 2}
+    m, kept = hmm.Hmm.random(shares), 0.0
+    for k in range(hmm.SHARES):
+        kept = hmm.FADE * kept + plain_counts(m, [s for i, segs in parts.items() if share[i] == k for s in segs])
+        m = hmm.Hmm.fitted(kept, shares)
+    for _ in range(hmm.FULL):
+        m = hmm.Hmm.fitted(plain_counts(m, [s for segs in parts.values() for s in segs]), shares)
+    for r in hmm.score_documents(spark.createDataFrame(rows, SCHEMA)).collect():
+        text = next(t for i, t, *_ in rows if i == r.doc_id)
+        log, a = 0.0, m.start * m.emit[docs[r.doc_id][0]]
+        for s in docs[r.doc_id][1:]:
+            log, a = log + np.log10(a.sum()), (a / a.sum() @ m.step) * m.emit[s]
+        log += np.log10(a.sum()) + sum(np.log10((train[w] + 1) / mass[hmm.shape(w)]) for w in split(text) if w not in at)
+        assert abs(r.score - log) < 1e-6 * abs(log), r.doc_id
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "SYMBOLS", 60)
+    monkeypatch.setattr(hmm, "KNOWN", 140)
+    df = spark.createDataFrame(rows_of(6, 120), SCHEMA)
+    one, *others = ({r.doc_id: r.score for r in hmm.score_documents(part).collect()} for part in (df.coalesce(1), df.repartition(7), df.repartition(3, "text")))
+    for other in others:
+        assert all(abs(one[k] - other[k]) <= 1e-9 * abs(one[k]) for k in one)
