@@ -82,20 +82,36 @@ def accounts(lines: DataFrame) -> DataFrame:
     return lines.select("collection", "seq", kind.alias("kind"), name.alias("name")).where("kind is not null")
 
 
+# Patterns of interface headers (ip, ifconfig, older ifconfig), of addresses, and of what is no address of the interface.
+HEADERS = [r"^\d+:\s*([A-Za-z0-9._-]+)[:@]", r"^([A-Za-z0-9._-]+): flags=", r"^([A-Za-z0-9._-]+)\s+Link encap:"]
+ADDRESS6 = r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}"
+MASKS = r"(?i)\b(?:netmask|mask:|brd|broadcast|bcast:)\s*\S+"
+
+
 def net_config(lines: DataFrame) -> DataFrame:
-    """(kind, name, value): address by the interface above it, default routes, resolvers, search domains, host overrides, firewall lines."""
+    """(kind, name, value): addresses by the interface above them, default routes, resolvers, search domains, host overrides, firewall lines.
+
+    A row per address: every IPv4 and IPv6 address of an inet or inet6 line but masks and broadcast addresses. The
+    interface is the last header above in the line's file, by file_path if there is one; a file is one dump.
+    """
     line, what = F.col("line"), F.col("artifact")
-    interface = F.nullif(extract(line, r"^\d+:\s*([A-Za-z0-9._-]+):"), F.lit(""))
-    order = Window.partitionBy("collection", "artifact").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = lines.withColumn("interface", F.coalesce(F.last(F.when(what == "ip", interface), True).over(order), F.lit("unknown")))
+    interface = F.when(what == "ip", F.coalesce(*[F.nullif(extract(line, p), F.lit("")) for p in HEADERS]))
+    # Only lines of interface dumps are put in order; any other line is a group of its own.
+    file = [F.col("file_path")] if "file_path" in lines.columns else []
+    order = Window.partitionBy("collection", *file, F.when(what != "ip", F.col("seq"))).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = lines.withColumn("interface", F.coalesce(F.last(interface, True).over(order), F.lit("unknown")))
+    own = F.regexp_replace(line, MASKS, " ")
+    every = F.concat(F.regexp_extract_all(own, F.lit(IPV4), F.lit(0)), F.regexp_extract_all(own, F.lit(ADDRESS6), F.lit(0)))
+    inet = (what == "ip") & line.rlike(r"\binet6?\b")
+    rows = rows.withColumn("address", F.explode(F.when(inet, every).otherwise(F.array(F.lit("")))))
     low, found = F.lower(F.ltrim("line")), extract(line, IPV4, 0)
     kind = (
-        F.when((what == "ip") & line.rlike(r"\binet\b"), "address").when((what == "route") & line.rlike(r"default |0\.0\.0\.0"), "default_route")
+        F.when(F.col("address") != "", "address").when((what == "route") & line.rlike(r"default |0\.0\.0\.0"), "default_route")
         .when((what == "resolv") & low.startswith("nameserver"), "resolver").when((what == "resolv") & low.startswith("search"), "search")
         .when((what == "hosts") & ~low.startswith("#") & (found != ""), "host")
         .when((what == "firewall") & line.startswith(":"), "chain").when((what == "firewall") & line.startswith("-A"), "rule").when((what == "firewall") & line.startswith("*"), "table")
     )
-    value = F.when(kind.isin("address", "resolver"), found).when(kind == "search", F.trim(F.substring(F.ltrim("line"), 7, 1 << 30))).otherwise(F.trim("line"))
+    value = F.when(kind == "address", F.col("address")).when(kind == "resolver", found).when(kind == "search", F.trim(F.substring(F.ltrim("line"), 7, 1 << 30))).otherwise(F.trim("line"))
     public = F.coalesce((kind == "resolver") & found.isin(*rules.PUBLIC_RESOLVERS), F.lit(False))
     return rows.select("collection", "seq", kind.alias("kind"), F.when(kind == "address", F.col("interface")).otherwise("").alias("name"), value.alias("value"), public.alias("public")).where("kind is not null")
 

@@ -246,11 +246,14 @@ ACCOUNTS = f"""acc0 AS (SELECT collection, seq, CASE WHEN artifact = 'passwd' AN
   WHEN artifact = 'lastlog' AND (contains(line, 'pts/') OR contains(line, 'tty') OR contains(line, 'ssh')) THEN 'login' END AS kind, CASE WHEN artifact IN ('passwd', 'shadow') THEN split_part(line, ':', 1) ELSE {rx('line', '^' + chr(92) + 's*(' + chr(92) + 'S+)')} END AS name FROM ({duck('accounts')})),
  accounts AS (SELECT * FROM acc0 WHERE kind IS NOT NULL)"""
 PUBLIC_V4 = "(a = 10 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR a = 127 OR (a = 169 AND b = 254))"
-NET = f"""net0 AS (SELECT *, coalesce(last_value(CASE WHEN artifact = 'ip' THEN nullif({rx('line', '^[0-9]+:' + chr(92) + 's*([A-Za-z0-9._-]+):')}, '') END IGNORE NULLS) OVER (PARTITION BY collection, artifact ORDER BY seq ROWS UNBOUNDED PRECEDING), 'unknown') AS interface, {rx('line', IPV4, 0)} AS addr FROM ({duck('net')})),
- net1 AS (SELECT *, CASE WHEN artifact = 'ip' AND {like('line', chr(92) + 'binet' + chr(92) + 'b')} THEN 'address' WHEN artifact = 'route' AND (contains(line, 'default ') OR contains(line, '0.0.0.0')) THEN 'default_route' WHEN artifact = 'resolv' AND starts_with(lower(ltrim(line)), 'nameserver') THEN 'resolver'
+HEAD = "coalesce(" + ", ".join(f"nullif({rx('line', p)}, '')" for p in (r"^\d+:\s*([A-Za-z0-9._-]+)[:@]", r"^([A-Za-z0-9._-]+): flags=", r"^([A-Za-z0-9._-]+)\s+Link encap:")) + ")"
+OWN = sub("line", r"(?i)\b(?:netmask|mask:|brd|broadcast|bcast:)\s*\S+", " ")
+NET = f"""net0 AS (SELECT *, coalesce(last_value(CASE WHEN artifact = 'ip' THEN {HEAD} END IGNORE NULLS) OVER (PARTITION BY collection, file_path, artifact ORDER BY seq ROWS UNBOUNDED PRECEDING), 'unknown') AS interface, {rx('line', IPV4, 0)} AS addr,
+ CASE WHEN artifact = 'ip' AND {like('line', r'\binet6?\b')} THEN list_concat(regexp_extract_all({OWN}, {q(r'\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b')}), regexp_extract_all({OWN}, '[0-9A-Fa-f]{{0,4}}(?::[0-9A-Fa-f]{{0,4}}){{2,7}}')) ELSE [''] END AS every FROM ({duck('net')})),
+ net1 AS (SELECT * EXCLUDE (every), CASE WHEN address <> '' THEN 'address' WHEN artifact = 'route' AND (contains(line, 'default ') OR contains(line, '0.0.0.0')) THEN 'default_route' WHEN artifact = 'resolv' AND starts_with(lower(ltrim(line)), 'nameserver') THEN 'resolver'
   WHEN artifact = 'resolv' AND starts_with(lower(ltrim(line)), 'search') THEN 'search' WHEN artifact = 'hosts' AND NOT {HASHED} AND addr <> '' THEN 'host' WHEN artifact = 'firewall' AND starts_with(line, ':') THEN 'chain' WHEN artifact = 'firewall' AND starts_with(line, '-A') THEN 'rule'
-  WHEN artifact = 'firewall' AND starts_with(line, '*') THEN 'table' END AS kind FROM net0),
- net AS (SELECT collection, seq, kind, CASE WHEN kind = 'address' THEN interface ELSE '' END AS name, CASE WHEN kind IN ('address', 'resolver') THEN addr WHEN kind = 'search' THEN trim(substr(ltrim(line), 7)) ELSE trim(line) END AS value, kind = 'resolver' AND {isin('addr', rules.PUBLIC_RESOLVERS)} AS public FROM net1 WHERE kind IS NOT NULL)"""
+  WHEN artifact = 'firewall' AND starts_with(line, '*') THEN 'table' END AS kind FROM (SELECT *, unnest(every) AS address FROM net0)),
+ net AS (SELECT collection, seq, kind, CASE WHEN kind = 'address' THEN interface ELSE '' END AS name, CASE WHEN kind = 'address' THEN address WHEN kind = 'resolver' THEN addr WHEN kind = 'search' THEN trim(substr(ltrim(line), 7)) ELSE trim(line) END AS value, kind = 'resolver' AND {isin('addr', rules.PUBLIC_RESOLVERS)} AS public FROM net1 WHERE kind IS NOT NULL)"""
 
 CONTAINER_RISK = " UNION ALL ".join(f"SELECT collection, container_id, name, image, {q(s)} AS severity, {q(label)} AS label FROM con WHERE {test}" for test, s, label in RISKS)
 CONTAINER_LOGS = f"SELECT l.collection, l.seq, {first('l.line', rules.CONTAINER_EXEC)} AS word, coalesce(c.name, substr(l.container_id, 1, 12)) AS name, {short('l.line', 120)} AS line FROM ({duck('container_logs')}) l LEFT JOIN con c ON l.collection = c.collection AND l.container_id = c.container_id WHERE {any_of('l.line', rules.CONTAINER_EXEC)}"

@@ -57,6 +57,40 @@ def test_open_files_and_trees(spark):
     assert sorted((r.kind, r.line) for r in fleet.open_file_hits(rows).collect()) == [("deleted", "a TCP x (deleted)"), ("shell", "init---Bash"), ("socket", "a TCP x (deleted)"), ("socket", "b UDP")]
 
 
+IP_A = """1: lo: <LOOPBACK,UP> mtu 65536 qdisc noqueue
+    link/loopback 00:00:00:00:00:00 brd 00:00:00:00:00:00
+    inet 127.0.0.1/8 scope host lo
+    inet6 ::1/128 scope host
+2: eth0@if5: <BROADCAST,UP> mtu 1500
+    link/ether 52:54:00:12:34:56 brd ff:ff:ff:ff:ff:ff
+    inet 10.0.0.5/24 brd 10.0.0.255 scope global eth0
+    inet 10.0.0.6/24 brd 10.0.0.255 scope global secondary eth0
+    inet6 fe80::5054:ff:fe12:3456/64 scope link"""
+IFCONFIG = """        inet 192.168.7.7  netmask 255.255.255.0
+eth1: flags=4163<UP,BROADCAST>  mtu 1500
+        inet 10.0.0.9  netmask 255.255.255.0  broadcast 10.0.0.255
+        inet6 2001:db8::9  prefixlen 64  scopeid 0x0<global>
+        ether 52:54:00:12:34:57  txqueuelen 1000
+wlan0     Link encap:Ethernet  HWaddr 52:54:00:12:34:58
+          inet addr:172.16.0.3  Bcast:172.16.255.255  Mask:255.255.0.0
+          inet6 addr: fe80::3/64 Scope:Link"""
+
+
+def test_addresses_of_whole_dumps(spark):
+    """Each file has its own interfaces, whatever the order of the rows of two dumps of a collection."""
+    both = [("a", t) for t in IP_A.splitlines()] + [("b", t) for t in IFCONFIG.splitlines()]
+    rows = [("c", i, t, AT, "ip", f) for i, (f, t) in enumerate(both)]
+    rows += [("c", 90, "nameserver 8.8.8.8", AT, "resolv", "r"), ("c", 91, "default via 10.0.0.1 dev eth0", AT, "route", "r"), ("c", 92, "2: inet x", AT, "hosts", "r")]
+    df = spark.createDataFrame(rows, "collection string, seq long, line string, file_mtime timestamp, artifact string, file_path string")
+    got = [(r.kind, r.name, r.value) for r in fleet.net_config(df.repartition(4)).orderBy("seq", "value").collect()]
+    assert got == [
+        ("address", "lo", "127.0.0.1"), ("address", "lo", "::1"), ("address", "eth0", "10.0.0.5"), ("address", "eth0", "10.0.0.6"), ("address", "eth0", "fe80::5054:ff:fe12:3456"),
+        ("address", "unknown", "192.168.7.7"), ("address", "eth1", "10.0.0.9"), ("address", "eth1", "2001:db8::9"), ("address", "wlan0", "172.16.0.3"), ("address", "wlan0", "fe80::3"),
+        ("resolver", "", "8.8.8.8"), ("default_route", "", "default via 10.0.0.1 dev eth0"),
+    ]
+    assert fleet.net_config(df.drop("file_path")).where("kind = 'address'").count() == 10
+
+
 def test_lists_are_cut_in_order(spark):
     sockets = fleet.parse_sockets(lines(spark, [f"tcp LISTEN 0 1 0.0.0.0:{p} 0.0.0.0:*" for p in range(20, 0, -1)]))
     assert [r.port for r in fleet.listeners_shown(sockets).orderBy("rank").collect()] == list(range(1, 11))
