@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenlog.functions import rules
 from lumenlog.functions.text import ellipsis, extract
 from lumenlog.functions.timeparse import apache_ts, parse_ts
+from lumenlog.operators.group import carried
 
 COMBINED = r'^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)(?:\s+([^"]+))?"\s+(\d{3})\s+(\d+|-)\s+"([^"]*)"\s+"([^"]*)"'
 #: Stands between the groups of a matched line; and what starts its own spelling, and that of SIGN, in a line that has them.
@@ -51,7 +52,7 @@ def parse_web(lines: DataFrame) -> DataFrame:
     ts = F.coalesce(apache_ts(part(2)), parse_ts(line, F.col("file_mtime")))
     return rows.select(
         "collection", "seq", "line", ts.alias("ts"), part(1).alias("ip"), part(3).alias("method"), part(4).alias("uri"), part(5).alias("status"),
-        part(6).alias("size"), part(7).alias("agent"), F.when(found, request).otherwise(line).alias("message"),
+        part(6).alias("size"), part(7).alias("agent"), F.when(found, request).otherwise(line).alias("message"), *carried(lines),
     )
 
 
@@ -86,7 +87,7 @@ def history_commands(lines: DataFrame, gap_hours: int = 12) -> DataFrame:
     rows = rows.withColumn("ts", F.timestamp_seconds(F.lag("epoch").over(order))).where(F.col("epoch").isNull())
     hours = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(order))) / 3600)
     over = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(order)) > gap_hours * 3600
-    return rows.withColumn("gap_hours", F.when(over, hours)).select("collection", "username", "seq", F.trim("line").alias("command"), "ts", "gap_hours")
+    return rows.withColumn("gap_hours", F.when(over, hours)).select("collection", "username", "seq", F.trim("line").alias("command"), "ts", "gap_hours", *carried(lines))
 
 
 def classify_shell(commands: DataFrame) -> DataFrame:
@@ -166,22 +167,29 @@ def container_log_hits(logs: DataFrame, inventory: DataFrame) -> DataFrame:
     return hits.select("collection", "seq", "word", F.coalesce("name", F.substring("container_id", 1, 12)).alias("name"), ellipsis(F.col("line"), 120).alias("line"))
 
 
-def docker_event_hits(lines: DataFrame) -> DataFrame:
-    """Hits (severity, label) of daemon logs and event files, told by ``artifact`` (daemon, events).
+def docker_event_ts() -> Column:
+    return F.timestamp_seconds(extract(F.col("line"), r'"time"\s*:\s*(\d+)').try_cast("long"))
 
-    Daemon log: privileged launches and mounts of host paths, HIGH each. Events: privileged containers, MEDIUM.
-    """
+
+def docker_hits_of_line() -> Column:
+    """Array of (severity, label) of a line of a daemon log or event file, told by ``artifact`` (daemon, events)."""
     line, daemon = F.lower("line"), F.col("artifact") == "daemon"
-    ts = F.timestamp_seconds(extract(F.col("line"), r'"time"\s*:\s*(\d+)').try_cast("long"))
     hit = lambda test, severity, label: F.when(test, F.struct(F.lit(severity).alias("severity"), F.lit(label).alias("label")))
-    found = F.array_compact(
+    return F.array_compact(
         F.array(
             hit(~daemon & (line.contains('"privileged":true') | line.contains("--privileged")), "MEDIUM", "Privileged event"),
             hit(daemon & line.contains("--privileged"), "HIGH", "Privileged launch (daemon log)"),
             hit(daemon & line.rlike(r"mount.*(?:host|/proc|/dev|docker\.sock)"), "HIGH", "Suspicious mount (daemon log)"),
         )
     )
-    return lines.select("collection", "seq", ts.alias("ts"), F.explode(found).alias("f")).select("collection", "seq", "ts", "f.*")
+
+
+def docker_event_hits(lines: DataFrame) -> DataFrame:
+    """Hits (severity, label) of daemon logs and event files.
+
+    Daemon log: privileged launches and mounts of host paths, HIGH each. Events: privileged containers, MEDIUM.
+    """
+    return lines.select("collection", "seq", docker_event_ts().alias("ts"), F.explode(docker_hits_of_line()).alias("f")).select("collection", "seq", "ts", "f.*")
 
 
 def rank_keyword_hits(texts: DataFrame, rank1: list[str], rank2: list[str], whitelist: list[str]) -> DataFrame:

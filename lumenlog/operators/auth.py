@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.functions import rules
 from lumenlog.functions.text import AUTH_USERS, HEADER, ellipsis, extract, extract_ipv4, extract_message, first_of
 from lumenlog.functions.timeparse import parse_ts
+from lumenlog.operators.group import carried
 
 OPENED = r"(?i)session opened for user (\w+)"
 CLOSED = r"(?i)session closed for user (\w+)"
@@ -23,12 +24,12 @@ def parse_auth(lines: DataFrame) -> DataFrame:
     return lines.select(
         "collection", "seq", "line", parse_ts(line, F.col("file_mtime")).alias("ts"), extract(line, HEADER, 2).alias("host"),
         F.coalesce(F.nullif(extract(line, HEADER, 3), F.lit("")), F.lit("AUTH")).alias("daemon"), extract(line, HEADER, 4).alias("pid"),
-        extract_ipv4(line).alias("ip"), user.alias("user"), extract_message(line).alias("message"),
+        extract_ipv4(line).alias("ip"), user.alias("user"), extract_message(line).alias("message"), *carried(lines),
     )
 
 
-def auth_actions(parsed: DataFrame) -> DataFrame:
-    """A row per action of a line: opened, closed, failed, accepted, sudo; a line may hold several."""
+def actions_of_line() -> Column:
+    """The actions of a line, of which there may be several: array of (action, who, address, command, label)."""
     line = F.col("line")
 
     def action(name: str, pattern: str, label: str, ip: bool = False, command: bool = False):
@@ -38,14 +39,18 @@ def auth_actions(parsed: DataFrame) -> DataFrame:
         row = F.struct(F.lit(name).alias("action"), user.alias("who"), address.alias("address"), cmd.alias("command"), F.lit(label).alias("label"))
         return F.when(line.rlike(pattern), row)
 
-    found = F.array_compact(
+    return F.array_compact(
         F.array(
             action("opened", OPENED, "Session opened"), action("closed", CLOSED, "Session closed"), action("failed", FAILED, "Failed login", ip=True),
             action("accepted", ACCEPTED, "Successful login", ip=True), action("sudo", SUDO, "Sudo command", command=True),
         )
     )
+
+
+def auth_actions(parsed: DataFrame) -> DataFrame:
+    """A row per action of a line: opened, closed, failed, accepted, sudo; a line may hold several."""
     have = ["collection", "seq", "ts", "host", "daemon", "pid", "line"]
-    return parsed.select(*have, F.explode(found).alias("a")).select(*have, "a.*")
+    return parsed.select(*have, F.explode(actions_of_line()).alias("a")).select(*have, "a.*")
 
 
 def logins(actions: DataFrame, action: str) -> DataFrame:

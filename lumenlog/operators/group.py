@@ -11,9 +11,17 @@ def pattern_counts(events: DataFrame, label: str = "label") -> DataFrame:
     return events.where(F.col(label).isNotNull()).groupBy("collection", label).agg(F.count("*").alias("n"))
 
 
-def group_events(events: DataFrame, key: list[str], example: Column, seq: str = "seq") -> DataFrame:
-    """Per key: n, first_ts, last_ts, and the example of the earliest row. Partial sums first, so a hot key is no load."""
-    return events.groupBy(*key).agg(
+def carried(lines: DataFrame) -> list[str]:
+    """Columns of the lines that parsers pass on where they are given."""
+    return [c for c in ("file_path",) if c in lines.columns]
+
+
+def group_events(events: DataFrame, key: list[str], example: Column, seq: str = "seq", per_file: bool = False) -> DataFrame:
+    """Per key: n, first_ts, last_ts, and the example of the earliest row. Partial sums first, so a hot key is no load.
+
+    per_file: a key is counted in each file of a rotation set by itself.
+    """
+    return events.groupBy(*key, *(["file_path"] if per_file else [])).agg(
         F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min_by(example, F.col(seq)).alias("example")
     )
 

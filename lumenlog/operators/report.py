@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.functions.text import ellipsis, format_range
-from lumenlog.functions.timeparse import valid_ts
-from lumenlog.operators.group import top_k
 
 # Log types in the order of a report.
 IMPORTANCE = ["JOURNAL", "AUTH", "SECURE", "AUDIT", "WEB", "DOCKER", "SYSLOG", "MESSAGES", "CRONTAB", "BASH"]
@@ -28,19 +26,18 @@ def normalise(events: DataFrame, log_type: str, **columns: Column) -> DataFrame:
     return events.select("collection", "ts", F.lit(log_type).alias("log_type"), *rest, raw.alias("raw"))
 
 
+def with_text(found: DataFrame) -> DataFrame:
+    """Findings with their line of a report: log type, severity, times and number, example."""
+    text = F.concat(
+        F.lit("["), "log_type", F.lit("] ["), "severity", F.lit("] ["), format_range(F.col("first_ts"), F.col("last_ts"), F.col("n")), F.lit("] "), ellipsis(F.col("example"), 160)
+    )
+    return found.withColumn("text", text)
+
+
 def findings(grouped: DataFrame, log_type: str, severity: str | Column, key: str) -> DataFrame:
     """Grouped events as findings: key, example, text for display."""
     grade = F.lit(severity) if isinstance(severity, str) else severity
-    text = F.concat(F.lit(f"[{log_type}] ["), grade, F.lit("] ["), format_range(F.col("first_ts"), F.col("last_ts"), F.col("n")), F.lit("] "), ellipsis(F.col("example"), 160))
-    return grouped.select("collection", F.lit(log_type).alias("log_type"), grade.alias("severity"), F.col(key).alias("key"), "n", "first_ts", "last_ts", "example", text.alias("text"))
-
-
-def hits(rows: DataFrame, log_type: str, severity: Column, key: Column, ts: Column | None = None) -> DataFrame:
-    """Findings of rows that are hits by themselves: one for each severity and key, which is the example too."""
-    at = F.lit(None).cast("timestamp") if ts is None else ts
-    named = rows.select("collection", severity.alias("severity"), key.alias("key"), at.alias("ts"))
-    grouped = named.groupBy("collection", "severity", "key").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    return findings(grouped.withColumn("example", F.col("key")), log_type, F.col("severity"), "key")
+    return with_text(grouped.select("collection", F.lit(log_type).alias("log_type"), grade.alias("severity"), F.col(key).alias("key"), "n", "first_ts", "last_ts", "example"))
 
 
 def is_high(severity: Column) -> Column:
@@ -51,33 +48,5 @@ def is_suspicious(severity: Column) -> Column:
     return F.upper(severity).isin(*SUSPICIOUS)
 
 
-def coverage(events: DataFrame, as_of: Column) -> DataFrame:
-    """First and last valid time, and rows, per collection and log type. events: (collection, log_type, ts, last),
-    last being ts but for rows of several stamps."""
-    valid = lambda c: F.when(valid_ts(F.col(c), as_of), F.col(c))
-    return events.groupBy("collection", "log_type").agg(F.count("*").alias("rows"), F.min(valid("ts")).alias("first_ts"), F.max(valid("last")).alias("last_ts"))
-
-
-def per_log_status(found: DataFrame, covered: DataFrame) -> DataFrame:
-    """clean, or how many findings are suspicious, for each log type that has rows."""
-    n = found.where(is_suspicious(F.col("severity"))).groupBy("collection", "log_type").agg(F.count("*").alias("suspicious"))
-    rows = covered.select("collection", "log_type").join(n, ["collection", "log_type"], "left").withColumn("suspicious", F.coalesce("suspicious", F.lit(0)))
-    return rows.withColumn("status", F.when(F.col("suspicious") == 0, "clean").otherwise(F.concat(F.col("suspicious").cast("string"), F.lit(" suspicious"))))
-
-
 def log_rank(log_type: Column) -> Column:
     return F.coalesce(*[F.when(log_type == t, F.lit(i)) for i, t in enumerate(IMPORTANCE)], F.lit(len(IMPORTANCE)))
-
-
-def global_summary(covered: DataFrame, labels: DataFrame, ips: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of a report: (section, item, n) per collection and log type; the five patterns, three sources and five HIGH
-    findings that count most. labels and ips: (collection, log_type, item, n)."""
-    order = [F.col("n").desc(), F.col("item").asc()]
-    by = ["collection", "log_type"]
-    parts = [
-        covered.select(*by, F.lit("rows").alias("section"), F.lit("").alias("item"), F.col("rows").alias("n"), F.lit(1).alias("rank")),
-        top_k(labels, by, order, 5).select(*by, F.lit("pattern").alias("section"), "item", "n", "rank"),
-        top_k(ips, by, order, 3).select(*by, F.lit("ip").alias("section"), "item", "n", "rank"),
-        top_k(found.where(is_high(F.col("severity"))).select(*by, F.col("key").alias("item"), "n"), by, order, 5).select(*by, F.lit("finding").alias("section"), "item", "n", "rank"),
-    ]
-    return union(parts).withColumn("log_rank", log_rank(F.col("log_type")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions import rules
 from lumenlog.functions.text import epoch_to_utc, extract, file_ext, file_name, folder_of
-from lumenlog.operators.group import top_k
+from lumenlog.operators.group import carried, top_k
 from lumenlog.plans.config import TriageConfig
 
 
@@ -28,7 +28,7 @@ def parse_bodyfile(lines: DataFrame) -> DataFrame:
     rows = lines.where((F.trim("line") != "") & ~F.col("line").startswith("#")).withColumn("p", F.split("line", r"\|")).where(F.size("p") >= 11)
     return rows.select(
         "collection", "seq", part(1).alias("path"), F.coalesce(part(6).try_cast("long"), F.lit(0)).alias("size"), part(3).alias("mode"), part(4).alias("uid"), part(5).alias("gid"), part(0).alias("md5"),
-        epoch(7).alias("atime"), epoch(8).alias("mtime"), epoch(9).alias("ctime"), epoch(10).alias("crtime"),
+        epoch(7).alias("atime"), epoch(8).alias("mtime"), epoch(9).alias("ctime"), epoch(10).alias("crtime"), *carried(lines),
     )
 
 
@@ -72,7 +72,7 @@ def bodyfile_findings(entries: DataFrame, config: TriageConfig) -> DataFrame:
 def parse_sha1(lines: DataFrame) -> DataFrame:
     """HASH  /path, the hash of 40 characters."""
     pattern = r"^(\S{40})\s+(.+)$"
-    return lines.where(F.col("line").rlike(pattern)).select("collection", "seq", extract(F.col("line"), pattern, 1).alias("hash"), F.trim(extract(F.col("line"), pattern, 2)).alias("path"))
+    return lines.where(F.col("line").rlike(pattern)).select("collection", "seq", extract(F.col("line"), pattern, 1).alias("hash"), F.trim(extract(F.col("line"), pattern, 2)).alias("path"), *carried(lines))
 
 
 def score_sha1(entries: DataFrame) -> DataFrame:

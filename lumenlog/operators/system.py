@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.functions import rules
 from lumenlog.functions.text import FOR_USER, HEADER, USER_EQUALS, ellipsis, extract, extract_ipv4, extract_message, first_of, mask_digits, normalize_audit
 from lumenlog.functions.timeparse import parse_ts
-from lumenlog.operators.group import group_events
+from lumenlog.operators.group import carried, group_events
 from lumenlog.operators.prefix import BITS, Running, running
 
 CRON_EXEC = r"(?i)CROND?\[\d+\]:\s*\(([^)]+)\)\s*CMD\s*\((.+)\)"
@@ -26,7 +26,7 @@ def parse_syslog(lines: DataFrame) -> DataFrame:
     rows = kept_lines(lines).where(line.rlike(HEADER)).select(
         "collection", "seq", "line", parse_ts(line, F.col("file_mtime")).alias("ts"), extract(line, HEADER, 2).alias("host"), extract(line, HEADER, 3).alias("daemon"),
         extract(line, HEADER, 4).alias("pid"), F.trim(extract(line, HEADER, 5)).alias("message"), extract_ipv4(line).alias("ip"),
-        first_of(extract(line, USER_EQUALS), extract(line, FOR_USER)).alias("user"), F.trim(extract(line, CRON_EXEC, 1)).alias("cron_user"), F.trim(extract(line, CRON_EXEC, 2)).alias("cron_cmd"),
+        first_of(extract(line, USER_EQUALS), extract(line, FOR_USER)).alias("user"), F.trim(extract(line, CRON_EXEC, 1)).alias("cron_user"), F.trim(extract(line, CRON_EXEC, 2)).alias("cron_cmd"), *carried(lines),
     )
     return rows.where("ts is not null")
 
@@ -61,12 +61,21 @@ def classify_syslog(parsed: DataFrame) -> DataFrame:
     return rows.withColumns({"label": label, "severity": severity}).drop("rule")
 
 
-def syslog_findings(classified: DataFrame) -> DataFrame:
+def syslog_group() -> tuple[Column, Column]:
+    """Key and example of a critical event."""
     cron = F.col("cron_cmd") != ""
     key = F.when(cron, F.concat(F.lit("CRON|"), mask_digits(F.col("cron_cmd")))).otherwise(F.concat(F.lit("SYS|"), mask_digits(F.col("message"))))
     example = F.when(cron, F.concat(F.lit("[CRON] user="), F.col("cron_user"), F.lit(" CMD: "), F.col("cron_cmd"))).otherwise(F.col("message"))
-    rows = classified.where("tier = 'Critical'").withColumn("key", F.lower(F.substring(key, 1, 120)))
-    return group_events(rows, ["collection", "key"], ellipsis(example, 160))
+    return F.lower(F.substring(key, 1, 120)), ellipsis(example, 160)
+
+
+def grouped(classified: DataFrame, group: tuple[Column, Column], per_file: bool = False) -> DataFrame:
+    key, example = group
+    return group_events(classified.where("tier = 'Critical'").withColumn("key", key), ["collection", "key"], example, per_file=per_file)
+
+
+def syslog_findings(classified: DataFrame, per_file: bool = False) -> DataFrame:
+    return grouped(classified, syslog_group(), per_file)
 
 
 def parse_messages(lines: DataFrame) -> DataFrame:
@@ -77,7 +86,7 @@ def parse_messages(lines: DataFrame) -> DataFrame:
     token = F.coalesce(*[F.when(low.contains(w), t) for w, t in levels], extract(low, r":\s*(emerg|alert|crit|err|error|warning)\b"))
     rows = kept_lines(lines).select(
         "collection", "seq", "line", parse_ts(line, F.col("file_mtime")).alias("ts"), extract(line, HEADER, 2).alias("host"), extract(line, HEADER, 3).alias("daemon"),
-        extract_ipv4(line).alias("ip"), user.alias("user"), extract_message(line).alias("message"), token.alias("token"),
+        extract_ipv4(line).alias("ip"), user.alias("user"), extract_message(line).alias("message"), token.alias("token"), *carried(lines),
     )
     return rows.where("ts is not null")
 
@@ -95,9 +104,12 @@ def classify_messages(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("tier", tier).withColumns({"label": F.when(F.col("tier") != "Info", of(names, "Critical event")), "severity": of(grades, "Info")})
 
 
-def messages_findings(classified: DataFrame) -> DataFrame:
-    rows = classified.where("tier = 'Critical'").withColumn("key", F.lower(F.substring(mask_digits(F.col("message")), 1, 100)))
-    return group_events(rows, ["collection", "key"], F.col("message"))
+def messages_group() -> tuple[Column, Column]:
+    return F.lower(F.substring(mask_digits(F.col("message")), 1, 100)), F.col("message")
+
+
+def messages_findings(classified: DataFrame, per_file: bool = False) -> DataFrame:
+    return grouped(classified, messages_group(), per_file)
 
 
 def parse_audit(lines: DataFrame) -> DataFrame:
@@ -107,7 +119,7 @@ def parse_audit(lines: DataFrame) -> DataFrame:
     acct = extract(msg, r'acct="?([^"\s]+)"?')
     return lines.where(line.rlike(AUDIT_LINE)).select(
         "collection", "seq", "line", extract(line, AUDIT_LINE, 1).alias("type"), F.timestamp_seconds(extract(line, AUDIT_LINE, 2).try_cast("long")).alias("ts"),
-        msg.alias("message"), F.when(acct == "", "unknown").otherwise(acct).alias("acct"),
+        msg.alias("message"), F.when(acct == "", "unknown").otherwise(acct).alias("acct"), *carried(lines),
     )
 
 
@@ -137,9 +149,12 @@ def classify_audit(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("tier", tier).withColumns({"label": F.when(F.col("tier") != "Info", label), "severity": F.when(F.col("tier") == "Critical", "High").otherwise("Info")})
 
 
-def audit_findings(classified: DataFrame) -> DataFrame:
-    key = F.lower(F.concat("type", F.lit("|"), F.substring(normalize_audit(F.col("message")), 1, 100)))
-    return group_events(classified.where("tier = 'Critical'").withColumn("key", key), ["collection", "key"], ellipsis(F.col("message"), 160))
+def audit_group() -> tuple[Column, Column]:
+    return F.lower(F.concat("type", F.lit("|"), F.substring(normalize_audit(F.col("message")), 1, 100))), ellipsis(F.col("message"), 160)
+
+
+def audit_findings(classified: DataFrame, per_file: bool = False) -> DataFrame:
+    return grouped(classified, audit_group(), per_file)
 
 
 def success_after_failures(parsed: DataFrame, least: int = 5, bits: int = BITS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions import rules
 from lumenlog.functions.text import is_public_ip, normalize_for_grouping
-from lumenlog.operators import activity, auth, fleet, report, score, sessions, system
+from lumenlog.operators import activity, auth, fleet, marks, report, score, sessions, system
 from lumenlog.operators.group import collapse_cron, pattern_counts, top_k
 from lumenlog.plans.config import TriageConfig
 from lumenlog.plans.registry import LOG_TYPES, dated, normalised_events
@@ -215,7 +215,7 @@ def crontab_findings(spark, d):
 
 @query
 def history_commands(spark, d):
-    return activity.history_commands(lines(spark, d, "history"), CONFIG.history_gap_hours)
+    return activity.history_commands(lines(spark, d, "history"), CONFIG.history_gap_hours).drop("file_path")
 
 
 @query
@@ -241,7 +241,7 @@ def lateral_movement(spark, d):
 
 @query
 def bodyfile_timeline(spark, d):
-    return score.bodyfile_timeline(score.parse_bodyfile(lines(spark, d, "bodyfile")))
+    return score.bodyfile_timeline(score.parse_bodyfile(lines(spark, d, "bodyfile"))).drop("file_path")
 
 
 @query
@@ -393,76 +393,69 @@ def collapsed_cron(spark, d):
     return collapse_cron(cron.withColumn("text", text), F.col("text"))
 
 
-def covered_events(spark, d):
-    parts = {
-        "AUTH": auth.parse_auth(lines(spark, d, "auth")), "SYSLOG": syslog(spark, d), "MESSAGES": messages(spark, d), "AUDIT": audit(spark, d), "WEB": activity.parse_web(lines(spark, d, "web")),
-        "CRONTAB": crontab(spark, d), "BASH": activity.history_commands(lines(spark, d, "history")), "JOURNAL": journal(spark, d),
-    }
-    none = F.lit(None).cast("timestamp")
-    events = lines(spark, d, "docker_events").select("collection", F.timestamp_seconds(F.regexp_extract("line", r'"time"\s*:\s*(\d+)', 1).try_cast("long")).alias("ts"))
-    parts |= {"DOCKER": report.union([events, *[lines(spark, d, t).select("collection", none.alias("ts")) for t in ("containers", "container_logs")]])}
-    parts |= {"SHA1": score.parse_sha1(lines(spark, d, "sha1")).withColumn("ts", none), "LIVE": report.union([lines(spark, d, t).select("collection", none.alias("ts")) for t in ("ps", "persistence", "files")])}
-    plain = [df.select("collection", F.lit(t).alias("log_type"), "ts", F.col("ts").alias("last")) for t, df in parts.items()]
-    stamps = [F.timestamp_seconds(c) for c in ("atime", "mtime", "ctime", "crtime")]
-    files = score.parse_bodyfile(lines(spark, d, "bodyfile")).select("collection", F.lit("BODYFILE").alias("log_type"), F.least(*stamps).alias("ts"), F.greatest(*stamps).alias("last"))
-    return report.union([*plain, files])
-
-
-def all_findings(spark, d):
-    """Findings of every source, each with its own severity."""
-    f, hits, grade = report.findings, report.hits, F.col("severity")
-    done, boxes = actions(spark, d), activity.containers(lines(spark, d, "containers"))
-    order = [F.col("n").desc(), F.col("ip"), F.col("user")]
-    logins = lambda what, k, key: f(top_k(auth.logins(done, what), ["collection"], order, k).withColumn("key", key).withColumn("example", key), "AUTH", "MEDIUM", "key")
-    brute = auth.ssh_bruteforce(done, CONFIG.bruteforce_threshold).withColumn("example", F.concat_ws(" ", F.lit("failed logins of"), F.col("users").cast("string"), F.lit("users")))
-    typed = shell(spark, d)
-    tiers = lambda tier: F.when(tier == "Critical", "HIGH").otherwise("SUSPICIOUS")
-    attacks = activity.web_attack_findings(web(spark, d)).withColumn("example", F.col("uri"))
-    files, medium = score.bodyfile_findings(score.parse_bodyfile(lines(spark, d, "bodyfile")), CONFIG), F.lit("MEDIUM")
-    hashes = score.sha1_candidates(score.score_sha1(score.parse_sha1(lines(spark, d, "sha1"))), CONFIG.sha1_min_score)
-    return report.union([
-        hits(auth.sudo_tiers(done).where("tier = 'HIGH'"), "AUTH", F.lit("HIGH"), F.concat("user", F.lit(" ran: "), "command"), F.col("ts")), f(brute, "AUTH", "BRUTEFORCE", "ip"),
-        logins("accepted", 20, F.concat("user", F.lit(" from "), "ip")), logins("failed", 10, F.concat("ip", F.lit(" user="), "user")),
-        f(system.syslog_findings(syslog(spark, d)), "SYSLOG", "HIGH", "key"), f(system.messages_findings(messages(spark, d)), "MESSAGES", "HIGH", "key"),
-        f(system.audit_findings(audit(spark, d)), "AUDIT", "HIGH", "key"), f(attacks, "WEB", "HIGH", "attack"),
-        hits(crontab(spark, d).where("tier <> 'Info'"), "CRONTAB", tiers(F.col("tier")), F.col("command"), F.col("ts")),
-        f(system.journal_findings(journal(spark, d)), "JOURNAL", "HIGH", "signature"),
-        hits(typed.where("tier <> 'Info'"), "BASH", tiers(F.col("tier")), F.concat("username", F.lit(": "), "command"), F.col("ts")),
-        hits(typed.where("anti_forensics and tier <> 'Info'"), "BASH", F.lit("HIGH"), F.concat(F.lit("anti-forensics by "), "username"), F.col("ts")),
-        hits(activity.container_risk(boxes), "DOCKER", grade, F.concat("label", F.lit(": "), "name")),
-        hits(activity.container_log_hits(lines(spark, d, "container_logs"), boxes), "DOCKER", F.lit("HIGH"), F.concat("word", F.lit(" in log of "), "name")),
-        hits(activity.docker_event_hits(lines(spark, d, "docker_events")), "DOCKER", grade, F.col("label"), F.col("ts")),
-        hits(files, "BODYFILE", F.lit("SUSPICIOUS"), F.col("path"), F.col("mtime")), hits(hashes, "SHA1", grade, F.concat("hash", F.lit(" "), "path")),
-        hits(fleet.process_hits(fleet.parse_ps(lines(spark, d, "ps"))).where("word is not null"), "LIVE", medium, F.concat("word", F.lit(" in: "), "command")),
-        hits(fleet.persistence_hits(lines(spark, d, "persistence")), "LIVE", medium, F.concat("kind", F.lit(": "), "line")),
-        hits(fleet.suspicious_temp_files(lines(spark, d, "files")), "LIVE", medium, F.col("path")),
-    ])
+def summed(spark, d):
+    """The marks of every source, summed: each log is read and parsed once, and all reports read these sums.
+
+    Body files, hashes, containers and live dumps are read twice: for their files, and for their findings.
+    """
+    as_of, of = F.lit(CONFIG.as_of), lambda name: lines(spark, d, name)
+    tally = lambda rows, kind, found=None, **how: marks.tally(rows, kind, found, as_of, **how)
+    plain = {"SYSLOG": syslog, "MESSAGES": messages, "AUDIT": audit, "WEB": web, "CRONTAB": crontab, "BASH": shell, "JOURNAL": journal}
+    logins = tally(dated(auth.parse_auth(of("auth")), CONFIG), "AUTH", marks.auth_marks())
+    parts = [marks.settled_logins(logins, CONFIG.bruteforce_threshold), *(tally(plan(spark, d), kind, marks.OF_LOG[kind]()) for kind, plan in plain.items())]
+    never = lambda rows: rows.withColumn("ts", F.lit(None).cast("timestamp"))
+    found = lambda rows, kind, severity, key, ts=None: tally(rows if ts else never(rows), kind, F.array(marks.mark("finding", key, severity)), files=False, ts=ts or "ts")
+    events = of("docker_events").withColumn("ts", activity.docker_event_ts())
+    parts.append(tally(events, "DOCKER", F.transform(activity.docker_hits_of_line(), lambda h: marks.mark("finding", h["label"], h["severity"]))))
+    parts += [tally(never(of(name)), kind) for kind, name in (("DOCKER", "containers"), ("DOCKER", "container_logs"), ("LIVE", "ps"), ("LIVE", "persistence"), ("LIVE", "files"))]
+    boxes = activity.containers(of("containers"))
+    parts += [
+        found(activity.container_risk(boxes), "DOCKER", F.col("severity"), F.concat("label", F.lit(": "), "name")),
+        found(activity.container_log_hits(of("container_logs"), boxes), "DOCKER", "HIGH", F.concat("word", F.lit(" in log of "), "name")),
+        found(fleet.process_hits(fleet.parse_ps(of("ps"))).where("word is not null"), "LIVE", "MEDIUM", F.concat("word", F.lit(" in: "), "command")),
+        found(fleet.persistence_hits(of("persistence")), "LIVE", "MEDIUM", F.concat("kind", F.lit(": "), "line")),
+        found(fleet.suspicious_temp_files(of("files")), "LIVE", "MEDIUM", F.col("path")),
+    ]
+    entries, stamps = score.parse_bodyfile(of("bodyfile")), [F.timestamp_seconds(c) for c in ("atime", "mtime", "ctime", "crtime")]
+    hashes = score.parse_sha1(of("sha1"))
+    parts += [
+        tally(entries.withColumns({"ts": F.least(*stamps), "last": F.greatest(*stamps)}), "BODYFILE", last="last"), tally(never(hashes), "SHA1"),
+        found(score.bodyfile_findings(entries, CONFIG), "BODYFILE", "SUSPICIOUS", F.col("path"), "mtime"),
+        found(score.sha1_candidates(score.score_sha1(hashes), CONFIG.sha1_min_score), "SHA1", F.col("severity"), F.concat("hash", F.lit(" "), "path")),
+    ]
+    return report.union(parts)
 
 
 @query
 def coverage(spark, d):
-    return report.coverage(covered_events(spark, d), F.lit(CONFIG.as_of))
+    return marks.coverage(summed(spark, d))
+
+
+@query
+def coverage_levels(spark, d):
+    """Coverage per file, per log type and per collection."""
+    return marks.coverage_levels(summed(spark, d))
 
 
 @query
 def findings(spark, d):
-    return all_findings(spark, d).select("collection", "log_type", "severity", "key", "n", "first_ts", "last_ts")
+    return marks.findings(summed(spark, d)).drop("example")
 
 
 @query
 def per_log_status(spark, d):
-    return report.per_log_status(all_findings(spark, d), report.coverage(covered_events(spark, d), F.lit(CONFIG.as_of)))
+    return marks.per_log_status(summed(spark, d))
 
 
 @query
 def global_summary(spark, d):
-    label = lambda df, t: pattern_counts(df).select("collection", F.lit(t).alias("log_type"), F.col("label").alias("item"), "n")
-    labelled = {"AUTH": actions, "SYSLOG": syslog, "MESSAGES": messages, "AUDIT": audit, "WEB": web, "CRONTAB": crontab, "BASH": shell, "JOURNAL": journal}
-    labels = report.union([label(plan(spark, d), t) for t, plan in labelled.items()])
-    ips = auth.interesting_ips(actions(spark, d)).select("collection", F.lit("AUTH").alias("log_type"), F.col("ip").alias("item"), "n")
-    attackers = web(spark, d).where("attack is not null").groupBy("collection", F.col("ip").alias("item")).agg(F.count("*").alias("n"))
-    ips = ips.unionByName(attackers.select("collection", F.lit("WEB").alias("log_type"), "item", "n"))
-    return report.global_summary(report.coverage(covered_events(spark, d), F.lit(CONFIG.as_of)), labels, ips, all_findings(spark, d))
+    return marks.global_summary(summed(spark, d))
+
+
+@query
+def syslog_findings_per_file(spark, d):
+    """The option per_file: a key counts in each rotated file by itself."""
+    return system.syslog_findings(syslog(spark, d), per_file=True).orderBy("collection", "file_path", F.desc("n"), "key")
 
 
 @query

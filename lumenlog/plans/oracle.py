@@ -82,7 +82,7 @@ def action(name: str, pattern: str, label: str, ip: str = "ip", command: str = "
     return f"SELECT collection, seq, ts, daemon, {q(name)} AS action, {rx('line', pattern)} AS who, {ip} AS address, {command} AS command, {q(label)} AS label, host, pid FROM auth WHERE {like('line', pattern)}"
 
 
-AUTH = f"""auth AS (SELECT collection, seq, line, {TS} AS ts, {rx('line', HEADER, 2)} AS host, coalesce(nullif({rx('line', HEADER, 3)}, ''), 'AUTH') AS daemon, {rx('line', HEADER, 4)} AS pid,
+AUTH = f"""auth AS (SELECT collection, seq, line, file_path, {TS} AS ts, {rx('line', HEADER, 2)} AS host, coalesce(nullif({rx('line', HEADER, 3)}, ''), 'AUTH') AS daemon, {rx('line', HEADER, 4)} AS pid,
  {rx('line', IPV4, 0)} AS ip, {some(*[rx('line', p) for p in AUTH_USERS])} AS "user", {MESSAGE} AS message FROM ({duck('auth')}))"""
 ACTIONS = f"""{AUTH}, actions AS ({action('opened', OPENED, 'Session opened')} UNION ALL {action('closed', CLOSED, 'Session closed')} UNION ALL
  {action('failed', FAILED, 'Failed login', rx('line', FAILED, 2))} UNION ALL {action('accepted', ACCEPTED, 'Successful login', rx('line', ACCEPTED, 2))} UNION ALL
@@ -117,7 +117,7 @@ JUDGED = f"""{PAIRED}, failed AS (SELECT collection, address AS ip, who AS "user
   UNION ALL SELECT collection, ip, attempt, "user", daemon, ts, ts, 0, 'SshFailed', seq, CASE WHEN attempt >= 5 THEN 'MultipleFailures' END, CASE WHEN attempt >= 5 THEN 'Failed attempt #' || attempt || ' from this IP' ELSE 'Failed authentication' END FROM failed
   UNION ALL SELECT collection, ip, 0, "user", daemon, start_ts, end_ts, seconds, type, seq, NULL, '' FROM paired WHERE end_seq IS NULL)"""
 
-SYSLOG = f"""sys0 AS (SELECT collection, seq, line, {TS} AS ts, {rx('line', HEADER, 2)} AS host, {rx('line', HEADER, 3)} AS daemon, trim({rx('line', HEADER, 5)}) AS message, {rx('line', IPV4, 0)} AS ip,
+SYSLOG = f"""sys0 AS (SELECT collection, seq, line, file_path, {TS} AS ts, {rx('line', HEADER, 2)} AS host, {rx('line', HEADER, 3)} AS daemon, trim({rx('line', HEADER, 5)}) AS message, {rx('line', IPV4, 0)} AS ip,
  {some(rx('line', USER_EQUALS), rx('line', FOR_USER))} AS "user", trim({rx('line', CRON_EXEC, 1)}) AS cron_user, trim({rx('line', CRON_EXEC, 2)}) AS cron_cmd FROM ({duck('syslog')}) WHERE {KEPT} AND {like('line', HEADER)}),
  sys1 AS (SELECT *, {first_rx('line', rules.SYSTEM_CRITICAL)} AS hit, CASE WHEN cron_cmd <> '' THEN CASE WHEN {any_of('cron_cmd', rules.CRON_WHITELIST)} THEN 'Info' WHEN {any_of('cron_cmd', rules.EXEC_CRITICAL)} THEN 'Critical' ELSE 'Info' END
   WHEN {first_rx('line', rules.SYSTEM_CRITICAL)} IS NOT NULL THEN 'Critical' WHEN {like('line', '(?i)session' + chr(92) + 's+(?:opened|closed)')} THEN 'Info' WHEN {isin('lower(daemon)', rules.QUIET_DAEMONS)} THEN 'Info'
@@ -131,7 +131,7 @@ SYSLOG_F = f"""{SYSLOG}, syslog_f AS (SELECT collection, lower(substr(CASE WHEN
 
 TOKEN = "CASE " + " ".join(f"WHEN contains(lower(line), {q(w)}) THEN {q(t)}" for w, t in (("level=emerg", "emerg"), ("level=alert", "alert"), ("level=crit", "crit"), ("level=err", "err"), ("level=warning", "warning")))
 TOKEN += f" ELSE {rx('lower(line)', ':' + chr(92) + 's*(emerg|alert|crit|err|error|warning)' + chr(92) + 'b')} END"
-MESSAGES = f"""mes0 AS (SELECT collection, seq, line, {TS} AS ts, {MESSAGE} AS message, {some(rx('line', USER_EQUALS), rx('line', FOR_USER), rx('line', '(?i)' + chr(92) + 'bUID=(' + DIGITS + ')' + chr(92) + 'b'))} AS "user", {TOKEN} AS token
+MESSAGES = f"""mes0 AS (SELECT collection, seq, line, file_path, {TS} AS ts, {MESSAGE} AS message, {some(rx('line', USER_EQUALS), rx('line', FOR_USER), rx('line', '(?i)' + chr(92) + 'bUID=(' + DIGITS + ')' + chr(92) + 'b'))} AS "user", {TOKEN} AS token
  FROM ({duck('messages')}) WHERE {KEPT}),
  mes1 AS (SELECT *, CASE WHEN token IN ('emerg', 'alert', 'crit') OR {first_rx('line', rules.MESSAGES_CRITICAL)} IS NOT NULL THEN 'Critical' WHEN token IN ('err', 'error', 'warning') THEN 'Noise' ELSE 'Info' END AS tier FROM mes0 WHERE ts IS NOT NULL),
  messages AS (SELECT *, CASE WHEN tier = 'Info' THEN NULL ELSE CASE token WHEN 'emerg' THEN 'Emergency' WHEN 'alert' THEN 'Alert' WHEN 'crit' THEN 'Critical' WHEN 'err' THEN 'Error' WHEN 'error' THEN 'Error' WHEN 'warning' THEN 'Warning' ELSE 'Critical event' END END AS label,
@@ -143,7 +143,7 @@ for name in ("pid", "uid", "gid", "auid", "ses"):
     NORM = sub(NORM, rf"\b{name}=\d+", f"{name}=X")
 for pattern, to in ((r"0x[0-9a-fA-F]+", "0xHEX"), (IPV4, "IP"), (r"\b\d{5,}\b", "N"), (r"\s{2,}", " ")):
     NORM = sub(NORM, pattern, to)
-AUDIT_CTE = f"""aud0 AS (SELECT collection, seq, line, {rx('line', AUDIT_LINE)} AS type, {epoch(f"TRY_CAST({rx('line', AUDIT_LINE, 2)} AS BIGINT)")} AS ts, {rx('line', AUDIT_LINE, 3)} AS message FROM ({duck('audit')}) WHERE {like('line', AUDIT_LINE)}),
+AUDIT_CTE = f"""aud0 AS (SELECT collection, seq, line, file_path, {rx('line', AUDIT_LINE)} AS type, {epoch(f"TRY_CAST({rx('line', AUDIT_LINE, 2)} AS BIGINT)")} AS ts, {rx('line', AUDIT_LINE, 3)} AS message FROM ({duck('audit')}) WHERE {like('line', AUDIT_LINE)}),
  aud1 AS (SELECT *, coalesce(nullif({rx('message', 'acct="?([^"' + chr(92) + 's]+)"?')}, ''), 'unknown') AS acct, {any_of('message', rules.EXEC_CRITICAL)} AS bad, CASE WHEN {isin('upper(type)', rules.AUDIT_NOISE_TYPES)} THEN 'Info' WHEN {isin('upper(type)', rules.AUDIT_CRITICAL_TYPES)} THEN 'Critical'
   WHEN {any_of('message', ['res=failed', 'res=denied', ' denied '])} THEN 'Noise' WHEN type IN ('EXECVE', 'USER_CMD') THEN CASE WHEN {any_of('message', rules.EXEC_CRITICAL)} AND NOT {any_of('message', rules.AUTOMATION)} THEN 'Critical' ELSE 'Noise' END
   WHEN type = 'SYSCALL' AND {any_of('message', ['syscall=59', 'syscall=execve'])} AND {any_of('message', rules.EXEC_CRITICAL)} THEN 'Critical' WHEN type IN ('CHOWN', 'CHMOD', 'SETUID', 'SETGID') AND {any_of('message', rules.EXEC_CRITICAL)} THEN 'Critical' ELSE 'Noise' END AS tier FROM aud0),
@@ -151,7 +151,7 @@ AUDIT_CTE = f"""aud0 AS (SELECT collection, seq, line, {rx('line', AUDIT_LINE)}
   WHEN 'ANOM_ABEND' THEN 'Process crash (ANOM_ABEND)' WHEN 'ANOM_PROMISCUOUS' THEN 'NIC promiscuous mode' WHEN 'KERN_MODULE' THEN 'Kernel module' WHEN 'MAC_POLICY_LOAD' THEN 'MAC policy change' ELSE type END END AS label FROM aud1)"""
 AUDIT_F = f"""{AUDIT_CTE}, audit_f AS (SELECT collection, lower(type || '|' || substr(trim({NORM}), 1, 100)) AS key, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, arg_min({short('message', 160)}, seq) AS example FROM audit WHERE tier = 'Critical' GROUP BY ALL)"""
 
-WEB = f"""web0 AS (SELECT collection, seq, line, {TS} AS ts, {rx('line', COMBINED, 1)} AS ip, {rx('line', COMBINED, 3)} AS method, {rx('line', COMBINED, 4)} AS uri, {rx('line', COMBINED, 6)} AS status, {rx('line', COMBINED, 7)} AS size FROM ({duck('web')})),
+WEB = f"""web0 AS (SELECT collection, seq, line, file_path, {TS} AS ts, {rx('line', COMBINED, 1)} AS ip, {rx('line', COMBINED, 3)} AS method, {rx('line', COMBINED, 4)} AS uri, {rx('line', COMBINED, 6)} AS status, {rx('line', COMBINED, 7)} AS size FROM ({duck('web')})),
  web AS (SELECT *, CASE WHEN {like('line', COMBINED)} THEN method || ' ' || uri || ' -> ' || status || ' ' || size || 'B' ELSE line END AS message, {first('uri', rules.URI_ATTACKS)} AS attack,
   CASE WHEN {first('uri', rules.URI_ATTACKS)} IS NOT NULL THEN 'Critical' WHEN {any_of('uri', rules.URI_NOISE)} THEN 'Noise' ELSE 'Info' END AS tier FROM web0)"""
 WEB_F = f"""{WEB}, web_f AS (SELECT collection, attack, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, arg_min(ip, seq) AS ip, arg_min({short('uri', 80)}, seq) AS uri FROM web WHERE attack IS NOT NULL GROUP BY ALL)"""
@@ -160,13 +160,13 @@ FIELDS = r"^(\S+\s+\S+\s+\S+\s+\S+\s+\S+)\s+(.+)$"
 OWNED = r"^(\S+)[ \t]+(.+)$"
 CRONTAB = f"""cro0 AS (SELECT *, {some(rx('trim(line)', '^(@' + chr(92) + 'w+)' + chr(92) + 's+.+$'), rx('trim(line)', FIELDS, 1))} AS schedule, {some(rx('trim(line)', '^@' + chr(92) + 'w+' + chr(92) + 's+(.+)$'), rx('trim(line)', FIELDS, 2))} AS rest,
   (lower(file_path) LIKE '%cron.d%' OR lower(file_path) LIKE '%crontab') AS system FROM ({duck('crontab')}) WHERE {KEPT} AND NOT {like('trim(line)', '^(?:MAILTO|PATH|SHELL|HOME)')}),
- cro1 AS (SELECT collection, seq, line, file_mtime AS ts, schedule, CASE WHEN system THEN {rx('rest', OWNED)} ELSE regexp_extract(file_path, '[^/]*$') END AS "user", CASE WHEN system AND {rx('rest', OWNED)} <> '' THEN {rx('rest', OWNED, 2)} ELSE rest END AS command FROM cro0 WHERE schedule <> ''),
+ cro1 AS (SELECT collection, seq, line, file_path, file_mtime AS ts, schedule, CASE WHEN system THEN {rx('rest', OWNED)} ELSE regexp_extract(file_path, '[^/]*$') END AS "user", CASE WHEN system AND {rx('rest', OWNED)} <> '' THEN {rx('rest', OWNED, 2)} ELSE rest END AS command FROM cro0 WHERE schedule <> ''),
  crontab AS (SELECT *, CASE WHEN {any_of('command', rules.JOB_WHITELIST)} THEN 'Info' WHEN {any_of('command', rules.JOB_CRITICAL)} THEN 'Critical' WHEN {any_of('command', rules.JOB_SUSPICIOUS)} THEN 'Suspicious' ELSE 'Info' END AS tier FROM cro1)"""
 
 HISTORY = f"""his0 AS (SELECT *, TRY_CAST({rx('line', '^#([0-9]{10,})$')} AS BIGINT) AS ep FROM ({duck('history')}) WHERE trim(line) <> ''),
  his1 AS (SELECT *, {epoch('lag(ep) OVER (PARTITION BY collection, username ORDER BY seq)')} AS ts FROM his0),
  his2 AS (SELECT *, date_diff('second', lag(ts) OVER (PARTITION BY collection, username ORDER BY seq), ts) AS gap FROM his1 WHERE ep IS NULL),
- history AS (SELECT collection, username, seq, trim(line) AS command, ts, CASE WHEN gap > 43200 THEN CAST(floor(gap / 3600) AS BIGINT) END AS gap_hours FROM his2)"""
+ history AS (SELECT collection, username, seq, file_path, trim(line) AS command, ts, CASE WHEN gap > 43200 THEN CAST(floor(gap / 3600) AS BIGINT) END AS gap_hours FROM his2)"""
 LISTED = f"({starts('command', [w for w in rules.SHELL_WHITELIST if w != 'cat '])} OR {isin('lower(command)', [w.rstrip().lower() for w in rules.SHELL_WHITELIST])})"
 SHELL = f"""{HISTORY}, shell AS (SELECT *, CASE WHEN CASE WHEN starts_with(lower(command), 'cat ') THEN NOT {any_of('command', rules.CAT_EXCEPTIONS)} ELSE {LISTED} END THEN 'Info'
   WHEN {any_of('command', rules.SHELL_CRITICAL)} THEN 'Critical' WHEN {any_of('command', rules.SHELL_SUSPICIOUS)} THEN 'Suspicious' ELSE 'Info' END AS tier,
@@ -194,7 +194,7 @@ def positive(k: int) -> str:
 
 
 BODY = f"""bod0 AS (SELECT *, string_split(line, '|') AS p FROM ({duck('bodyfile')}) WHERE trim(line) <> '' AND NOT starts_with(line, '#')),
- body AS (SELECT collection, seq, p[2] AS path, coalesce(TRY_CAST(p[7] AS BIGINT), 0) AS size, p[4] AS mode, p[5] AS uid, p[6] AS gid, p[1] AS md5, {positive(8)} AS atime, {positive(9)} AS mtime, {positive(10)} AS ctime, {positive(11)} AS crtime FROM bod0 WHERE len(p) >= 11)"""
+ body AS (SELECT collection, seq, file_path, p[2] AS path, coalesce(TRY_CAST(p[7] AS BIGINT), 0) AS size, p[4] AS mode, p[5] AS uid, p[6] AS gid, p[1] AS md5, {positive(8)} AS atime, {positive(9)} AS mtime, {positive(10)} AS ctime, {positive(11)} AS crtime FROM bod0 WHERE len(p) >= 11)"""
 BODY_F = f"""{BODY}, sco0 AS (SELECT *, {any_of('path', rules.BODY_PATH_HINTS)} AS hint, {any_of('path', rules.BODY_KEYWORDS)} AS kw, {isin(ext('path'), rules.EXEC_EXTENSIONS)} AS ex, size >= 1024 AS big, coalesce({epoch('mtime')} > TIMESTAMP '2024-06-01' - INTERVAL 30 DAY, false) AS rec FROM body
   WHERE NOT {starts('path', rules.BODY_WHITELIST)} AND NOT {any_of('path', rules.FRAMEWORK_CACHES)} AND NOT {isin(ext('path'), rules.BENIGN_EXTENSIONS)}),
  sco1 AS (SELECT *, 2 * hint::INT + 3 * kw::INT + 2 * ex::INT + big::INT + 2 * rec::INT AS score, concat_ws(', ', CASE WHEN hint THEN 'PathHint=2' END, CASE WHEN kw THEN 'Keyword=3' END, CASE WHEN ex THEN 'ExecExt=2' END, CASE WHEN big THEN 'Size=1' END, CASE WHEN rec THEN 'RecentMTime=2(' || strftime({epoch('mtime')}, '%Y-%m-%d') || ')' END) AS reasons,
@@ -209,7 +209,7 @@ def prefix(c: str, words: list[str]) -> str:
 
 
 FILE = "lower(regexp_extract(path, '[^/]*$'))"
-SHA = f"""sha0 AS (SELECT collection, seq, {rx('line', '^(' + chr(92) + 'S{40})' + chr(92) + 's+(.+)$')} AS hash, trim({rx('line', '^(' + chr(92) + 'S{40})' + chr(92) + 's+(.+)$', 2)}) AS path FROM ({duck('sha1')}) WHERE {like('line', '^(' + chr(92) + 'S{40})' + chr(92) + 's+(.+)$')}),
+SHA = f"""sha0 AS (SELECT collection, seq, file_path, {rx('line', '^(' + chr(92) + 'S{40})' + chr(92) + 's+(.+)$')} AS hash, trim({rx('line', '^(' + chr(92) + 'S{40})' + chr(92) + 's+(.+)$', 2)}) AS path FROM ({duck('sha1')}) WHERE {like('line', '^(' + chr(92) + 'S{40})' + chr(92) + 's+(.+)$')}),
  sha1 AS (SELECT *, {starts('path', rules.HASH_WHITELIST)} AS white, {prefix('path', rules.HASH_HIGH_PATHS)} AS hi, {prefix('path', rules.HASH_MEDIUM_PATHS)} AS me, {first('path', rules.HASH_KEYWORDS)} AS kw, {ext(FILE)} AS ext, starts_with({FILE}, '.') AS hidden, {any_of('path', ['/tmp/', '/dev/shm/'])} AS world FROM sha0),
  scored AS (SELECT *, CASE WHEN hi IS NOT NULL THEN 3 WHEN me IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN kw IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN {isin('ext', rules.HASH_EXTENSIONS)} THEN 2 ELSE 0 END + (ext = '')::INT + 2 * hidden::INT + world::INT AS score,
   concat_ws(', ', CASE WHEN hi IS NOT NULL THEN 'high-interest path (' || hi || ')' WHEN me IS NOT NULL THEN 'medium-interest path (' || me || ')' END, CASE WHEN kw IS NOT NULL THEN 'suspicious keyword (' || kw || ')' END, CASE WHEN {isin('ext', rules.HASH_EXTENSIONS)} THEN 'suspicious extension (' || ext || ')' END,
@@ -258,7 +258,7 @@ NET = f"""net0 AS (SELECT *, coalesce(last_value(CASE WHEN artifact = 'ip' THEN
 CONTAINER_RISK = " UNION ALL ".join(f"SELECT collection, container_id, name, image, {q(s)} AS severity, {q(label)} AS label FROM con WHERE {test}" for test, s, label in RISKS)
 CONTAINER_LOGS = f"SELECT l.collection, l.seq, {first('l.line', rules.CONTAINER_EXEC)} AS word, coalesce(c.name, substr(l.container_id, 1, 12)) AS name, {short('l.line', 120)} AS line FROM ({duck('container_logs')}) l LEFT JOIN con c ON l.collection = c.collection AND l.container_id = c.container_id WHERE {any_of('l.line', rules.CONTAINER_EXEC)}"
 DOCKER_TS = epoch(f"TRY_CAST({rx('line', '\"time\"' + chr(92) + 's*:' + chr(92) + 's*([0-9]+)')} AS BIGINT)")
-DOCKER_EVENTS = f"""dev AS (SELECT collection, seq, artifact = 'daemon' AS daemon, lower(line) AS low, {DOCKER_TS} AS ts FROM ({duck('docker_events')})),
+DOCKER_EVENTS = f"""dev AS (SELECT collection, seq, file_path, artifact = 'daemon' AS daemon, lower(line) AS low, {DOCKER_TS} AS ts FROM ({duck('docker_events')})),
  docker_hits AS (SELECT collection, seq, ts, 'MEDIUM' AS severity, 'Privileged event' AS label FROM dev WHERE NOT daemon AND (contains(low, '"privileged":true') OR contains(low, '--privileged'))
   UNION ALL SELECT collection, seq, ts, 'HIGH', 'Privileged launch (daemon log)' FROM dev WHERE daemon AND contains(low, '--privileged')
   UNION ALL SELECT collection, seq, ts, 'HIGH', 'Suspicious mount (daemon log)' FROM dev WHERE daemon AND {like('low', 'mount.*(?:host|/proc|/dev|docker' + chr(92) + '.sock)')})"""
@@ -282,12 +282,16 @@ NEVER = "CAST(NULL AS TIMESTAMP)"
 TIERS = "CASE tier WHEN 'Critical' THEN 'HIGH' ELSE 'SUSPICIOUS' END"
 SHA_BEST = "SELECT collection, hash, path, score, reasons, CASE WHEN score >= 7 THEN 'HIGH' WHEN score >= 4 THEN 'SUSPICIOUS' ELSE 'INFO' END AS severity FROM (SELECT *, row_number() OVER (PARTITION BY collection, lower(hash) ORDER BY seq DESC) AS rn FROM best WHERE passing AND (best IS NULL OR score > best)) WHERE rn = 1"
 EPOCHS = "[atime, mtime, ctime, crtime]"
+COVERED_ROWS = " UNION ALL ".join(
+    [f"SELECT collection, {q(t.upper())} AS log_type, file_path, ts, ts AS last FROM {t}" for t in ("auth", "syslog", "messages", "audit", "web", "crontab", "journal")]
+    + ["SELECT collection, 'BASH', file_path, ts, ts FROM history", "SELECT collection, 'DOCKER', file_path, ts, ts FROM dev", f"SELECT collection, 'SHA1', file_path, {NEVER}, {NEVER} FROM sha0"]
+    + [f"SELECT collection, {q(kind)}, file_path, {NEVER}, {NEVER} FROM ({duck(t)})" for kind, t in (("DOCKER", "containers"), ("DOCKER", "container_logs"), ("LIVE", "ps"), ("LIVE", "persistence"), ("LIVE", "files"))]
+    + [f"SELECT collection, 'BODYFILE', file_path, {epoch(f'list_min({EPOCHS})')}, {epoch(f'list_max({EPOCHS})')} FROM body"]
+)
+VALID = "min(CASE WHEN year(ts) BETWEEN 2000 AND 2025 THEN ts END) AS first_ts, max(CASE WHEN year(last) BETWEEN 2000 AND 2025 THEN last END) AS last_ts"
 COVERED = f"""{ACTIONS}, {SYSLOG_F}, {MESSAGES_F}, {AUDIT_F}, {WEB_F}, {CRONTAB}, {SHELL}, {JOURNAL_F}, {CONTAINERS}, {DOCKER_EVENTS}, {BODY_F}, {SHA}, {PS}, {PROCESS_HITS}, {PERSISTENCE},
- covered0 AS (SELECT collection, 'AUTH' AS log_type, ts, ts AS last FROM auth UNION ALL SELECT collection, 'SYSLOG', ts, ts FROM syslog UNION ALL SELECT collection, 'MESSAGES', ts, ts FROM messages
-  UNION ALL SELECT collection, 'AUDIT', ts, ts FROM audit UNION ALL SELECT collection, 'WEB', ts, ts FROM web UNION ALL SELECT collection, 'CRONTAB', ts, ts FROM crontab UNION ALL SELECT collection, 'BASH', ts, ts FROM history UNION ALL SELECT collection, 'JOURNAL', ts, ts FROM journal
-  UNION ALL SELECT collection, 'DOCKER', ts, ts FROM dev {' '.join(f"UNION ALL SELECT collection, {q(kind)}, {NEVER}, {NEVER} FROM ({duck(t)})" for kind, t in (('DOCKER', 'containers'), ('DOCKER', 'container_logs'), ('LIVE', 'ps'), ('LIVE', 'persistence'), ('LIVE', 'files')))}
-  UNION ALL SELECT collection, 'SHA1', {NEVER}, {NEVER} FROM sha0 UNION ALL SELECT collection, 'BODYFILE', {epoch(f'list_min({EPOCHS})')}, {epoch(f'list_max({EPOCHS})')} FROM body),
- covered AS (SELECT collection, log_type, count(*) AS rows, min(CASE WHEN year(ts) BETWEEN 2000 AND 2025 THEN ts END) AS first_ts, max(CASE WHEN year(last) BETWEEN 2000 AND 2025 THEN last END) AS last_ts FROM covered0 GROUP BY ALL),
+ covered0 AS ({COVERED_ROWS}),
+ covered AS (SELECT collection, log_type, count(*) AS rows, count(DISTINCT file_path) AS files, {VALID} FROM covered0 GROUP BY ALL),
  found AS (SELECT collection, 'SYSLOG' AS log_type, 'HIGH' AS severity, key, n, first_ts, last_ts FROM syslog_f UNION ALL SELECT collection, 'MESSAGES', 'HIGH', key, n, first_ts, last_ts FROM messages_f UNION ALL SELECT collection, 'AUDIT', 'HIGH', key, n, first_ts, last_ts FROM audit_f
   UNION ALL SELECT collection, 'WEB', 'HIGH', attack, n, first_ts, last_ts FROM web_f UNION ALL SELECT collection, 'JOURNAL', 'HIGH', signature, n, first_ts, last_ts FROM journal_f
   UNION ALL {hits('AUTH', "'HIGH'", "who || ' ran: ' || " + short('command', 200).join('()'), 'ts', f"SELECT * FROM actions WHERE action = 'sudo' AND {any_of('command', rules.SUDO_HIGH)} AND NOT {any_of('command', rules.AUTOMATION)}")}
@@ -412,13 +416,20 @@ ORACLE_SQL = {
   UNION ALL SELECT collection, CASE artifact WHEN 'systemd' THEN 'unit' ELSE 'cron_entry' END FROM ({duck('persistence')}) WHERE artifact = 'systemd' OR (artifact = 'crontab' AND NOT {HASHED})) SELECT collection, measure, count(*) AS n FROM m GROUP BY ALL""",
     "collapsed_cron": f"""WITH {SYSLOG}, c AS (SELECT collection, seq, cron_cmd, ts FROM syslog WHERE cron_cmd <> '') SELECT collection, 'FINDING: [CRON] Suspicious cron job CMD: ' || cron_cmd AS key, count(*) AS n, {shown('min(ts)', 'first_ts')}, {shown('max(ts)', 'last_ts')}, arg_min(cron_cmd, seq) AS example FROM c GROUP BY collection, cron_cmd HAVING count(*) >= 2""",
     "coverage": f"WITH {COVERED} SELECT collection, log_type, rows, {RANGE} FROM covered",
+    "coverage_levels": f"""WITH {COVERED}, f AS (SELECT collection, log_type, file_path, count(*) AS rows, {VALID} FROM covered0 GROUP BY ALL)
+  SELECT collection, coalesce(log_type, '') AS log_type, coalesce(file_path, '') AS file_path, CASE grouping(log_type, file_path) WHEN 0 THEN 'file' WHEN 1 THEN 'log_type' ELSE 'collection' END AS level,
+  count(*) AS files, sum(rows)::BIGINT AS rows, {shown('min(first_ts)', 'first_ts')}, {shown('max(last_ts)', 'last_ts')} FROM f GROUP BY GROUPING SETS ((collection, log_type, file_path), (collection, log_type), (collection))""",
+    "syslog_findings_per_file": f"WITH {SYSLOG_F.replace(', syslog_f AS (SELECT collection,', ', syslog_f AS (SELECT collection, file_path,')} SELECT collection, file_path, key, n, {RANGE}, example FROM syslog_f",
     "findings": f"WITH {COVERED} SELECT collection, log_type, severity, key, n, {RANGE} FROM found",
-    "per_log_status": f"WITH {COVERED}, s AS (SELECT c.collection, c.log_type, count_if(coalesce(f.severity <> 'INFO', false)) AS suspicious FROM covered c LEFT JOIN found f ON c.collection = f.collection AND c.log_type = f.log_type GROUP BY ALL) SELECT *, CASE WHEN suspicious = 0 THEN 'clean' ELSE suspicious || ' suspicious' END AS status FROM s",
+    "per_log_status": f"WITH {COVERED}, s AS (SELECT c.collection, c.log_type, any_value(c.files) AS files, count_if(coalesce(f.severity <> 'INFO', false)) AS suspicious FROM covered c LEFT JOIN found f ON c.collection = f.collection AND c.log_type = f.log_type GROUP BY ALL) SELECT *, CASE WHEN suspicious = 0 THEN 'clean' ELSE suspicious || ' suspicious' END AS status FROM s",
     "global_summary": f"""WITH {COVERED}, labels AS (SELECT collection, 'AUTH' AS log_type, 'pattern' AS section, label AS item, count(*) AS n FROM actions GROUP BY ALL UNION ALL SELECT collection, 'SYSLOG', 'pattern', label, count(*) FROM syslog WHERE label IS NOT NULL GROUP BY ALL
   UNION ALL SELECT collection, 'AUDIT', 'pattern', label, count(*) FROM audit WHERE label IS NOT NULL GROUP BY ALL UNION ALL SELECT collection, 'WEB', 'pattern', attack, count(*) FROM web WHERE attack IS NOT NULL GROUP BY ALL
   UNION ALL SELECT collection, 'MESSAGES', 'pattern', label, count(*) FROM messages WHERE label IS NOT NULL GROUP BY ALL UNION ALL SELECT collection, 'JOURNAL', 'pattern', label, count(*) FROM journal WHERE label IS NOT NULL GROUP BY ALL
   UNION ALL SELECT collection, 'CRONTAB', 'pattern', tier || ' crontab entry', count(*) FROM crontab WHERE tier <> 'Info' GROUP BY ALL UNION ALL SELECT collection, 'BASH', 'pattern', tier || ' shell command', count(*) FROM shell WHERE tier <> 'Info' GROUP BY ALL),
- ips AS (SELECT collection, 'AUTH' AS log_type, 'ip' AS section, ip AS item, count(*) AS n FROM ({IPS}) GROUP BY ALL UNION ALL SELECT collection, 'WEB', 'ip', ip, count(*) FROM web WHERE attack IS NOT NULL GROUP BY ALL), parts AS (SELECT collection, log_type, 'rows' AS section, '' AS item, rows AS n, 1 AS rank FROM covered UNION ALL {ranked('SELECT * FROM labels', 5)} UNION ALL {ranked('SELECT * FROM ips', 3)}
+ ips AS (SELECT collection, 'AUTH' AS log_type, 'ip' AS section, ip AS item, count(*) AS n FROM ({IPS}) GROUP BY ALL UNION ALL SELECT collection, 'WEB', 'ip', ip, count(*) FROM web WHERE attack IS NOT NULL GROUP BY ALL), parts AS (SELECT collection, log_type, 'rows' AS section, '' AS item, rows AS n, 1 AS rank FROM covered
+  UNION ALL SELECT collection, log_type, 'files', '', files, 1 FROM covered UNION ALL SELECT collection, log_type, 'suspicious', '', count(*), 1 FROM found WHERE severity <> 'INFO' GROUP BY ALL
+  UNION ALL SELECT collection, log_type, 'more', '', count(*) - 5, 1 FROM found WHERE severity IN ('HIGH', 'CRITICAL', 'BRUTEFORCE', 'SUSPICIOUS') GROUP BY ALL HAVING count(*) > 5
+  UNION ALL {ranked('SELECT * FROM labels', 5)} UNION ALL {ranked('SELECT * FROM ips', 3)}
   UNION ALL {ranked("SELECT collection, log_type, 'finding' AS section, key AS item, n FROM found WHERE severity IN ('HIGH', 'CRITICAL', 'BRUTEFORCE', 'SUSPICIOUS')", 5)}) SELECT *, CASE log_type {' '.join(f"WHEN {q(t)} THEN {i}" for i, t in enumerate(IMPORTANCE))} ELSE {len(IMPORTANCE)} END AS log_rank FROM parts""",
     "severity_by_keyword": f"SELECT collection, CASE WHEN contains(lower(line), 'fault') THEN 'Medium' WHEN contains(lower(line), 'level=') THEN 'Low' WHEN contains(lower(line), 'emerg') THEN 'High' ELSE 'Info' END AS severity, count(*) AS n FROM ({duck('messages')}) GROUP BY ALL",
 }
