@@ -159,6 +159,17 @@ def container_severity(inventory: DataFrame) -> DataFrame:
     return inventory.withColumn("severity", grade)
 
 
+def container_events(inventory: DataFrame) -> DataFrame:
+    """Containers as events, at the time of their creation: ts, message, raw, severity."""
+    note = lambda test, text: F.when(test, text).otherwise("")
+    message = F.concat(
+        F.lit("Container="), F.coalesce("name", F.lit("")), F.lit(" Image="), F.coalesce("image", F.lit("")), F.lit(" State="), F.coalesce("status", F.lit("")), note(F.col("privileged"), " [PRIVILEGED]"),
+        note(F.col("host_network"), " [HOST_NETWORK]"), note(F.col("host_pid"), " [HOST_PID]"), note(F.size("mounts") > 0, F.concat(F.lit(" [MOUNTS:"), F.array_join("mounts", ";"), F.lit("]"))),
+    )
+    raw = F.concat(F.lit("ID="), "container_id", F.lit(" Name="), F.coalesce("name", F.lit("")), F.lit(" Image="), F.coalesce("image", F.lit("")))
+    return container_severity(inventory).withColumns({"ts": F.col("created").try_cast("timestamp"), "message": message, "raw": raw})
+
+
 def container_log_hits(logs: DataFrame, inventory: DataFrame) -> DataFrame:
     """Log lines that hold a suspicious word, under the container's name or else its id's first 12 characters."""
     word = rules.first_match(F.col("line"), rules.CONTAINER_EXEC)

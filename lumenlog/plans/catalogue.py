@@ -84,6 +84,12 @@ def ssh_bruteforce(spark, d):
     return auth.ssh_bruteforce(actions(spark, d), CONFIG.bruteforce_threshold)
 
 
+@query
+def ssh_bruteforce_sketched(spark, d):
+    """ssh_bruteforce out of daily sketches; there are few users to a source here, so their number is exact."""
+    return auth.bruteforce_of_sketches(auth.login_sketches(actions(spark, d)), CONFIG.bruteforce_threshold)
+
+
 @query
 def failed_logins_topk(spark, d):
     return top_k(auth.logins(actions(spark, d), "failed"), ["collection"], [F.col("n").desc(), F.col("ip"), F.col("user")], 10)
@@ -170,7 +176,7 @@ def syslog_findings(spark, d):
 
 @query
 def messages_findings(spark, d):
-    return system.messages_findings(messages(spark, d))
+    return system.messages_findings(messages(spark, d)).orderBy("collection", F.desc("n"), "first_ts", "key")
 
 
 @query
@@ -185,7 +191,7 @@ def audit_tiers(spark, d):
 
 @query
 def audit_findings(spark, d):
-    return system.audit_findings(audit(spark, d))
+    return system.audit_findings(audit(spark, d)).orderBy("collection", F.desc("n"), "first_ts", "key")
 
 
 @query
@@ -200,7 +206,7 @@ def web_events_norm(spark, d):
 
 @query
 def web_attack_findings(spark, d):
-    return activity.web_attack_findings(web(spark, d))
+    return activity.web_attack_findings(web(spark, d)).orderBy("collection", F.desc("n"), "first_ts", "attack")
 
 
 @query
@@ -244,6 +250,17 @@ def bodyfile_timeline(spark, d):
     return score.bodyfile_timeline(score.parse_bodyfile(lines(spark, d, "bodyfile"))).drop("file_path")
 
 
+def bodyfile(spark, d, config=CONFIG):
+    """Entries any of whose four times is in the range, or that have none."""
+    return dated(score.bodyfile_timeline(score.parse_bodyfile(lines(spark, d, "bodyfile"))), config, "atime", "mtime", "ctime", "crtime")
+
+
+@query
+def bodyfile_timeline_in_range(spark, d):
+    narrow = dataclasses.replace(CONFIG, start=dt.datetime(2023, 11, 20), end=dt.datetime(2023, 11, 25, 6))
+    return bodyfile(spark, d, narrow).drop("file_path")
+
+
 @query
 def bodyfile_findings(spark, d):
     return score.bodyfile_findings(score.parse_bodyfile(lines(spark, d, "bodyfile")), CONFIG).orderBy("collection", F.desc("score"), "path")
@@ -292,7 +309,7 @@ def journal_tiers(spark, d):
 
 @query
 def journal_findings(spark, d):
-    return system.journal_findings(journal(spark, d))
+    return system.journal_findings(journal(spark, d)).orderBy("collection", "first_ts", "signature")
 
 
 @query

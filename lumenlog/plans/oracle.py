@@ -330,6 +330,8 @@ def ranked(part: str, k: int) -> str:
 
 AUTH_GRADE = f"CASE WHEN {like('line', SUDO)} THEN CASE WHEN {any_of(rx('line', SUDO, 2), rules.SUDO_HIGH)} THEN 'High' ELSE 'Medium' END WHEN {like('line', ACCEPTED)} THEN 'Info' WHEN {like('line', FAILED)} THEN 'Medium' ELSE 'Info' END"
 JOB_GRADE = "CASE tier WHEN 'Critical' THEN 'High' WHEN 'Suspicious' THEN 'Medium' ELSE 'Info' END"
+BOX = """'Container=' || name || ' Image=' || image || ' State=' || status || CASE WHEN privileged THEN ' [PRIVILEGED]' ELSE '' END || CASE WHEN host_network THEN ' [HOST_NETWORK]' ELSE '' END
+ || CASE WHEN host_pid THEN ' [HOST_PID]' ELSE '' END || CASE WHEN len(mounts) > 0 THEN ' [MOUNTS:' || array_to_string(mounts, ';') || ']' ELSE '' END"""
 NORMALISED = {
     "AUTH": ("host", "daemon", '"user"', "ip", "message", AUTH_GRADE, "line", "auth"),
     "SYSLOG": ("host", "daemon", "CASE WHEN tier = 'Critical' AND cron_user <> '' THEN cron_user ELSE \"user\" END", "ip", "message", "severity", "line", "syslog WHERE tier <> 'Noise'"),
@@ -338,6 +340,8 @@ NORMALISED = {
     "WEB": ("''", "'web'", "''", "ip", "message", "CASE WHEN attack IS NULL THEN 'Info' ELSE 'High' END", "line", "web"),
     "CRONTAB": ("''", "'cron'", '"user"', "''", "command", JOB_GRADE, "line", "crontab WHERE tier <> 'Info'"),
     "BASH": ("''", "'bash'", "username", "''", "command", JOB_GRADE, "command", "shell"),
+    "DOCKER": ("''", "'docker'", "''", "''", BOX, f"CASE WHEN {TRAP} THEN 'Critical' WHEN privileged OR host_network OR len(capabilities) > 0 THEN 'High' WHEN len(suspicious) > 0 OR root THEN 'Medium' ELSE 'Info' END",
+      "'ID=' || container_id || ' Name=' || name || ' Image=' || image", "(SELECT *, try_strptime(created, '%Y-%m-%dT%H:%M:%SZ') AS ts FROM con)"),
     "JOURNAL": ("hostname", "identifier", "CAST(uid AS VARCHAR)", "''", "message", "CASE tier WHEN 'Critical' THEN 'High' ELSE 'Info' END", "message", "journal"),
 }
 EVENTS_NORM = " UNION ALL ".join(
@@ -351,7 +355,7 @@ ORACLE_SQL = {
     "accepted_logins_topk": f"WITH {ACTIONS} {topk(logins('accepted'), 20)}",
     "sudo_findings": f"WITH {ACTIONS} SELECT collection, seq, {shown('ts')}, who AS \"user\", {short('command', 200)} AS command, CASE WHEN {any_of('command', rules.SUDO_HIGH)} AND NOT {any_of('command', rules.AUTOMATION)} THEN 'HIGH' ELSE 'Info' END AS tier, CASE WHEN {any_of('command', rules.SUDO_HIGH)} THEN 'High' ELSE 'Medium' END AS severity FROM actions WHERE action = 'sudo'",
     "auth_events_norm": f"WITH {AUTH} SELECT collection, seq, {shown('ts')}, host, 'AUTH' AS log_type, daemon, \"user\", ip, message, CASE WHEN {like('line', SUDO)} THEN CASE WHEN {any_of(rx('line', SUDO, 2), rules.SUDO_HIGH)} THEN 'High' ELSE 'Medium' END WHEN {like('line', ACCEPTED)} THEN 'Info' WHEN {like('line', FAILED)} THEN 'Medium' ELSE 'Info' END AS severity, line AS raw FROM auth",
-    "events_norm": f"WITH {AUTH}, {SYSLOG}, {MESSAGES}, {AUDIT_CTE}, {WEB}, {CRONTAB}, {SHELL}, {JOURNAL}, e AS ({EVENTS_NORM}) SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts) FROM e WHERE ts IS NULL OR ts BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '2024-03-15 12:00:00'",
+    "events_norm": f"WITH {AUTH}, {SYSLOG}, {MESSAGES}, {AUDIT_CTE}, {WEB}, {CRONTAB}, {SHELL}, {JOURNAL}, {CONTAINERS}, e AS ({EVENTS_NORM}) SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts) FROM e WHERE ts IS NULL OR ts BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '2024-03-15 12:00:00'",
     "pattern_counts_auth": f"WITH {ACTIONS} SELECT collection, label, count(*) AS n FROM actions GROUP BY ALL",
     "interesting_ips": f"WITH {ACTIONS}, {WEB} SELECT collection, ip, count(*) AS n FROM ({IPS} UNION ALL SELECT collection, ip FROM web WHERE attack IS NOT NULL AND ip <> '') GROUP BY ALL",
     "public_ip_split": f"WITH {AUTH}, v AS (SELECT collection, ip, TRY_CAST(split_part(ip, '.', 1) AS INT) AS a, TRY_CAST(split_part(ip, '.', 2) AS INT) AS b FROM auth WHERE ip <> '') SELECT collection, NOT {PUBLIC_V4} AS public, count(*) AS n, count(DISTINCT ip) AS ips FROM v GROUP BY ALL",
@@ -381,6 +385,9 @@ ORACLE_SQL = {
     "shell_findings": f"WITH {SHELL} SELECT collection, username, seq, command, tier, CASE tier WHEN 'Critical' THEN 'High' ELSE 'Medium' END AS severity, anti_forensics FROM shell WHERE tier <> 'Info'",
     "anti_forensics_by_user": f"WITH {SHELL} SELECT collection, username, count(*) AS n FROM shell WHERE anti_forensics AND tier <> 'Info' GROUP BY ALL",
     "lateral_movement": f"WITH {HISTORY} SELECT collection, username, {rx('command', SSH, 1)} AS as_user, {rx('command', SSH, 2)} AS target, count(*) AS n, {shown('min(ts)', 'first_ts')}, {shown('max(ts)', 'last_ts')} FROM history WHERE starts_with(lower(command), 'ssh ') AND {like('command', SSH)} GROUP BY ALL",
+    "bodyfile_timeline_in_range": f"""WITH {BODY}, b AS (SELECT *, [t for t in {EPOCHS} if t IS NOT NULL] AS stamps FROM body) SELECT collection, seq, path, size, mode, uid, gid, md5, {', '.join(shown(epoch(c), c) for c in ('atime', 'mtime', 'ctime', 'crtime'))} FROM b
+  WHERE len(stamps) = 0 OR len([t for t in stamps if make_timestamp(t * 1000000) BETWEEN TIMESTAMP '2023-11-20 00:00:00' AND TIMESTAMP '2023-11-25 06:00:00']) > 0""",
+    "ssh_bruteforce_sketched": f"WITH {ACTIONS} SELECT collection, address AS ip, count(*) AS n, {shown('min(ts)', 'first_ts')}, {shown('max(ts)', 'last_ts')}, count(DISTINCT CAST(ts AS DATE)) AS days, count(DISTINCT who) AS users FROM actions WHERE action = 'failed' AND ts IS NOT NULL GROUP BY collection, address HAVING count(*) >= 5",
     "bodyfile_timeline": f"WITH {BODY} SELECT collection, seq, path, size, mode, uid, gid, md5, {', '.join(shown(epoch(c), c) for c in ('atime', 'mtime', 'ctime', 'crtime'))} FROM body",
     "bodyfile_findings": f"WITH {BODY_F} SELECT collection, path, score, reasons, size, {shown(epoch('mtime'), 'mtime')} FROM sco4 WHERE last = 1",
     "sha1_candidates": f"WITH {SHA} {SHA_BEST}",

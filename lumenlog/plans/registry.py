@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenlog.functions.rules import either
 from lumenlog.functions.timeparse import in_range
 from lumenlog.operators import activity, auth, report, system
 from lumenlog.plans.config import TriageConfig
@@ -61,11 +63,16 @@ register(LogType("BASH", "history", activity.history_commands, activity.classify
 register(LogType("JOURNAL", "journal", same, system.classify_journal, lambda: {"host": F.col("hostname"), "daemon": F.col("identifier"), "user": F.col("uid"), "raw": F.col("message")}))
 
 
-def dated(events: DataFrame, config: TriageConfig, ts: str = "ts") -> DataFrame:
-    """Events in the analyst's range, ends included; those without a time stay."""
+register(LogType("DOCKER", "containers", activity.containers, activity.container_events, lambda: {"daemon": F.lit("docker"), "raw": F.col("raw")}))
+
+
+def dated(events: DataFrame, config: TriageConfig, *times: str) -> DataFrame:
+    """Events in the analyst's range, ends included: those any of whose times is in it, and those without a time."""
     if config.start is None and config.end is None:
         return events
-    return events.where(in_range(F.col(ts), config.start, config.end))
+    columns = [F.col(t) for t in times or ("ts",)]
+    inside = [c.isNotNull() & in_range(c, config.start, config.end) for c in columns]
+    return events.where(reduce(either, inside) | F.coalesce(*columns).isNull())
 
 
 def normalised_events(lines_of: Callable[[str], DataFrame], config: TriageConfig, names: Iterable[str]) -> DataFrame:

@@ -5,6 +5,13 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,42 +74,82 @@ def history_user(path: Column) -> Column:
 HIDDEN_HISTORY = ".bash_history"
 
 
-def hidden_histories(spark: SparkSession, root: str) -> list[str]:
-    """Paths of the history files whose names start with a dot: names alone, one for each home directory."""
-    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    listed = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(top, True)
-    found = []
-    while listed.hasNext():
-        path = listed.next().getPath()
-        if path.getName() == HIDDEN_HISTORY:
-            found.append(path.toString())
-    return sorted(found)
+def parted(root: str) -> tuple[pa_fs.FileSystem, str]:
+    """The file system of a path or URI, and the path within it."""
+    return pa_fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}")
+
+
+def hidden_below(fs: pa_fs.FileSystem, path: str, deep: bool = True) -> Iterator[pa_fs.FileInfo]:
+    """History files under the name that shells give them."""
+    for info in fs.get_file_info(pa_fs.FileSelector(path, recursive=deep)):
+        if info.type == pa_fs.FileType.File and info.base_name == HIDDEN_HISTORY:
+            yield info
+
+
+def folders(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, deep): the folders right below a root, one to a task, and the root's own files."""
+    fs, path = parted(root)
+    below = [(i.path, True) for i in fs.get_file_info(pa_fs.FileSelector(path)) if i.type == pa_fs.FileType.Directory]
+    rows = [(path, False), *below]
+    return spark.createDataFrame(rows, "folder string, deep boolean").repartition(len(rows))
+
+
+def hidden_histories(spark: SparkSession, root: str) -> DataFrame:
+    """Paths of the hidden history files of a tree; its folders are listed by tasks."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs = parted(root)[0]
+        for b in batches:
+            found = [i.path for r in b.to_pylist() for i in hidden_below(fs, r["folder"], r["deep"])]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
+
+    return folders(spark, root).mapInArrow(of, "path string")
+
+
+STAGED = "source string, target string, size long, copied boolean"
 
 
 def stage_shell_history(spark: SparkSession, root: str, into: str) -> int:
     """Copy each hidden history file to bash_history.txt under ``into``, a folder that all executors read.
 
-    The directories below the root's parent are kept, so collection and owner stay in the path; a copy replaces an
-    older one. Gives the number of files.
+    The folders below the root are dealt to tasks, which list and copy. Folders below the root's parent are kept, so
+    collection and owner stay in the path. A copy is written beside its place and moved there, so a lost task leaves
+    none half done; a file that is there already, with the same size and not older than its source, is not copied
+    again, so a rerun copies what is new. ``into``/_staged lists source, target, size and whether it was copied.
+    Gives the number of files. Both paths are of file systems that Arrow knows.
     """
-    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
-    above = hadoop.Path(root).getFileSystem(conf).makeQualified(hadoop.Path(root)).getParent().toUri().getPath().rstrip("/")
-    paths = hidden_histories(spark, root)
-    for name in paths:
-        path = hadoop.Path(name)
-        inner = path.getParent().toUri().getPath()[len(above) + 1 :]
-        target = hadoop.Path(f"{into.rstrip('/')}/{inner}/bash_history.txt")
-        hadoop.FileUtil.copy(path.getFileSystem(conf), path, target.getFileSystem(conf), target, False, True, conf)
-    return len(paths)
+    above, place = os.path.dirname(parted(root)[1].rstrip("/")), parted(into)[1].rstrip("/")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, out = parted(root)[0], parted(into)[0]
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                for info in hidden_below(fs, r["folder"], r["deep"]):
+                    folder = f"{place}/{os.path.dirname(info.path)[len(above) :].lstrip('/')}"
+                    target = f"{folder}/bash_history.txt"
+                    there = out.get_file_info(target)
+                    fresh = there.type == pa_fs.FileType.File and there.size == info.size and there.mtime_ns >= info.mtime_ns
+                    if not fresh:
+                        out.create_dir(folder, recursive=True)
+                        half = f"{folder}/_{uuid.uuid4().hex}"
+                        pa_fs.copy_files(info.path, half, fs, out)
+                        out.move(half, target)
+                    rows.append((info.path, target, info.size, not fresh))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.string(), pa.int64(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["source", "target", "size", "copied"])
+
+    listed = f"{into.rstrip('/')}/_staged"
+    folders(spark, root).mapInArrow(of, STAGED).write.mode("overwrite").parquet(listed)
+    return spark.read.schema(STAGED).parquet(listed).count()
 
 
 def scan_shell_history(spark: SparkSession, root: str) -> DataFrame:
     """History files with their owner. Spark lists no names that start with a dot, so ``stage_shell_history`` lays them
-    down first; a tree of hidden ones alone is an error, not an empty table."""
-    rows = scan_lines(spark, root, "*bash_history*")
-    if not rows.inputFiles() and hidden_histories(spark, root):
-        raise FileNotFoundError(f"{root} holds hidden history files alone: copy them with stage_shell_history")
-    return rows.withColumn("username", history_user(path_of()))
+    down first; a tree that holds hidden ones, be there visible ones beside them or not, is an error."""
+    if not hidden_histories(spark, root).isEmpty():
+        raise FileNotFoundError(f"{root} holds hidden history files: copy them with stage_shell_history")
+    return scan_lines(spark, root, "*bash_history*").withColumn("username", history_user(path_of()))
 
 
 def scan_bodyfile(spark: SparkSession, root: str) -> DataFrame:

@@ -4,10 +4,11 @@ import dataclasses
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from lumenlog.operators import fleet
+from lumenlog.operators import auth, fleet
 from lumenlog.plans.config import TriageConfig
-from lumenlog.plans.registry import LOG_TYPES, normalised_events, register
+from lumenlog.plans.registry import LOG_TYPES, dated, normalised_events, register
 from lumenlog.sources import files
 
 AT = datetime(2024, 1, 10)
@@ -52,6 +53,55 @@ def test_hidden_history_is_staged(spark, tmp_path):
     assert files.scan_shell_history(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_a_hundred_homes_are_staged_by_tasks_and_once(spark, tmp_path):
+    root, laid = tmp_path / "trees", tmp_path / "laid"
+    for i in range(100):
+        home = root / f"uac-h{i % 7}" / "home" / f"u{i}"
+        home.mkdir(parents=True)
+        (home / ".bash_history").write_text(f"ls {i}\n")
+    (root / "uac-h0" / "home" / "u0" / "bash_history.txt").write_text("visible\n")
+    with pytest.raises(FileNotFoundError):  # hidden ones beside a visible one are not dropped silently
+        files.scan_shell_history(spark, str(root))
+    assert files.stage_shell_history(spark, str(root), str(laid)) == 100
+    rows = files.scan_shell_history(spark, str(laid)).collect()
+    assert sorted((r.username, r.line) for r in rows) == sorted((f"u{i}", f"ls {i}") for i in range(100)) and {r.collection for r in rows} == {f"uac-h{k}" for k in range(7)}
+    (root / "uac-h1" / "home" / "u1" / ".bash_history").write_text("more than before\n")
+    assert files.stage_shell_history(spark, str(root), f"file://{laid}") == 100
+    staged = spark.read.parquet(str(laid / "_staged"))
+    assert staged.where("copied").count() == 1 and "more than before" in {r.line for r in files.scan_shell_history(spark, str(laid)).collect()}
+
+
+def test_rows_of_several_times_in_a_range(spark):
+    config = TriageConfig(start=datetime(2024, 1, 5), end=datetime(2024, 1, 6))
+    rows = [(1, None, None), (2, datetime(2024, 1, 5), None), (3, datetime(2023, 1, 1), datetime(2024, 1, 6)), (4, datetime(2023, 1, 1), datetime(2025, 1, 1)), (5, None, datetime(2025, 1, 1))]
+    df = spark.createDataFrame(rows, "id int, a timestamp, b timestamp")
+    assert [r.id for r in dated(df, config, "a", "b").orderBy("id").collect()] == [1, 2, 3]
+
+
+def test_containers_are_events(spark):
+    text = '{"Name":"/a","Created":"2024-01-05T10:00:00.123456789Z","State":{"Status":"up"},"Config":{"Image":"i","User":"app"},"HostConfig":{"Privileged":true,"PidMode":"host","Binds":["/etc/x:/y"]}}'
+    df = spark.createDataFrame([("c", "id1", text), ("c", "id2", '{"Name":"/b","Created":"?"}')], "collection string, container_id string, line string")
+    rows = normalised_events(lambda s: df, TriageConfig(start=datetime(2024, 1, 1), end=datetime(2024, 2, 1)), ["DOCKER"]).orderBy("raw").collect()
+    assert [(r.log_type, r.daemon, r.severity, r.message, r.raw) for r in rows] == [
+        ("DOCKER", "docker", "Critical", "Container=a Image=i State=up [PRIVILEGED] [HOST_PID] [MOUNTS:/etc/x:/y]", "ID=id1 Name=a Image=i"),
+        ("DOCKER", "docker", "Medium", "Container=b Image= State=", "ID=id2 Name=b Image="),
+    ]
+    assert (str(rows[0].ts)[:19], rows[1].ts) == ("2024-01-05 10:00:00", None)
+
+
+def test_sketches_of_days_add_up(spark):
+    """20,000 users of one hot address over five days, each seen on three of them, within three standard errors."""
+    actions = spark.range(60_000).selectExpr(
+        "'c' as collection", "'failed' as action", "if(id % 10 = 0, '1.1.1.1', '8.8.8.8') as address", "concat('u', id % 20000) as who", "timestamp_seconds(1704067200 + (id % 5) * 86400 + id div 60) as ts"
+    )
+    days = auth.login_sketches(actions)
+    got = {r.ip: r for r in auth.bruteforce_of_sketches(days.where("day < '2024-01-03'").unionByName(days.where("day >= '2024-01-03'")), 5).collect()}
+    exact = {r.address: (r.n, r.u) for r in actions.groupBy("address").agg(F.count("*").alias("n"), F.count_distinct("who").alias("u")).collect()}
+    for ip, (n, users) in exact.items():
+        assert got[ip].n == n and abs(got[ip].users / users - 1) < 3 * 1.04 / 64
+    assert auth.bruteforce_of_sketches(days, 10**6).count() == 0
+
+
 def test_open_files_and_trees(spark):
     rows = lines(spark, ["a TCP x (deleted)", "b UDP", "bash", "plain"], "lsof").unionByName(lines(spark, ["init---Bash", "cron"], "pstree"))
     assert sorted((r.kind, r.line) for r in fleet.open_file_hits(rows).collect()) == [("deleted", "a TCP x (deleted)"), ("shell", "init---Bash"), ("socket", "a TCP x (deleted)"), ("socket", "b UDP")]
