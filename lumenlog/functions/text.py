@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Patterns.
 IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
+IPV6_WHOLE = r"(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){0,6}:(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})"
 IPV6 = r"\b(?:[A-Fa-f0-9]{1,4}:){1,7}[A-Fa-f0-9]{1,4}\b"
 #: stamp, host, daemon, pid, message of a syslog line; anchored, so a clock's colon is no daemon.
 HEADER = r"^(\d{4}-\d{2}-\d{2}T\S+|[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+([^\s:\[]+)(?:\[(\d+)\])?:\s*(.*)$"
@@ -36,7 +37,8 @@ def extract_ipv4(text: Column) -> Column:
 
 
 def extract_ip(text: Column) -> Column:
-    return first_of(extract_ipv4(text), extract(text, IPV6, 0))
+    """The first IPv4 address, else the first IPv6 one: eight groups, or fewer about a double colon, so no time of day."""
+    return first_of(extract_ipv4(text), extract(text, rf"(?<![\w:]){IPV6_WHOLE}(?![\w:])", 0))
 
 
 def extract_host(text: Column) -> Column:

@@ -29,12 +29,17 @@ def collection_of(path: Column) -> Column:
     return F.regexp_extract(path, r"(?i).*/(uac[^/]*)/", 1)
 
 
+def order_key() -> Column:
+    """seq: file, where its split begins, place in the split."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq")
+
+
 def scan_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Every line under a root, compressed or not: collection, file_path, file_mtime, seq, line."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
     rows = raw.select(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("file_mtime"),
-        F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq"), F.col("value").alias("line"),
+        order_key(), F.col("value").alias("line"),
     )
     return rows.withColumn("collection", collection_of(path_of()))
 
@@ -226,4 +231,4 @@ def scan_docker_daemon_events(spark: SparkSession, root: str) -> DataFrame:
 def scan_journal(spark: SparkSession, root: str) -> DataFrame:
     """Journal entries exported as JSON lines."""
     rows = spark.read.schema(JOURNAL).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").json(root)
-    return rows.select("*", F.col("_metadata.file_path").alias("file_path")).withColumn("collection", collection_of(path_of()))
+    return rows.select("*", F.col("_metadata.file_path").alias("file_path"), order_key()).withColumn("collection", collection_of(path_of()))
