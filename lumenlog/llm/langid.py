@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import forget, lean, materialize, release, text_bytes
+from lumenlog.llm.common import HUB, HUBS, SALTS, forget, lean, materialize, release, text_bytes
 
 BITS = 16
 #: Labelled rows that the text model learns from at most, chosen by a hash of their texts, as many of each language as
@@ -33,7 +33,7 @@ ACCEPT = 0.5
 UNSEEN = 0.01
 #: Share of texts in no known language, before their text is seen.
 FOREIGN = 0.01
-#: Hosts up to which their priors are broadcast; beyond, they are joined by a shuffle.
+#: Hosts up to which their priors are broadcast; beyond, they are joined by a shuffle that deals hot hosts over parts.
 BROADCAST_HOSTS = 200_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 65 or 91 <= b <= 96 or 123 <= b <= 127 else b for b in range(256))
@@ -217,11 +217,27 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
     base = rows.withColumns(dict(zip(inner.values(), [said, F.coalesce(suffix, F.lit("")), F.coalesce(host, F.lit(""))])))
     priors = priors.select(F.col("s").alias(inner["s"]), F.col("h").alias(inner["h"]), F.col("of_host").alias("+" + inner["h"]), F.col("of_suffix").alias("+" + inner["s"]))
     few = priors.count() <= BROADCAST_HOSTS
-    joined = base.join(F.broadcast(priors) if few else priors, [inner["s"], inner["h"]], "left")
+    joined = base.join(F.broadcast(priors), [inner["s"], inner["h"]], "left") if few else dealt(base, priors, [inner["s"], inner["h"]], "+" + inner["h"])
     out = joined.withColumn(inner["fused"], fuse(raw, d, F.col(f"`+{inner['h']}`"), F.col(f"`+{inner['s']}`")))
     return out.select(*[F.col(f"`{c}`") for c in rows.columns if c not in new], *[fused[c].alias(c) for c in new])
 
 
+def dealt(rows: DataFrame, priors: DataFrame, key: list[str], weight: str) -> DataFrame:
+    """rows with the priors of their host, the rows of a hot host dealt over SALTS parts by a hash of the whole row.
+
+    A host's posteriors sum up to about its rows; one with over a HUBS-th of all is hot, so fewer than HUBS hosts are
+    broadcast, and their priors sent to each part.
+    """
+    salt, hot = "+".join([*rows.columns, "salt"]), "+".join([*rows.columns, "hot"])  # names that no column has
+    size = F.aggregate(f"`{weight}`", F.lit(0.0), lambda a, x: a + x)
+    least = max(HUB, (priors.agg(F.sum(size)).first()[0] or 0) / HUBS)
+    hubs = F.broadcast(priors.where(size > least).select(*key, F.lit(True).alias(hot)))
+    hashed = [F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    part = F.when(F.col(f"`{hot}`"), F.pmod(F.xxhash64(*hashed), F.lit(SALTS))).otherwise(0)
+    every = F.when(size > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(hubs, key, "left").withColumn(salt, part.cast("int")).drop(hot).join(priors.withColumn(salt, F.explode(every)), [*key, salt], "left").drop(salt)
+
+
 def identify_documents(docs: DataFrame, model: TextModel) -> DataFrame:
     """Documents: no declaration and no address; the source stands for the host."""
     none = F.lit(None).cast("string")

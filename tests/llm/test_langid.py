@@ -92,3 +92,17 @@ def test_every_language_is_learnt_and_rare_ones_keep_all_rows(spark):
     assert few.languages == all_rows.languages == sorted({r[0] for r in rows})
     rare = [k for k, name in enumerate(few.languages) if name != "big"]
     assert np.allclose(few.logs[:, rare], all_rows.logs[:, rare])
+
+
+def test_hot_hosts_are_dealt_and_nothing_changes(spark, monkeypatch):
+    """Beyond the broadcast bound, a host of nine tenths of the rows is dealt over parts; every posterior stays."""
+    rows = [(i, t, lang, "hot" if i % 10 else f"s{i % 7}", 7) for i, t, lang, *_ in corpus(400, 5)]
+    docs = spark.createDataFrame([*rows, (None, "the people", "en", None, None), rows[3]], SCHEMA).repartition(5)
+    model = langid.train(docs)
+    answers = lambda df: sorted(((r.doc_id or -1, r.language, round(r.posterior, 9), r.accepted) for r in df.collect()), key=str)
+    sent = answers(langid.identify_documents(docs, model))
+    monkeypatch.setattr(langid, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(langid, "HUB", 50)
+    out = langid.identify_documents(docs, model)
+    assert set(out.columns) == {"doc_id", "text", "lang", "source", "language", "posterior", "text_language", "accepted"}
+    assert answers(out) == sent and len(sent) == 402
