@@ -74,8 +74,17 @@ def probed_buckets(x: np.ndarray, width: float) -> np.ndarray:
 
 
 def typical_distances(rows: DataFrame) -> dict[int, float]:
-    """For each number of dimensions, the median distance within a sample of FIT_ROWS vectors."""
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vec").collect()
+    """For each number of dimensions, the median distance within a sample of FIT_ROWS vectors.
+
+    The sample has the least hashes of ids. A bound on the hash, from the number of rows, leaves about twice as many in
+    all before they are put in order, so that no task sends a whole sample; should repeated ids leave too few, all are
+    put in order.
+    """
+    total, hashed = rows.count(), F.xxhash64("id")
+    bound = -(1 << 63) + min((1 << 64) - 1, 2 * FIT_ROWS * (1 << 64) // max(1, total))
+    first = lambda some: some.orderBy(hashed, "id").limit(FIT_ROWS).select("vec").collect()
+    sample = first(rows.where(hashed <= F.lit(bound)))
+    sample = sample if len(sample) >= min(FIT_ROWS, total) else first(rows)
     sizes: dict[int, list] = {}
     for r in sample:
         sizes.setdefault(len(r.vec), []).append(r.vec)

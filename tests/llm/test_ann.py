@@ -1,5 +1,7 @@
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from lumenlog.llm import ann
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string, id string"
@@ -61,3 +63,18 @@ def test_blocks_meet_every_query_and_row_once(spark):
     got = ann.ranked(ann.search_buckets(df, df.where("id < 40"), 10, block=16), 10).collect()
     want = brute(rows, range(40))
     assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {(q, n, j) for q, b in want.items() for n, (_, j) in enumerate(b, 1)}
+
+
+def test_the_sample_of_distances_is_that_of_the_least_hashes(spark, monkeypatch):
+    """The bound on the hash changes no sample, nor do ids that repeat."""
+    monkeypatch.setattr(ann, "FIT_ROWS", 40)
+    rng = np.random.default_rng(3)
+    for ids in (range(3000), [i % 3 for i in range(3000)], [7] * 500, range(10), []):
+        rows = spark.createDataFrame([(int(i), [float(x) for x in rng.normal(size=8)]) for i in ids], "id long, vec array<double>").repartition(4, "id")
+        kept = rows.orderBy(F.xxhash64("id"), "id").limit(40).select("vec").collect()
+        got = ann.typical_distances(rows)
+        if len(set(ids)) == len(list(ids)) and kept:
+            x = np.array([r.vec for r in kept])
+            d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))[np.triu_indices(len(x), 1)]
+            assert abs(got[8] - np.median(d)) < 1e-9
+        assert set(got) == ({8} if kept else set())
