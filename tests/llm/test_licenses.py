@@ -49,3 +49,45 @@ def test_edited_notice_is_one_span(spark):
     assert r.labels == "mit" and r.base_labels == "" and len(r.spans) == 1
     assert (r.spans[0].start, r.spans[0].end) == (2, 2 + len(edited))
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def voted(text):
+    """Spans by plain loops: every pair of places whose four words are equal, diagonals in order, gaps of over three part them."""
+    fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    w, out = fold(text), []
+    for label, notice in licenses.TEMPLATES:
+        t = fold(notice)
+        hits = sorted((i - j, i, j) for i in range(len(w) - 3) for j in range(len(t) - 3) if w[i : i + 4] == t[j : j + 4])
+        groups = []
+        for h in hits:
+            if groups and h[0] - groups[-1][-1][0] <= licenses.DRIFT:
+                groups[-1].append(h)
+            else:
+                groups.append([h])
+        for g in groups:
+            cover = len({j + k for _, _, j in g for k in range(4)}) / len(t)
+            if cover >= licenses.COVER:
+                out.append((label, min(i for _, i, _ in g), max(i for _, i, _ in g) + 4, cover))
+    return sorted(out)
+
+
+def test_spans_labels_and_scores_against_brute_force(spark):
+    """Templates cut, with words put in, left out and swapped, twice in a text, side by side, and close variants."""
+    rng, texts = random.Random(11), [None, "", "a b c", "Licensed under CC BY"]
+    notices = [n for _, n in licenses.TEMPLATES]
+    for _ in range(220):
+        parts = []
+        for notice in rng.choices(notices, k=rng.randint(1, 3)):
+            w = notice.split()
+            for _ in range(rng.choice([0, 0, 1, 2, 5])):
+                at = rng.randrange(len(w) + 1)
+                w[at : at + rng.choice([0, 1, 2])] = rng.choice([[], ["new"], ["two", "more"], w[:2]])
+                w = w or ["x"]
+            parts += w[: rng.choice([99, 99, len(w) * 3 // 4, 6])] + ["gap"] * rng.choice([0, 1, 4, 9])
+        texts.append(" ".join(parts))
+    rows = [(i, t, "x", 1, 7) for i, t in enumerate(texts)]
+    for r in licenses.scan(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect():
+        spans, (_, n_base, _, _, base) = voted(texts[r.doc_id]), brute(texts[r.doc_id])
+        assert sorted((s.label, s.start, s.end, s.cover) for s in r.spans) == spans, texts[r.doc_id]
+        assert r.labels == ",".join(sorted({s[0] for s in spans} | set(filter(None, base.split(",")))))
+        assert abs(r.score - max([s[3] for s in spans] + [0.5 if n_base else 0.0])) < 1e-12

@@ -3,6 +3,8 @@ import random
 import zlib
 from collections import defaultdict
 
+import pytest
+
 from lumenlog.llm import toxicity as tox
 
 SCHEMA = "doc_id long, text string, lang string, score string, label int"
@@ -61,3 +63,57 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert by[2002].predicted == by[None].predicted == 1 and by[2000].score == by[2001].score < 0.3
     assert tox.with_toxicity(docs.limit(0), marks).count() == 0
     assert {r.score for r in tox.with_toxicity(docs.where("doc_id < 5"), marks.limit(0)).collect()} == {0.5}
+
+
+def plain_features(text):
+    """Slots by plain numbers: words, stems, neighbours, neighbours but one."""
+    found = "".join(c.lower() if c.isascii() else c for c in text or "")
+    found = [x.encode() for x in "".join(c if c.isalnum() and c.isascii() or not c.isascii() else " " for c in found).split(" ") if x]
+    crc, cut, out = zlib.crc32, (1 << 64) - 1, {0}
+    hashed = [crc(x) * 0x9E3779B97F4A7C15 for x in found] + [crc(x[:k], k) * 0xD6E8FEB86659FD93 for x in found for k in tox.STEMS if len(x) > k]
+    for gap, salt in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9)):
+        hashed += [(crc(a) * salt + crc(b)) * 0x9E3779B97F4A7C15 for a, b in zip(found, found[gap:], strict=False)]
+    return sorted(out | {(h & cut) >> (64 - tox.BITS) for h in hashed})
+
+
+def plain_scores(docs, labels, learners):
+    shares = defaultdict(list)
+    for i, label in labels:
+        crc = None if i is None else zlib.crc32(str(i).encode())
+        if label in (0, 1) and crc is not None and crc % 4 != 2:
+            shares[crc // 4 % learners] += [(i, label, (t or "").encode()) for d, t, *_ in docs if d == i]
+    total = defaultdict(float)
+    for rows in shares.values():
+        z, n = defaultdict(float), defaultdict(float)
+
+        def weight(i, z=z, n=n):
+            l1 = 0 if i == 0 else tox.L1
+            return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((tox.BETA + math.sqrt(n[i])) / tox.ALPHA + tox.L2)
+
+        for _ in range(tox.EPOCHS):
+            for _, label, text in sorted(rows):
+                at = plain_features(text.decode())
+                w = [weight(i) for i in at]
+                g = 1 / (1 + math.exp(-max(-30, min(30, sum(w))))) - label
+                for i, x in zip(at, w, strict=True):
+                    z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / tox.ALPHA * x
+                    n[i] += g * g
+        for i in list(z):
+            total[i] += weight(i) / learners
+    return [1 / (1 + math.exp(-max(-30, min(30, sum(total[i] for i in plain_features(t)))))) for _, t, *_ in docs]
+
+
+@pytest.mark.parametrize("per_learner", [10_000, 60])
+def test_whole_scores_against_brute_force(spark, monkeypatch, per_learner):
+    """Choice of labels, shares, order, epochs, average and scores, by one learner and by several."""
+    monkeypatch.setattr(tox, "LEARNER_ROWS", per_learner)
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(60)] + ["Über", "grübeln", "vile", "clown"]
+    docs = [(i, " ".join(rng.choices(vocab, k=rng.randint(0, 30))), "en", "s", 1) for i in range(260)]
+    docs += [(900, None, None, None, None), (901, "", "", "", 1), (902, "VILE-clown, vile clown!", "", "", 1), (None, "clown", "", "", 1), docs[4]]
+    labels = [(i, int("vile" in t or "clown" in t)) for i, t, *_ in docs[:240]] + [(900, 0), (901, 1), (4, 1), (None, 1), (7, None), (8, 3), (5000, 1)]
+    frame = spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows = sum(1 for i, label in labels if label in (0, 1) and i is not None and zlib.crc32(str(i).encode()) % 4 != 2)
+    want = sorted(zip([str(d[0]) for d in docs], plain_scores(docs, labels, max(1, -(-rows // per_learner))), strict=True))
+    got = sorted((str(r.doc_id), r.score) for r in tox.with_toxicity(spark.createDataFrame(docs, SCHEMA).repartition(3), frame).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and max(abs(a - b) for (_, a), (_, b) in zip(got, want, strict=True)) < 1e-9
