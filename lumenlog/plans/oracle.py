@@ -3,15 +3,32 @@
 from __future__ import annotations
 
 from lumenlog.functions import rules
-from lumenlog.functions.text import AUTH_USERS, FOR_USER, HEADER, IPV4, REST, USER_EQUALS
-from lumenlog.functions.timeparse import APACHE, AUDIT, CLASSIC, ISO
-from lumenlog.operators.activity import COMBINED, SSH
-from lumenlog.operators.auth import ACCEPTED, CLOSED, FAILED, OPENED, SUDO
-from lumenlog.operators.fleet import NOTABLE_PORTS, STATES
-from lumenlog.operators.report import IMPORTANCE
-from lumenlog.operators.system import AUDIT_LINE, CRON_EXEC
 from lumenlog.sources.derive import duck
 
+# Patterns and lists, written here apart from the operators', so that a wrong one shows.
+HEADER = r"^(\d{4}-\d{2}-\d{2}T\S+|[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+([^\s:\[]+)(?:\[(\d+)\])?:\s*(.*)$"
+REST = r"^(?:\d{4}-\d{2}-\d{2}T\S+|[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+\S+\s+(.*)$"
+IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
+USER_EQUALS = r"(?i)\buser=([A-Za-z0-9._-]+)\b"
+FOR_USER = r"(?i)\bfor user ([A-Za-z0-9._-]+)\b"
+AUTH_USERS = [r"(?i)\b(?:Failed|Accepted)\s+password\s+for\s+(?:invalid\s+user\s+)?([A-Za-z0-9._-]+)\b", r"(?i)session\s+(?:opened|closed)\s+for\s+user\s+([A-Za-z0-9._-]+)", r"(?i):\s+([A-Za-z0-9._-]+)\s+:\s+TTY=", r"(?i)\buser=([A-Za-z0-9._-]+)\b"]
+ISO = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2}))"
+APACHE = r"\[(\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4})\]"
+CLASSIC = r"^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})"
+AUDIT = r"msg=audit\((\d+)\."
+OPENED = r"(?i)session opened for user (\w+)"
+CLOSED = r"(?i)session closed for user (\w+)"
+FAILED = r"(?i)Failed password for (?:invalid user )?(\w+) from (\d{1,3}(?:\.\d{1,3}){3})"
+ACCEPTED = r"(?i)Accepted password for (\w+) from (\d{1,3}(?:\.\d{1,3}){3})"
+SUDO = r"(?i):\s+(\w+)\s+:\s+TTY=.*?;\s+PWD=.*?;\s+USER=.*?;\s+COMMAND=(.+)$"
+CRON_EXEC = r"(?i)CROND?\[\d+\]:\s*\(([^)]+)\)\s*CMD\s*\((.+)\)"
+AUDIT_LINE = r"type=(\w+)\s+msg=audit\((\d+)\.\d+:\d+\):\s+(.*)"
+COMBINED = r'^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"(\S+)\s+(\S+)(?:\s+([^"]+))?"\s+(\d{3})\s+(\d+|-)\s+"([^"]*)"\s+"([^"]*)"'
+SSH = r"(?i)ssh\s+(?:-[bcDEFIiJLlmOopQRSWw]\s+\S+\s+|-\S+\s+)*(?:([A-Za-z0-9._-]+)@)?([A-Za-z0-9.-]+)"
+STATES = [r"LISTEN", r"ESTAB", r"ESTABLISHED", r"UNCONN", r"CLOSE-WAIT", r"TIME-WAIT"]
+NOTABLE_PORTS = [22, 23, 80, 443, 445, 3389, 8000, 8080, 8443, 3333, 5555, 6666, 7777, 14444, 18080]
+IMPORTANCE = [r"JOURNAL", r"AUTH", r"SECURE", r"AUDIT", r"WEB", r"DOCKER", r"SYSLOG", r"MESSAGES", r"CRONTAB", r"BASH"]
+
 
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
