@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lumenlog.llm import langid
 
@@ -106,3 +107,48 @@ def test_hot_hosts_are_dealt_and_nothing_changes(spark, monkeypatch):
     out = langid.identify_documents(docs, model)
     assert set(out.columns) == {"doc_id", "text", "lang", "source", "language", "posterior", "text_language", "accepted"}
     assert answers(out) == sent and len(sent) == 402
+
+
+def plain_fusion(rows, model):
+    """rows: (declared, suffix, host, text). Evidence multiplied out by plain loops: text, declaration, and host smoothed to
+    suffix to all, each row's own share left out of host and suffix."""
+    names, n = model.languages, len(model.languages)
+    kinds = [*names, "other", "none"]
+    guess = {(k, m): 0.6 if k == m else 0.25 if k == "none" else 0.05 if k == "other" else 0.1 / n for k in kinds for m in names}
+    seen = []
+    for declared, suffix, host, text in rows:
+        e, other = model.weighed((text or "").encode())
+        d = "none" if not declared else declared.lower() if declared.lower() in names else "other"
+        if len(e):
+            p = [np.exp(x) for x in np.append(e, other + np.log(langid.FOREIGN)) - max(*e, other)]
+            seen.append((d, suffix or "", host or "", [x / sum(p) for x in p[:n]], e, other))
+        else:
+            seen.append((d, suffix or "", host or "", None, e, other))
+    own = lambda test: np.sum([p for d, s, h, p, *_ in seen if p is not None and test(d, s, h)] or [[0.0] * n], axis=0)
+    table = {k: own(lambda d, s, h, k=k: d == k) for k in kinds}
+    said = {(k, m): (table[k][i] + langid.SMOOTHING * guess[k, m] / sum(guess[x, m] for x in kinds)) / (sum(table[x][i] for x in kinds) + langid.SMOOTHING) for k in kinds for i, m in enumerate(names)}
+    smooth = lambda c, above: (c + langid.SMOOTHING * above) / (c.sum() + langid.SMOOTHING)
+    whole = smooth(own(lambda d, s, h: True), np.full(n, 1 / n))
+    out = []
+    for d, s, h, p, e, other in seen:
+        less = np.zeros(n) if p is None else np.array(p)
+        prior = smooth(np.maximum(own(lambda d, x, y, s=s, h=h: (x, y) == (s, h)) - less, 0), smooth(np.maximum(own(lambda d, x, y, s=s: x == s) - less, 0), whole))
+        like = np.array([said[d, m] for m in names])
+        post = prior * like * (np.exp(e - (e.max() if len(e) else 0)) if len(e) else 1.0)
+        none = langid.FOREIGN * np.exp(other - e.max()) * like.mean() if len(e) else 0.0
+        post = post / (post.sum() + none)
+        out.append((names[int(post.argmax())], float(post.max()), bool(len(e) and post.max() >= langid.ACCEPT)))
+    return out
+
+
+def test_fused_posteriors_against_brute_force(spark):
+    model = langid.train(spark.createDataFrame(corpus(), SCHEMA))
+    rng, rows = random.Random(12), []
+    for _ in range(150):
+        lang, host = rng.choice(list(WORDS)), rng.choice(["a.de", "b.de", "c.fr", "d.com", None])
+        body = " ".join(rng.choices(WORDS[lang] + ["12", "zq"], k=rng.choice([0, 1, 2, 20])))
+        rows.append((rng.choice([lang, "EN", "xx", "", None]), host and host.rsplit(".", 1)[1], host, rng.choice([body, body, "9 9", None, "щука жила"])))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, declared string, suffix string, host string, text string").repartition(4)
+    got = langid.identify(df, model, F.col("text"), F.col("declared"), F.col("suffix"), F.col("host")).orderBy("id").collect()
+    for r, (language, posterior, accepted) in zip(got, plain_fusion(rows, model), strict=True):
+        assert abs(r.posterior - posterior) < 1e-6 and r.accepted == accepted and (r.language == language or posterior < 0.51)
