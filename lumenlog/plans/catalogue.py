@@ -164,6 +164,12 @@ def sessions_grouped(spark, d):
     return sessions.sessions_grouped(judged(spark, d)).orderBy("collection", F.desc("suspicious"), F.desc("n"), "first_ts")
 
 
+@query
+def sessions_by_start(spark, d):
+    """Every session and failed login, in order of its start."""
+    return judged(spark, d).drop("notes").orderBy("collection", "start_ts", "seq", "user", "ip")
+
+
 @query
 def syslog_tiers(spark, d):
     return syslog(spark, d).select("collection", "seq", "ts", "host", "daemon", "user", "ip", "cron_user", "cron_cmd", "tier", "label", "severity")

@@ -380,6 +380,7 @@ ORACLE_SQL = {
     "sessions_linked": f"WITH {PAIRED.replace(duck('auth'), duck('logins')).replace('actions AS (', 'every AS (', 1).replace(' marks AS (', LINKED + ' marks AS (', 1)} SELECT collection, \"user\", ip, daemon, seq, {shown('start_ts')}, {shown('end_ts')}, end_seq, seconds, type FROM paired",
     "session_types": f"WITH {PAIRED} SELECT collection, type, count(*) AS n, count(end_ts) AS closed FROM paired GROUP BY ALL",
     "session_suspicion": f"WITH {JUDGED} SELECT collection, seq, \"user\", ip, daemon, type, failures, reason, notes FROM judged WHERE reason IS NOT NULL",
+    "sessions_by_start": f"WITH {JUDGED} SELECT collection, ip, failures, \"user\", daemon, {shown('start_ts')}, {shown('end_ts')}, seconds, type, seq, reason FROM judged",
     "session_stats": f"WITH {JUDGED} SELECT collection, count(*) AS total, count(reason) AS suspicious, count_if(type = 'SshInteractive') AS ssh, count_if(type = 'SshFailed') AS failed, count_if(type = 'SudoCommand') AS sudo, count_if(type = 'CronJob') AS cron, count(DISTINCT CASE WHEN ip <> 'N/A' THEN ip END) AS ips FROM judged GROUP BY ALL",
     "sessions_grouped": f"WITH {JUDGED} SELECT collection, \"user\", ip, daemon, type, count(*) AS n, {shown('min(start_ts)', 'first_ts')}, {shown('max(start_ts)', 'last_ts')}, CAST(floor(avg(coalesce(seconds, 0))) AS BIGINT) AS avg_seconds, bool_or(reason IS NOT NULL) AS suspicious, arg_min(reason, seq) FILTER (reason IS NOT NULL) AS reason, coalesce(arg_min(notes, seq) FILTER (reason IS NOT NULL), '') AS notes FROM judged WHERE type NOT IN ('CronJob', 'SystemdSession', 'PamGeneric') GROUP BY collection, \"user\", ip, daemon, type",
     "syslog_tiers": f"WITH {SYSLOG} SELECT collection, seq, {shown('ts')}, host, daemon, \"user\", ip, cron_user, cron_cmd, tier, label, severity FROM syslog",
