@@ -24,13 +24,15 @@ STATES, SYMBOLS, KNOWN = 8, 16_384, 131_072
 #: Baum-Welch passes from random parameters: SHARES of them over one share each of all training documents, so that
 #: each document is seen once, counts of earlier shares fading by FADE; then FULL passes over all of them.
 SHARES, FULL, FADE = 12, 2, 0.6
+#: Random starts, and the shares that each of them sees before the likeliest of them goes on.
+STARTS, TRIED = 4, 6
 #: Tokens of a training segment, and segments handled at once. A later segment starts from the states' shares.
 SEGMENT, AT_ONCE = 128, 1024
 #: Positions of a segment between two rescalings.
 RESCALE = 6
 #: Weight of the overall symbol shares in each state's emissions.
 PRIOR = 20.0
-SEED = 9
+SEED = 2
 #: Distinct words a task counts before it passes partial counts on.
 COUNTED = 400_000
 #: Documents and tokens that one forward pass handles side by side.
@@ -284,18 +286,27 @@ def expected_counts(coded: DataFrame, model: Hmm) -> np.ndarray:
 
 
 def train(coded: DataFrame, lex: Lexicon) -> Hmm:
-    """Baum-Welch. coded: (doc_id, symbols) of the training documents, written down once.
+    """Baum-Welch. coded: (row, doc_id, symbols) of the training documents, written down once.
+
+    A start decides which states stand for what, and no pass undoes it. So STARTS of them see the first TRIED shares,
+    and the one goes on that gives the last share, which none has seen, the greatest likelihood.
 
     A share is chosen by a hash of id and symbols: it grows with the corpus, at every size alike, holds an even part of
     many copies, and is the same however the table is cut into files. Its rows are read by fewer tasks, as each task
     sends a table of counts.
     """
     shares, share = lex.shares(), F.pmod(F.xxhash64("symbols", "doc_id"), F.lit(SHARES))
-    model, kept = Hmm.random(shares), 0.0
     tasks = max(1, coded.rdd.getNumPartitions() // 4)
-    for k in range(SHARES):
-        kept = FADE * kept + expected_counts(coded.where(share == k).coalesce(tasks), model)
-        model = Hmm.fitted(kept, shares)
+
+    def passes(model: Hmm, kept: np.ndarray | float, which: range) -> tuple[Hmm, np.ndarray | float]:
+        for k in which:
+            kept = FADE * kept + expected_counts(coded.where(share == k).coalesce(tasks), model)
+            model = Hmm.fitted(kept, shares)
+        return model, kept
+
+    tried = [passes(Hmm.random(shares, SEED + s), 0.0, range(TRIED)) for s in range(STARTS)]
+    likely = [forward(coded.where(share == SHARES - 1), m).agg(F.sum("path")).first()[0] or 0.0 for m, _ in tried]
+    model, _ = passes(*tried[int(np.argmax(likely))], range(TRIED, SHARES))
     for _ in range(FULL):
         model = Hmm.fitted(expected_counts(coded, model), shares)
     return model
@@ -339,7 +350,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lex = lexicon(counts)
     coded = materialize(encode(rows, lex), "hmm-symbols")
     whole = coded.where("symbols is not null")
-    model = train(whole.where("not held_out").select("doc_id", "symbols"), lex)
+    model = train(whole.where("not held_out").select("row", "doc_id", "symbols"), lex)
 
     mass = F.array(*[F.lit(float(m)) for m in lex.class_mass])
     last = F.conv(F.hex(F.substring("word", -1, 1)), 16, 10).cast("int") % 16
